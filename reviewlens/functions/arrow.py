@@ -1,0 +1,65 @@
+"""The few text functions Spark has no built-in for, as Arrow pandas UDFs.
+
+Each is guarded so that only rows that need Python reach it; the guard
+itself is a native expression.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
+
+from .text import ColumnOrName, _col
+
+NON_BMP = r"[\x{10000}-\x{10FFFF}]"
+
+
+@pandas_udf(StringType())
+def _nfkd_ascii(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: None if v is None else
+                 unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode("ascii"))
+
+
+def ascii_fold(c: ColumnOrName) -> Column:
+    """Text holding any character beyond the BMP is NFKD-folded to ASCII.
+
+    Other text is returned unchanged without leaving the JVM.
+    """
+    col = _col(c)
+    return F.when(col.rlike(NON_BMP), _nfkd_ascii(col)).otherwise(col)
+
+
+def lexicon_segmenter(words: list[str], max_len: int | None = None):
+    """Forward maximum matching over a dictionary, as a pandas UDF.
+
+    ``words`` is a bounded dictionary (checked by the caller); it is shipped
+    to the tasks once with the function.  Characters not starting any
+    dictionary word become one-character tokens.
+    """
+    vocab = frozenset(w for w in words if w)
+    longest = max_len or max((len(w) for w in vocab), default=1)
+
+    def segment(text: str) -> list[str]:
+        out, i, n = [], 0, len(text)
+        while i < n:
+            if text[i].isspace():
+                i += 1
+                continue
+            for size in range(min(longest, n - i), 0, -1):
+                piece = text[i:i + size]
+                if size == 1 or piece in vocab:
+                    out.append(piece)
+                    i += size
+                    break
+        return out
+
+    @pandas_udf(ArrayType(StringType()))
+    def _seg(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else segment(v))
+
+    return _seg
