@@ -184,33 +184,47 @@ def merge_flagged_pairs(tokens: ColumnOrName, flags: ColumnOrName,
     a left-to-right non-overlapping regex replace of "11" by "SX" over the
     flag string marks exactly those starts, in linear time.
     """
-    def merge(t, f):
+    def body(t, f):
         bits = F.array_join(F.transform(f, lambda b: F.when(b, "1").otherwise("0")), "")
         marks = F.split(F.regexp_replace(F.concat(bits, F.lit("0")), "11", "SX"), "")
-        starts = F.transform(marks, lambda ch: (ch == "S") | (ch == "1"))
+        return let(marks, lambda m: _emit(t, m, F.size(t), delimiter))
 
-        def body(st):
-            n = F.size(t)
-            idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-            kept = F.filter(idx, lambda i: ~F.when(i > 1, F.element_at(st, i - 1)).otherwise(F.lit(False)))
-            return F.transform(
-                kept,
-                lambda i: F.when(F.element_at(st, i) & (i < n),
-                                 F.concat(F.element_at(t, i), F.lit(delimiter), F.element_at(t, i + 1)))
-                .otherwise(F.element_at(t, i)))
-        return let(starts, body)
-
-    return let(_col(tokens), lambda t: let(_col(flags), lambda f: merge(t, f)))
+    return let(_col(tokens), lambda t: let(_col(flags), lambda f: body(t, f)))
 
 
 def merge_phrases(tokens: ColumnOrName, phrases: Iterable[str], sep: str = " ",
                   delimiter: str = PHRASE_DELIMITER) -> Column:
-    """Merge adjacent tokens forming a listed phrase ("a b" -> "a_b")."""
+    """Merge adjacent tokens forming a listed phrase ("a b" -> "a_b").
+
+    Three passes over the tokens: flag each pair with a hashed set lookup,
+    mark the greedy starts with one regex replace over the flag string (see
+    :func:`merge_flagged_pairs`), then keep and join.
+    """
     phrases = check_bounded(sorted(set(phrases)), LIMITS.inline_terms, "phrase set")
     if not phrases:
         return _col(tokens)
-    flags = F.transform(adjacent_pairs(tokens, sep), lambda p: p.isin(phrases))
-    return merge_flagged_pairs(tokens, flags, delimiter)
+
+    def body(t):
+        n = F.size(t)
+        pairs = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+        bits = F.array_join(F.transform(pairs, lambda i: F.when(
+            F.concat(F.element_at(t, i), F.lit(sep), F.element_at(t, i + 1)).isin(phrases), "1")
+            .otherwise("0")), "")
+        marks = F.split(F.regexp_replace(F.concat(bits, F.lit("0")), "11", "SX"), "")
+        return let(marks, lambda m: _emit(t, m, n, delimiter))
+
+    return let(_col(tokens), body)
+
+
+def _emit(t: Column, marks: Column, n: Column, delimiter: str) -> Column:
+    def start(i):
+        return F.element_at(marks, i).isin("S", "1")
+
+    idx = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    kept = F.filter(idx, lambda i: ~F.when(i > 1, start(i - 1)).otherwise(F.lit(False)))
+    return F.transform(kept, lambda i: F.when(
+        start(i) & (i < n), F.concat(F.element_at(t, i), F.lit(delimiter), F.element_at(t, i + 1)))
+        .otherwise(F.element_at(t, i)))
 
 
 # ------------------------------------------------------------------- matching

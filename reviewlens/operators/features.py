@@ -14,37 +14,19 @@ from pyspark.sql import functions as F
 
 from ..config import PHRASE_DELIMITER, PHRASE_MIN_COUNT, PHRASE_THRESHOLD
 from ..functions import text as T
-from ..functions.text import let
+from ..session import ensure_checkpoint_dir
 from .ordering import dense_index
 
 
-def term_counts_array(tokens: Column) -> Column:
-    """Array of (term, tf) structs: distinct terms of a token array with counts.
+def doc_terms(df: DataFrame, id_col: str, tokens: Column, tf_col: str = "tf") -> DataFrame:
+    """Bag of words: one row per (document, term) with its count.
 
-    Sort, then cut at value changes: O(n log n) per row and no shuffle, so
-    per-document term frequencies never leave the task that read the text.
+    Explode + count with map-side partial aggregation.  When the input is
+    already hash-partitioned by document (see ``session.spread``) the
+    aggregate needs no further shuffle.
     """
-    def runs(s):
-        n = F.size(s)
-        later = F.when(n >= 2, F.filter(F.sequence(F.lit(2), n),
-                                        lambda i: F.element_at(s, i) != F.element_at(s, i - 1)))
-        starts = F.when(n >= 1, F.concat(F.array(F.lit(1)), F.coalesce(later, F.array().cast("array<int>"))))
-        starts = F.coalesce(starts, F.array().cast("array<int>"))
-
-        def pairs(st):
-            ends = F.concat(F.slice(st, 2, F.greatest(F.size(st) - 1, F.lit(0))), F.array(n + 1))
-            return F.zip_with(st, ends, lambda a, b: F.struct(F.element_at(s, a).alias("term"),
-                                                              (b - a).cast("bigint").alias("tf")))
-        return let(starts, pairs)
-
-    return let(F.array_sort(tokens), runs)
-
-
-def doc_terms(df: DataFrame, id_col: str, tokens: Column, tf_col: str = "tf") -> DataFrame:
-    """Bag of words: one row per (document, term) with its count."""
-    z = df.select(F.col(id_col), term_counts_array(tokens).alias("__z"))
-    return z.select(id_col, F.explode("__z").alias("__e")).select(
-        id_col, F.col("__e.term").alias("term"), F.col("__e.tf").alias(tf_col))
+    return (df.select(F.col(id_col), F.explode(tokens).alias("term"))
+            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias(tf_col)))
 
 
 def bow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -117,35 +99,42 @@ def gamma_scale(doc_term: DataFrame, n_docs: Column, value_col: str = "tf") -> D
                     var.alias("variance"), (F.lit(1.0) / (F.col("v") * var)).alias("gamma"))
 
 
+def ngram_counts(tokens_df: DataFrame, tokens_col: str) -> DataFrame:
+    """Counts of (a, b) for every token a and its successor b (null at the end).
+
+    One explode of ``arrays_zip(tokens, next tokens)`` and one aggregate give
+    both bigram counts (b not null) and, summed over b, unigram counts.
+    """
+    toks = F.col(tokens_col)
+    nxt = F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0)))
+    z = tokens_df.select(F.explode(F.arrays_zip(toks.alias("a"), nxt.alias("b"))).alias("p"))
+    return z.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+
+
 def phrase_scores(tokens_df: DataFrame, tokens_col: str, min_count: int = PHRASE_MIN_COUNT,
                   threshold: float = PHRASE_THRESHOLD, delimiter: str = PHRASE_DELIMITER) -> DataFrame:
     """Bigram phrase detection by the original score of Mikolov et al. (2013).
 
     ``score = (c_ab - min_count) * N / (c_a * c_b)`` with N = distinct
     unigrams + distinct adjacent bigrams; a pair is a phrase when score >
-    threshold.  Counting is map-side combined; unigram counts are joined
-    twice (broadcast when small, skew-split otherwise).
+    threshold.  The (a, next) counts are taken in one pass and checkpointed,
+    then unigram counts, N and the two unigram joins read that table.
     """
-    toks = F.col(tokens_col)
-    uni = (tokens_df.select(F.explode(toks).alias("w"))
-           .groupBy("w").agg(F.count(F.lit(1)).alias("c")))
-    pairs = F.zip_with(F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))),
-                       F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))),
-                       lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    bi = (tokens_df.select(F.explode(pairs).alias("p"))
-          .groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-          .agg(F.count(F.lit(1)).alias("c_ab")))
+    ensure_checkpoint_dir(tokens_df.sparkSession)
+    counts = ngram_counts(tokens_df, tokens_col).checkpoint(eager=True)
+    uni = counts.groupBy("a").agg(F.sum("c").alias("c_a"))
+    bi = counts.filter(F.col("b").isNotNull()).select("a", "b", F.col("c").alias("c_ab"))
     n_vocab = uni.select(F.count(F.lit(1))).scalar() + bi.select(F.count(F.lit(1))).scalar()
-    ca = uni.select(F.col("w").alias("a"), F.col("c").alias("c_a"))
-    cb = uni.select(F.col("w").alias("b"), F.col("c").alias("c_b"))
+    cb = uni.select(F.col("a").alias("b"), F.col("c_a").alias("c_b"))
     scored = (bi.filter(F.col("c_ab") > min_count)
-              .join(ca, "a").join(cb, "b")
+              .join(uni, "a").join(cb, "b")
               .withColumn("score", (F.col("c_ab") - min_count).cast("double") * n_vocab
                           / (F.col("c_a") * F.col("c_b")).cast("double")))
     return (scored.filter(F.col("score") > threshold)
             .select(F.concat_ws(" ", "a", "b").alias("phrase"),
                     F.concat_ws(delimiter, "a", "b").alias("merged"),
-                    "a", "b", "c_a", "c_b", "c_ab", "score"))
+                    "a", "b", F.col("c_a").cast("bigint").alias("c_a"),
+                    F.col("c_b").cast("bigint").alias("c_b"), "c_ab", "score"))
 
 
 def mean_pool(vectors: DataFrame, group_col: str, vec_col: str) -> DataFrame:

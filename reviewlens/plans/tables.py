@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import PROMO_PATTERNS
 from ..functions.text import python_regex
+from ..session import spread
 
 # Test binding: a word pattern that plays the role of a promotion rule on
 # the (non-CJK) test documents.
@@ -26,8 +27,15 @@ AMBIGUOUS_NATIONS = ("NATION_1", "NATION_2", "NATION_24")
 TEST_SEEDS = ("the", "and", "und", "la", "xyzzy")
 
 
+# Text tables and their row keys: spread over the cores when a scan is small.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_KEYS:
+        df = spread(df, TEXT_KEYS[name])
+    return df
 
 
 def rated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "reviewlens", f"{name}-{uuid.uuid4().hex}")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition ``df`` by ``keys`` when it has fewer partitions than cores.
+
+    CPU-heavy text work (regex tokenising, sorting tokens) needs every core.
+    A large scan already yields enough splits and is left alone; a small or
+    unsplittable file (one row group) is spread once, by its row key, which
+    also pre-clusters later per-document windows.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys) if keys else df.repartition(want)
+
+
 def collect_bounded(df: DataFrame, limit: int | None = None, what: str = "rows") -> list:
     """Collect a small table, failing loudly if it is larger than ``limit``.
 
