@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LIMITS, MORE_TOKEN, PHRASE_DELIMITER, TRANSLATION_MARKER
@@ -80,28 +80,31 @@ def remove_stopwords(df: DataFrame, tokens_col: str, stop_df: DataFrame, id_col:
 
 
 def merge_phrases(df: DataFrame, tokens_col: str, phrases: DataFrame, id_col: str,
-                  out_col: str = "merged", sep: str = " ",
-                  delimiter: str = PHRASE_DELIMITER) -> DataFrame:
-    """Greedy bigram merge against a phrase table (column ``phrase`` = "a b").
-
-    Small phrase sets (checked count) are inlined as a hashed set.  Larger
-    ones are joined: adjacent pairs are exploded, semi-joined with the
-    phrases (Spark picks broadcast or shuffle from runtime sizes), the
-    matching positions are regrouped per row and the same linear merge runs
-    on the flags.
+                  out_col: str = "merged", delimiter: str = PHRASE_DELIMITER) -> DataFrame:
+    """Greedy left-to-right bigram merge against a phrase table (columns a, b).
+
+    Long form, no per-element lambdas: tokens are exploded with positions,
+    each (token, next token) pair is left-joined with the phrases (broadcast
+    when small, a skew-split shuffle join otherwise), and the greedy choice
+    is a run-parity test: pair p starts a merge when it is a phrase and the
+    run of phrase pairs just before it has even length.  Windows are
+    partitioned by row, so one text is the largest unit of work.
     """
-    n = count_at_most(phrases.select("phrase").distinct(), LIMITS.inline_terms)
-    if n is not None:
-        plist = [r[0] for r in collect_bounded(phrases.select("phrase").distinct(),
-                                               LIMITS.inline_terms, "phrase set")]
-        return df.withColumn(out_col, T.merge_phrases(F.col(tokens_col), plist, sep, delimiter))
-    pairs = df.select(id_col, F.posexplode(T.adjacent_pairs(tokens_col, sep)).alias("__pos", "phrase"))
-    marked = pairs.join(phrases.select("phrase").distinct().withColumn("__hit", F.lit(True)),
-                        "phrase", "left")
-    per_row = marked.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("__pos", F.coalesce("__hit", F.lit(False)).alias("h"))))
-        .alias("__flags"))
-    flags = F.coalesce(F.transform("__flags", lambda s: s["h"]), F.array().cast("array<boolean>"))
-    return (df.join(per_row, id_col, "left")
-            .withColumn(out_col, T.merge_flagged_pairs(F.col(tokens_col), flags, delimiter))
-            .drop("__flags"))
+    w = Window.partitionBy(id_col).orderBy("__pos")
+    toks = (df.select(id_col, F.posexplode(tokens_col).alias("__pos", "__tok"))
+            .withColumn("__nxt", F.lead("__tok").over(w)))
+    ph = (phrases.select(F.col("a").alias("__tok"), F.col("b").alias("__nxt")).distinct()
+          .withColumn("__hit", F.lit(True)))
+    flagged = toks.join(ph, ["__tok", "__nxt"], "left").withColumn("__f", F.coalesce("__hit", F.lit(False)))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    last_plain = F.last(F.when(~F.col("__f"), F.col("__pos")), ignorenulls=True).over(before)
+    run = F.col("__pos") - F.coalesce(last_plain, F.lit(-1)) - 1
+    marked = flagged.withColumn("__start", F.col("__f") & (run % 2 == 0))
+    marked = marked.withColumn("__used", F.coalesce(F.lag("__start").over(w), F.lit(False)))
+    value = F.when(F.col("__start"), F.concat("__tok", F.lit(delimiter), "__nxt")).otherwise(F.col("__tok"))
+    merged = (marked.filter(~F.col("__used"))
+              .groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("__pos", value.alias("v")))).alias("__s"))
+              .select(id_col, F.transform("__s", lambda x: x["v"]).alias(out_col)))
+    empty = df.filter(F.coalesce(F.size(tokens_col), F.lit(0)) <= 0).select(
+        id_col, F.array().cast("array<string>").alias(out_col))
+    return merged.unionByName(empty)
