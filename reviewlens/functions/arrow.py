@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 from .text import ColumnOrName, _col
 
@@ -63,3 +63,40 @@ def lexicon_segmenter(words: list[str], max_len: int | None = None):
         return s.map(lambda v: None if v is None else segment(v))
 
     return _seg
+
+
+def contains_any_automaton(features: list[str]):
+    """Substring test against many features with one Aho-Corasick pass.
+
+    The automaton is built once per Python worker from the bounded feature
+    list; texts arrive in Arrow batches.
+    """
+    feats = [f for f in features if f]
+    state = {}
+
+    def automaton():
+        if "a" not in state:
+            try:
+                import ahocorasick
+                a = ahocorasick.Automaton()
+                for f in feats:
+                    a.add_word(f, f)
+                a.make_automaton()
+                state["a"] = ("ac", a)
+            except ImportError:  # plain scan as a fallback
+                state["a"] = ("scan", feats)
+        return state["a"]
+
+    def hit(text: str) -> bool:
+        kind, a = automaton()
+        if kind == "ac":
+            for _ in a.iter(text):
+                return True
+            return False
+        return any(f in text for f in a)
+
+    @pandas_udf(BooleanType())
+    def _contains(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else hit(v))
+
+    return _contains

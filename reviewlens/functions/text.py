@@ -238,10 +238,18 @@ def matches_any(c: ColumnOrName, patterns: Iterable[str] = PROMO_PATTERNS) -> Co
     return F.coalesce(_col(c).rlike(promo_regex(patterns)), F.lit(False))
 
 
+# Up to this many features the test is a native ``exists``; longer lists use
+# one Aho-Corasick automaton per task (a single pass over each text).
+NATIVE_FEATURES = 256
+
+
 def contains_any(c: ColumnOrName, features: Iterable[str]) -> Column:
     """True when any feature string is a substring of the text."""
     feats = check_bounded(sorted(set(features)), LIMITS.inline_terms, "feature list")
     if not feats:
         return F.lit(False)
+    if len(feats) > NATIVE_FEATURES:
+        from .arrow import contains_any_automaton
+        return F.coalesce(contains_any_automaton(feats)(_col(c)), F.lit(False))
     arr = F.array(*[F.lit(f) for f in feats])
     return F.coalesce(let(_col(c), lambda text: F.exists(arr, lambda f: F.contains(text, f))), F.lit(False))

@@ -93,3 +93,9 @@ def test_contains_any(spark):
 
 def test_ascii_fold(spark):
     assert one_col(spark, ["café", "café😀", None], ascii_fold) == ["café", "cafe", None]
+
+
+def test_contains_any_many_features_uses_same_semantics(spark):
+    feats = [f"w{i} x" for i in range(400)] + ["打卡 送"]
+    vals = ["今天 打卡 送 飲料", "w399 x", "w399x", None]
+    assert one_col(spark, vals, lambda c: T.contains_any(c, feats)) == [True, True, False, False]
