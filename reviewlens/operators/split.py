@@ -7,11 +7,13 @@ and the same rule is easy to write in any SQL engine.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import SPLIT_SEED, TEST_FRACTION
-from .ordering import running_totals
+from ..config import LIMITS, SPLIT_SEED, TEST_FRACTION
+from ..session import collect_bounded
 
 
 def split_hash(key: Column | str, seed: int = SPLIT_SEED) -> Column:
@@ -28,19 +30,49 @@ def hash_split(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION,
     return df.withColumn(out_col, ((split_hash(key, seed) % 100) < cut).cast("bigint"))
 
 
+def _select_cut(keyed: DataFrame, k: int) -> tuple[int, object]:
+    """(hash, key) of the k-th smallest row (1-based) by radix selection.
+
+    Four passes, one per byte of the 32-bit hash: count rows per byte value
+    below the current prefix (at most 256 rows reach the driver), step into
+    the bucket that holds the k-th row.  Only rows sharing the final hash
+    value are ordered by key.
+    """
+    prefix = 0
+    for level in range(4):
+        shift = 24 - 8 * level
+        sub = keyed if level == 0 else keyed.filter(F.shiftright("h", shift + 8) == prefix)
+        counts = sorted(tuple(r) for r in sub.groupBy(
+            F.shiftright("h", shift).bitwiseAND(255).alias("b")).count().collect())
+        for b, c in counts:
+            if k <= c:
+                prefix = (prefix << 8) | int(b)
+                break
+            k -= c
+    ties = collect_bounded(keyed.filter(F.col("h") == prefix).select("k").orderBy("k").limit(k),
+                           LIMITS.driver_rows, "rows sharing one split hash")
+    return prefix, ties[-1][0]
+
+
 def exact_split(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION,
                 seed: int = SPLIT_SEED, out_col: str = "is_test") -> DataFrame:
-    """Exactly ``ceil(fraction * n)`` test rows: the first ones in hash order.
+    """Exactly ``ceil(fraction * n)`` test rows: the first ones in (hash, key) order.
 
-    The position in (hash, key) order comes from per-partition counts plus
-    offsets (no window over all rows).
+    The cut is found by radix selection over the key column (a few counting
+    passes, no global sort), then every row is labelled by comparing its
+    own (hash, key) with the cut - no join back, no checkpoint of the rows.
     """
-    n = df.select(F.count(F.lit(1))).scalar()
-    ranked = running_totals(df.withColumn("__h", split_hash(key, seed)), ["__h", key],
-                            {"__pos": F.lit(1)})
-    n_test = F.ceil(n.cast("double") * F.lit(test_fraction))
-    return (ranked.withColumn(out_col, (F.col("__pos") <= n_test).cast("bigint"))
-            .drop("__h", "__pos"))
+    keyed = df.select(split_hash(key, seed).alias("h"), F.col(key).alias("k"))
+    n = keyed.count()
+    k = math.ceil(n * test_fraction)  # same double arithmetic as ceil(0.2 * n)
+    h = split_hash(key, seed)
+    if k <= 0:
+        return df.withColumn(out_col, F.lit(0).cast("bigint"))
+    if k >= n:
+        return df.withColumn(out_col, F.lit(1).cast("bigint"))
+    h_cut, k_cut = _select_cut(keyed, k)
+    test = (h < F.lit(h_cut)) | ((h == F.lit(h_cut)) & (F.col(key) <= F.lit(k_cut)))
+    return df.withColumn(out_col, test.cast("bigint"))
 
 
 def three_way_split(df: DataFrame, key: str, fractions=(0.8, 0.1, 0.1),
@@ -57,10 +89,12 @@ def stratified_folds(df: DataFrame, key: str, label_col: str, folds: int,
                      seed: int = SPLIT_SEED, out_col: str = "fold") -> DataFrame:
     """Fold id per row: rows of each label are dealt round-robin in hash order.
 
-    Uses the skew-safe per-group ordinal, so every fold gets its share of
-    each class even when one class is a large majority.
+    Ranks come from the skew-safe per-group ordinal on (key, label) only, so
+    every fold gets its share of each class even when one class is a large
+    majority; the fold ids are joined back on the key.
     """
     from .ordering import ordinal_in_group
-    ranked = ordinal_in_group(df.withColumn("__h", split_hash(key, seed)), [label_col], ["__h", key],
-                              "__ord")
-    return ranked.withColumn(out_col, ((F.col("__ord") - 1) % folds).cast("int")).drop("__h", "__ord")
+    keys = df.select(key, label_col, split_hash(key, seed).alias("__h"))
+    ranked = ordinal_in_group(keys, [label_col], ["__h", key], "__ord")
+    ids = ranked.select(key, ((F.col("__ord") - 1) % folds).cast("int").alias(out_col))
+    return df.join(ids, key)
