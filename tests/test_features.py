@@ -120,3 +120,24 @@ def test_tokenize_word_matches_python_regex(spark):
     want = re.findall(r"(?u)\b\w\w+\b", text.lower())
     got = docs(spark, [(1, text)]).select(T.tokenize_word("text")).first()[0]
     assert got == want
+
+
+def test_similar_topk_sql_and_arrow_agree_with_brute_force(spark):
+    import numpy as np
+    from reviewlens.operators.similarity import similar_topk
+    rnd = np.random.default_rng(4)
+    vecs = rnd.normal(size=(120, 8))
+    rows = [(f"w{i}", [float(x) for x in v]) for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows, "word string, vector array<double>")
+    seeds = df.filter(F.col("word").isin("w1", "w7", "w50")).withColumnRenamed("word", "seed")
+    want = {}
+    for s in ("w1", "w7", "w50"):
+        a = vecs[int(s[1:])]
+        sims = [(round(float(a @ v / (np.linalg.norm(a) * np.linalg.norm(v))), 6), f"w{j}")
+                for j, v in enumerate(vecs) if f"w{j}" != s]
+        want[s] = [w for _, w in sorted(sims, key=lambda t: (-t[0], t[1]))[:5]]
+    for method in ("sql", "arrow"):
+        got = {}
+        for r in similar_topk(df, seeds, 5, method=method, seeds_per_pass=2).orderBy("seed", "rank").collect():
+            got.setdefault(r["seed"], []).append(r["neighbor"])
+        assert got == want, method
