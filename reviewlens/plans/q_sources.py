@@ -18,7 +18,7 @@ from .registry import register, sq
 from .tables import table
 
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-REGION_SCHEMA = "r_regionkey int, r_name string"
+WANTED_CUSTOMER = "c_custkey bigint, c_name string, c_phone string"
 
 
 @register("csv_round_trip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -28,10 +28,13 @@ def csv_round_trip(spark, sf):
     return FS.read_csv(spark, path, DOC_SCHEMA)
 
 
-@register("tolerant_scan", "SELECT r_regionkey, r_name FROM region")
+@register("tolerant_scan", """
+SELECT c_custkey, c_name, CAST(NULL AS VARCHAR) AS c_phone FROM customer""")
 def tolerant_scan(spark, sf):
-    missing = FS.tolerant_scan(spark, scratch_path(spark, "never_written"), REGION_SCHEMA)
-    present = FS.tolerant_scan(spark, f"{sf.rstrip('/')}/region.parquet", REGION_SCHEMA)
+    """A missing path reads as an empty table; a wanted column the files lack
+    (c_phone) comes back null instead of failing the read."""
+    missing = FS.tolerant_scan(spark, scratch_path(spark, "never_written"), WANTED_CUSTOMER)
+    present = FS.tolerant_scan(spark, f"{sf.rstrip('/')}/customer.parquet", WANTED_CUSTOMER)
     return missing.unionByName(present)
 
 
@@ -100,16 +103,17 @@ def html_records(spark, sf):
 
 @register("incremental_ingest", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def incremental_ingest(spark, sf):
-    """documents arrive as two folders of files (the second overlaps the
-    first); both are ingested twice, and the store must hold each row once."""
+    """documents arrive as two overlapping folders of files: the first is
+    ingested, then the second lands and is ingested, then a rerun finds
+    nothing new.  The store must hold each row exactly once."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     base = scratch_path(spark, "ingest")
-    first, second = f"{base}/in/a", f"{base}/in/b"
-    docs.filter(F.col("doc_id") % 3 != 0).write.parquet(first)
-    docs.filter(F.col("doc_id") % 3 != 1).write.parquet(second)
-    store, ckpt = f"{base}/store", f"{base}/checkpoint"
-    for _ in range(2):
-        ingest_available(spark, f"{base}/in/*", DOC_SCHEMA, store, ckpt, "doc_id")
+    store, ckpt, source = f"{base}/store", f"{base}/checkpoint", f"{base}/in/*"
+    docs.filter(F.col("doc_id") % 3 != 0).write.parquet(f"{base}/in/a")
+    ingest_available(spark, source, DOC_SCHEMA, store, ckpt, "doc_id")
+    docs.filter(F.col("doc_id") % 3 != 1).write.parquet(f"{base}/in/b")
+    ingest_available(spark, source, DOC_SCHEMA, store, ckpt, "doc_id")
+    ingest_available(spark, source, DOC_SCHEMA, store, ckpt, "doc_id")
     return spark.read.parquet(store).select("doc_id", "text", "lang", "source", "n_chars")
 
 
