@@ -33,17 +33,24 @@ def fill_text(df: DataFrame, cols) -> DataFrame:
 def clean_reviews(df: DataFrame, *, text_col: str, rating_col: str,
                   stopwords: Iterable[str] = (), marker: str = TRANSLATION_MARKER,
                   removed_class: str = T.NOT_CJK_CLASS, tokenizer: str = "word",
-                  patterns=None, keep_empty: bool = False,
+                  patterns=None, keep_empty: bool = False, drop_token: str | None = None,
+                  age_col: str | None = None, anchor_col: str | None = None,
+                  date_col: str = "review_date",
                   processed_col: str = "processed", label_col: str = "is_inducing") -> DataFrame:
     """The rule-labelling cleaning plan in one chained DataFrame plan.
 
-    null filter -> marker filter -> promotion flag on the raw text -> label
-    (rating 5 AND promotion) -> charset filter -> tokens -> stop words ->
-    space-joined text.  Empty processed text is dropped unless
-    ``keep_empty`` (the original kept it).
+    relative date (when ``age_col``) -> null filter -> marker filter ->
+    promotion flag on the raw text -> label (rating 5 AND promotion) ->
+    charset filter -> tokens -> stop words -> space-joined text.  Empty
+    processed text is dropped unless ``keep_empty`` (the original kept it);
+    ``drop_token`` drops rows whose processed text equals it (nulls kept).
+    Catalyst pushes the filters below the date projection.
     """
     from .label import rule_label
 
+    if age_col:
+        df = df.withColumn(date_col, T.relative_time(F.col(age_col),
+                                                     F.col(anchor_col) if anchor_col else None))
     kept = drop_marked_text(drop_null_text(df, text_col), text_col, marker)
     labelled = rule_label(kept, text_col=text_col, rating_col=rating_col,
                           patterns=patterns, label_col=label_col, keep_promo=False)
@@ -53,9 +60,33 @@ def clean_reviews(df: DataFrame, *, text_col: str, rating_col: str,
     out = labelled.withColumn(processed_col, T.join_tokens(tokens))
     if not keep_empty:
         out = out.filter(F.col(processed_col) != "")
+    if drop_token is not None:
+        out = drop_equal_null_safe(out, processed_col, drop_token)
     return out
 
 
+def clean_review_table(raw: DataFrame, stopwords: Iterable[str] = (), tokenizer: str = "whitespace",
+                       with_restaurant: bool = False, keep_empty: bool = True,
+                       drop_token: str | None = None) -> DataFrame:
+    """Collected reviews (``schema.RAW_REVIEWS``) -> the cleaned review table.
+
+    Reviewer names are renamed by the alias map, the relative age is
+    resolved against the stored scrape time, and the output columns are
+    those of ``schema.CLEANED_REVIEWS`` (with RestName first if asked).
+    """
+    from ..schema import apply_aliases, parse_scrape_time
+
+    df = parse_scrape_time(apply_aliases(raw))
+    out = clean_reviews(df, text_col="ReviewDescription", rating_col="ReviewRating",
+                        stopwords=stopwords, tokenizer=tokenizer, keep_empty=keep_empty,
+                        drop_token=drop_token, age_col="ReviewDate", anchor_col="ScrapeTime",
+                        date_col="ReviewActualDate", processed_col="ProcessedReview",
+                        label_col="IsInducing")
+    cols = ["ReviewActualDate", "Reviewer", "ReviewRating", "ProcessedReview",
+            F.col("IsInducing").cast("int").alias("IsInducing")]
+    return out.select(*(["RestName"] if with_restaurant else []), *cols)
+
+
 def remove_stopwords(df: DataFrame, tokens_col: str, stop_df: DataFrame, id_col: str,
                      out_col: str | None = None) -> DataFrame:
     """Stop-word removal against a stop-word *table* of any size.

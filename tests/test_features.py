@@ -141,3 +141,19 @@ def test_similar_topk_sql_and_arrow_agree_with_brute_force(spark):
         for r in similar_topk(df, seeds, 5, method=method, seeds_per_pass=2).orderBy("seed", "rank").collect():
             got.setdefault(r["seed"], []).append(r["neighbor"])
         assert got == want, method
+
+
+def test_clean_review_table_on_raw_schema(spark):
+    import datetime
+    from reviewlens.schema import RAW_REVIEWS
+    ts = datetime.datetime(2024, 3, 1, 10, 5, 0)
+    raw = spark.createDataFrame([
+        (ts, "店A", "N", "小明", "", 5.0, "2 週前", "五星好評送小菜 😀 好吃"),
+        (ts, "店A", "Y", "小華", "在地嚮導", 5.0, "3 天前", "由 Google 提供翻譯 good"),
+        (ts, "店B", "N", "阿強", "", 4.0, "剛剛", None),
+        (ts, "店B", "N", "阿美", "", 3.0, "1 年前", "更多"),
+    ], RAW_REVIEWS)
+    out = X.clean_review_table(raw, drop_token="更多", with_restaurant=True).orderBy("Reviewer").collect()
+    assert [tuple(r) for r in out] == [("店A", "2024/02/16 10:05", "小明", 5.0, "五星好評送小菜好吃", 1)]
+    assert out[0].asDict().keys() == {"RestName", "ReviewActualDate", "Reviewer", "ReviewRating",
+                                      "ProcessedReview", "IsInducing"}
