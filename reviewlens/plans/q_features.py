@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import NEIGHBOURS_PER_SEED, PHRASE_MIN_COUNT, PHRASE_THRESHOLD, SEED_PHRASES
+from ..config import NEIGHBOURS_PER_SEED, PHRASE_MIN_COUNT, PHRASE_THRESHOLD, SEED_PHRASES, W2V_WINDOW
 from ..functions import text as T
+from ..operators import cooccurrence as CO
 from ..operators import features as FT
 from ..operators import metrics as M
 from ..operators import similarity as S
 from ..operators import text_ops as X
 from .registry import r6, register, sq, sql_list
-from .tables import PIVOT_TERMS, TEST_SEEDS, table
+from .tables import PIVOT_TERMS, TEST_SEEDS, rated_documents, table
 
 WORD = sq(T.WORD_TOKEN)
 RUN = r"([\p{L}\p{N}_]+)"
@@ -222,3 +223,57 @@ def term_log_odds(spark, sf):
     out = M.term_log_odds(_doc_terms(spark, sf), labs)
     return out.select("term", "docs_pos", "docs_neg", r6("rate_pos").alias("rate_pos"),
                       r6("rate_neg").alias("rate_neg"), r6("log_odds").alias("log_odds"))
+
+
+# ------------------------------------------------------------------ PPMI expansion
+
+PPMI_SQL = f"""
+  tok AS (SELECT doc_id, regexp_extract_all(lower(text), {WORD}, 1) AS t FROM documents),
+  pos AS (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM tok),
+  pairs AS (SELECT t[i] AS w, t[i + d] AS c FROM pos, range(1, {W2V_WINDOW + 1}) AS r(d) WHERE i + d <= len(t)
+            UNION ALL
+            SELECT t[i + d] AS w, t[i] AS c FROM pos, range(1, {W2V_WINDOW + 1}) AS r(d) WHERE i + d <= len(t)),
+  cnt AS (SELECT w, c, count(*) AS n FROM pairs GROUP BY w, c),
+  tot AS (SELECT sum(n) AS total FROM cnt),
+  marg AS (SELECT w, sum(n) AS n_w FROM cnt GROUP BY w),
+  pm AS (SELECT cnt.w, cnt.c, ln(CAST(cnt.n AS DOUBLE) * tot.total / CAST(mw.n_w * mc.n_w AS DOUBLE)) AS ppmi
+         FROM cnt JOIN marg mw ON mw.w = cnt.w JOIN marg mc ON mc.w = cnt.c CROSS JOIN tot),
+  pp AS (SELECT * FROM pm WHERE ppmi > 0),
+  nrm AS (SELECT w, sqrt(sum(ppmi * ppmi)) AS nw FROM pp GROUP BY w),
+  sd AS (SELECT w AS seed, c, ppmi AS sv FROM pp WHERE w IN ({", ".join(sq(s) for s in sorted(TEST_SEEDS))})),
+  dots AS (SELECT sd.seed, pp.w, sum(pp.ppmi * sd.sv) AS dot FROM pp JOIN sd ON pp.c = sd.c GROUP BY sd.seed, pp.w),
+  sims AS (SELECT dots.seed, dots.w AS neighbor, round(dot / (a.nw * b.nw), 6) AS similarity
+           FROM dots JOIN nrm a ON a.w = dots.w JOIN nrm b ON b.w = dots.seed WHERE dots.seed <> dots.w),
+  topk AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY seed ORDER BY similarity DESC, neighbor)
+                                      AS BIGINT) AS rank FROM sims) WHERE rank <= {NEIGHBOURS_PER_SEED})"""
+
+
+def _ppmi_neighbours(spark, sf):
+    toks = _docs(spark, sf).select(T.tokenize_word("text").alias("tokens"))
+    weights = CO.ppmi(CO.cooccurrence_counts(toks, "tokens", W2V_WINDOW))
+    return CO.ppmi_neighbors(weights, TEST_SEEDS, NEIGHBOURS_PER_SEED)
+
+
+@register("expand_ppmi", f"WITH {PPMI_SQL} SELECT seed, neighbor, similarity, rank FROM topk")
+def expand_ppmi(spark, sf):
+    """Seed words' nearest words by PPMI cosine (deterministic expansion)."""
+    return _ppmi_neighbours(spark, sf)
+
+
+@register("expansion_label", f"""
+WITH {PPMI_SQL},
+  feats AS (SELECT DISTINCT feature FROM (
+              SELECT unnest({sql_list(sorted(TEST_SEEDS))}) AS feature UNION ALL SELECT neighbor FROM topk))
+SELECT doc_id, {"CAST(1 + doc_id % 5 AS DOUBLE)"} AS rating,
+       CAST(CAST(1 + doc_id % 5 AS DOUBLE) = 5 AND EXISTS (
+            SELECT 1 FROM feats WHERE contains(array_to_string(regexp_extract_all(lower(d.text), {WORD}, 1), ' '),
+                                               feats.feature)) AS BIGINT) AS is_inducing
+FROM documents d""")
+def expansion_label(spark, sf):
+    """Seeds widened by their PPMI neighbours, then the feature label
+    (rating 5 and any feature in the processed text)."""
+    from ..operators import label as L
+    feats = S.feature_list(S.expand_features(_ppmi_neighbours(spark, sf), TEST_SEEDS))
+    d = rated_documents(spark, sf).withColumn("processed", T.join_tokens(T.tokenize_word("text")))
+    return L.feature_label(d, text_col="processed", rating_col="rating", features=feats).select(
+        "doc_id", "rating", "is_inducing")

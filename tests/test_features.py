@@ -157,3 +157,37 @@ def test_clean_review_table_on_raw_schema(spark):
     assert [tuple(r) for r in out] == [("店A", "2024/02/16 10:05", "小明", 5.0, "五星好評送小菜好吃", 1)]
     assert out[0].asDict().keys() == {"RestName", "ReviewActualDate", "Reviewer", "ReviewRating",
                                       "ProcessedReview", "IsInducing"}
+
+
+def test_ppmi_neighbors_match_brute_force(spark):
+    import math
+    from collections import Counter
+    from reviewlens.operators import cooccurrence as CO
+    rnd = random.Random(2)
+    lists = [[rnd.choice("abcdefg") for _ in range(rnd.randint(0, 9))] for _ in range(80)]
+    df = spark.createDataFrame([(t,) for t in lists], "tokens array<string>")
+    got = {(r.seed, r.neighbor): r.similarity
+           for r in CO.ppmi_neighbors(CO.ppmi(CO.cooccurrence_counts(df, "tokens", 2)), ["a"], 3).collect()}
+    cnt = Counter()
+    for t in lists:
+        for i in range(len(t)):
+            for d in (1, 2):
+                if i + d < len(t):
+                    cnt[(t[i], t[i + d])] += 1
+                    cnt[(t[i + d], t[i])] += 1
+    total = sum(cnt.values())
+    marg = Counter()
+    for (w, _), n in cnt.items():
+        marg[w] += n
+    vec = {}
+    for (w, c), n in cnt.items():
+        v = math.log(n * total / (marg[w] * marg[c]))
+        if v > 0:
+            vec.setdefault(w, {})[c] = v
+    def cos(x, y):
+        a, b = vec.get(x, {}), vec.get(y, {})
+        dot = sum(a[k] * b[k] for k in a if k in b)
+        return dot / (math.sqrt(sum(v * v for v in a.values())) * math.sqrt(sum(v * v for v in b.values())))
+    sims = sorted(((round(cos("a", w), 6), w) for w in vec if w != "a" and any(k in vec["a"] for k in vec[w])),
+                  key=lambda t: (-t[0], t[1]))[:3]
+    assert got == {("a", w): s for s, w in sims}
