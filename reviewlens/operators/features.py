@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..config import PHRASE_DELIMITER, PHRASE_MIN_COUNT, PHRASE_THRESHOLD
 from ..functions import text as T
-from ..session import ensure_checkpoint_dir
+from ..functions.text import let
+from ..session import materialize
 from .ordering import dense_index
 
 
@@ -105,9 +106,11 @@ def ngram_counts(tokens_df: DataFrame, tokens_col: str) -> DataFrame:
     One explode of ``arrays_zip(tokens, next tokens)`` and one aggregate give
     both bigram counts (b not null) and, summed over b, unigram counts.
     """
-    toks = F.col(tokens_col)
-    nxt = F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0)))
-    z = tokens_df.select(F.explode(F.arrays_zip(toks.alias("a"), nxt.alias("b"))).alias("p"))
+    def with_next(toks):
+        nxt = F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0)))
+        return F.arrays_zip(toks.alias("a"), nxt.alias("b"))
+
+    z = tokens_df.select(F.explode(let(F.col(tokens_col), with_next)).alias("p"))
     return z.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("c"))
 
 
@@ -117,11 +120,10 @@ def phrase_scores(tokens_df: DataFrame, tokens_col: str, min_count: int = PHRASE
 
     ``score = (c_ab - min_count) * N / (c_a * c_b)`` with N = distinct
     unigrams + distinct adjacent bigrams; a pair is a phrase when score >
-    threshold.  The (a, next) counts are taken in one pass and checkpointed,
+    threshold.  The (a, next) counts are taken in one pass and written once,
     then unigram counts, N and the two unigram joins read that table.
     """
-    ensure_checkpoint_dir(tokens_df.sparkSession)
-    counts = ngram_counts(tokens_df, tokens_col).checkpoint(eager=True)
+    counts = materialize(ngram_counts(tokens_df, tokens_col), "ngram_counts")
     uni = counts.groupBy("a").agg(F.sum("c").alias("c_a"))
     bi = counts.filter(F.col("b").isNotNull()).select("a", "b", F.col("c").alias("c_ab"))
     n_vocab = uni.select(F.count(F.lit(1))).scalar() + bi.select(F.count(F.lit(1))).scalar()

@@ -10,9 +10,9 @@
 * ``running_totals`` - global running sums (dense index, cumulative counts)
   from per-partition totals plus offsets; no un-partitioned window over data.
 
-The sorted and tagged data is checkpointed into the shared checkpoint folder
-so the partition ids stay fixed if a task is recomputed after an executor
-loss.
+The sorted and tagged data is written once to the shared checkpoint folder
+(``session.materialize``), so the partition ids stay fixed if a task is
+recomputed after an executor loss.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 _PID, _MID = "__pid", "__mid"
 
@@ -43,11 +43,10 @@ def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int,
 
 
 def _tagged(df: DataFrame, order_cols: Sequence) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
     tagged = (df.orderBy(*order_cols)
               .withColumn(_PID, F.spark_partition_id())
               .withColumn(_MID, F.monotonically_increasing_id()))
-    return tagged.checkpoint(eager=True)
+    return materialize(tagged, "ordered")
 
 
 def ordinal_in_group(df: DataFrame, group_cols, order_cols,

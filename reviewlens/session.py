@@ -21,6 +21,11 @@ def get_spark(master: str | None = None, app: str = "reviewlens",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor; Spark's 1g default
+        # heap makes every shuffle spill.  Clusters size executors at submit.
+        builder = builder.config("spark.driver.memory",
+                                 os.environ.get("REVIEWLENS_DRIVER_MEMORY", "16g"))
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -63,6 +68,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "reviewlens", f"{name}-{uuid.uuid4().hex}")
 
 
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
+
+    Cuts the lineage like a reliable checkpoint (a lost executor re-reads the
+    files instead of recomputing upstream work), computes the data exactly
+    once, and later readers get column pruning and filter pushdown.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition ``df`` by ``keys`` when it has fewer partitions than cores.
 
