@@ -51,15 +51,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     used as is.  Only when nothing is configured (local runs, tests) a fresh
     folder under the system temp directory is taken.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote (Connect) sessions have no context
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
+        if not configured:
+            configured = tempfile.mkdtemp(prefix="reviewlens-ckpt-")
+        sc.setCheckpointDir(configured)
+        return sc.getCheckpointDir()
     if not configured:
         configured = tempfile.mkdtemp(prefix="reviewlens-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir()
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -88,8 +96,12 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     unsplittable file (one row group) is spread once, by its row key, which
     also pre-clusters later per-document windows.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - remote sessions: leave partitioning to the server
+        return df
+    if have >= want:
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
 
