@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import PY_SPACE_CLASS
 from ..functions import text as T
 from ..session import scratch_path
 from ..sources import files as FS
@@ -115,6 +114,3 @@ def incremental_ingest(spark, sf):
     ingest_available(spark, source, DOC_SCHEMA, store, ckpt, "doc_id")
     ingest_available(spark, source, DOC_SCHEMA, store, ckpt, "doc_id")
     return spark.read.parquet(store).select("doc_id", "text", "lang", "source", "n_chars")
-
-
-__all__ = ["PY_SPACE_CLASS"]
