@@ -35,7 +35,7 @@ def _doc_terms(spark, sf):
 
 
 def _n_docs(spark, sf):
-    return _docs(spark, sf).select(F.count(F.lit(1))).scalar()
+    return table(spark, sf, "documents", spread_text=False).select(F.count(F.lit(1))).scalar()
 
 
 @register("bow", f"WITH {TF_SQL} SELECT doc_id, term, CAST(tf AS BIGINT) AS tf FROM tf")

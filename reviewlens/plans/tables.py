@@ -31,9 +31,11 @@ TEST_SEEDS = ("the", "and", "und", "la", "xyzzy")
 TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread_text: bool = True) -> DataFrame:
+    """A test table; text tables are spread over the cores unless the caller
+    only counts or projects keys (``spread_text=False``)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in TEXT_KEYS:
+    if spread_text and name in TEXT_KEYS:
         df = spread(df, TEXT_KEYS[name])
     return df
 
