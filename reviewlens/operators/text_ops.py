@@ -55,7 +55,10 @@ def clean_reviews(df: DataFrame, *, text_col: str, rating_col: str,
     labelled = rule_label(kept, text_col=text_col, rating_col=rating_col,
                           patterns=patterns, label_col=label_col, keep_promo=False)
     cleaned = T.keep_charset(F.col(text_col), removed_class)
-    tokens = T.tokenize_word(cleaned) if tokenizer == "word" else T.tokenize_whitespace(cleaned)
+    if callable(tokenizer):  # e.g. functions.arrow.lexicon_segmenter(words) for CJK text
+        tokens = tokenizer(cleaned)
+    else:
+        tokens = T.tokenize_word(cleaned) if tokenizer == "word" else T.tokenize_whitespace(cleaned)
     tokens = T.remove_terms(tokens, stopwords)
     out = labelled.withColumn(processed_col, T.join_tokens(tokens))
     if not keep_empty:
