@@ -40,6 +40,13 @@ def get_spark(master: str | None = None, app: str = "reviewlens",
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    if not shuffle_partitions and not (master or "").startswith("local"):
+        # adaptive execution merges small shuffle partitions but cannot split
+        # big ones (except skew), so start from ~3 tasks per core on clusters
+        # unless the submit configuration chose a number.
+        if spark.sparkContext.getConf().get("spark.sql.shuffle.partitions", None) is None:
+            cores = spark.sparkContext.defaultParallelism
+            spark.conf.set("spark.sql.shuffle.partitions", str(max(200, 3 * cores)))
     ensure_checkpoint_dir(spark)
     return spark
 
