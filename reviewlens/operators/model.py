@@ -20,7 +20,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import DenseVector
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +60,19 @@ def positional_zip(spark, names: list[str], values: list[float],
     return spark.createDataFrame(rows, f"idx int, {name_col} string, {value_col} double")
 
 
+def positional_zip_arrays(df: DataFrame, id_col: str, names_col: str, values_col: str,
+                          name_col: str = "term", value_col: str = "value") -> DataFrame:
+    """Pair two array columns of each row by position: (id, pos, name, value).
+
+    ``arrays_zip`` + ``posexplode`` inside the row - no join, no shuffle;
+    the shorter array is padded with nulls.
+    """
+    z = df.select(id_col, F.posexplode(F.arrays_zip(F.col(names_col).alias("n"),
+                                                    F.col(values_col).alias("v"))).alias("pos", "__z"))
+    return z.select(id_col, F.col("pos").cast("bigint").alias("pos"),
+                    F.col("__z.n").alias(name_col), F.col("__z.v").alias(value_col))
+
+
 def learner(kind: str, n_features: int, seed: int = SPLIT_SEED, **params):
     if kind == "rf":
         return RandomForestClassifier(
@@ -109,13 +122,9 @@ def rf_grid_search(train: DataFrame, grid: dict = RF_GRID, folds: int = RF_FOLDS
     feats = fit_features(train)
     data = feats.transform(train)
     rf = RandomForestClassifier(featureSubsetStrategy="sqrt", impurity="gini", seed=seed)
-    builder = ParamGridBuilder()
-    points = rf_grid_points(grid)
-    maps = []
-    for p in points:
-        maps.append({rf.numTrees: p["num_trees"], rf.maxDepth: p["max_depth"],
-                     rf.minInstancesPerNode: p["min_instances"]})
-    del builder
+    # explicit parameter maps: the collapsed grid is not a full cross product
+    maps = [{rf.numTrees: p["num_trees"], rf.maxDepth: p["max_depth"],
+             rf.minInstancesPerNode: p["min_instances"]} for p in rf_grid_points(grid)]
     cv = CrossValidator(estimator=rf, estimatorParamMaps=maps,
                         evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
                         numFolds=folds, parallelism=parallelism, seed=seed)

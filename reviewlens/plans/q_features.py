@@ -277,3 +277,15 @@ def expansion_label(spark, sf):
     d = rated_documents(spark, sf).withColumn("processed", T.join_tokens(T.tokenize_word("text")))
     return L.feature_label(d, text_col="processed", rating_col="rating", features=feats).select(
         "doc_id", "rating", "is_inducing")
+
+
+@register("positional_zip", f"""
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, t[i] AS term, CAST(length(t[i]) AS BIGINT) AS value
+FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i
+      FROM (SELECT doc_id, regexp_extract_all(lower(text), {WORD}, 1) AS t FROM documents))""")
+def positional_zip(spark, sf):
+    """Token names paired by position with a per-token value (its length)."""
+    from ..operators import model as MD
+    d = _docs(spark, sf).select("doc_id", T.tokenize_word("text").alias("t"))
+    d = d.select("doc_id", "t", F.transform("t", lambda x: F.length(x).cast("bigint")).alias("v"))
+    return MD.positional_zip_arrays(d, "doc_id", "t", "v")
