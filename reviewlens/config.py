@@ -134,8 +134,7 @@ class Limits:
 
     inline_terms: int = 50_000      # stop words, features, phrase sets
     driver_rows: int = 10_000       # seeds and other config collected once
-    salt_buckets: int = 64          # split of hot groups in top-k
-    vocab_for_models: int = 4_096   # feature cap at the ML boundary
+    vocab_for_models: int = 1 << 18  # ML vectoriser size (Spark default); the test vocabularies fit
 
 
 LIMITS = Limits()

@@ -1,7 +1,8 @@
 """Classifiers on text features with ``pyspark.ml``.
 
 Features: the vectoriser vocabulary is fitted on the training rows only
-(capped at ``LIMITS.vocab_for_models`` terms, min document frequency 2).
+(at most ``LIMITS.vocab_for_models`` terms - Spark's default size, which bounds the
+driver-side vocabulary - and every term seen at least once, as in the original).
 TF-IDF uses Spark's IDF plus one - ``ln((n+1)/(df+1)) + 1`` - and an L2
 normaliser, which is the smoothed TF-IDF of the original scripts restricted
 to the kept vocabulary.
@@ -30,7 +31,7 @@ MAX_SPARK_DEPTH = 30
 
 
 def fit_features(train: DataFrame, tokens_col: str = "tokens", kind: str = "tfidf",
-                 vocab_size: int | None = None, min_df: float = 2.0) -> PipelineModel:
+                 vocab_size: int | None = None, min_df: float = 1.0) -> PipelineModel:
     """Fit the vectoriser (and IDF) on ``train``; output column ``features``."""
     vocab_size = vocab_size or LIMITS.vocab_for_models
     cv = CountVectorizer(inputCol=tokens_col, outputCol="tf" if kind == "tfidf" else "features",
