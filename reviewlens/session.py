@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -77,10 +78,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+_SCRATCH_ROOTS: set[str] = set()
+
+
+def _remove_scratch(spark: SparkSession, root: str) -> None:
+    """Delete this application's scratch folder at interpreter exit (best effort)."""
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the JVM may already be gone
+        pass
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path inside the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "reviewlens", f"{name}-{uuid.uuid4().hex}")
+    """A new, unique path inside the shared checkpoint folder.
+
+    The application's checkpoint folder is unique per Spark application;
+    the ``reviewlens`` part of it is removed when the Python process exits.
+    """
+    root = os.path.join(ensure_checkpoint_dir(spark), "reviewlens")
+    if root not in _SCRATCH_ROOTS:
+        _SCRATCH_ROOTS.add(root)
+        atexit.register(_remove_scratch, spark, root)
+    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
