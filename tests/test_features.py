@@ -191,3 +191,26 @@ def test_ppmi_neighbors_match_brute_force(spark):
     sims = sorted(((round(cos("a", w), 6), w) for w in vec if w != "a" and any(k in vec["a"] for k in vec[w])),
                   key=lambda t: (-t[0], t[1]))[:3]
     assert got == {("a", w): s for s, w in sims}
+
+
+def test_remove_stopwords_join_path_matches_inline(spark):
+    from reviewlens.config import LIMITS
+    big = [f"zz{i}" for i in range(LIMITS.inline_terms + 5)] + ["b", "d"]
+    stop = spark.createDataFrame([(w,) for w in big], "word string")
+    rows = [(1, ["a", "b", "a", "c", "d", "b"]), (2, ["b", "d"]), (3, [])]
+    df = spark.createDataFrame(rows, "doc_id int, t array<string>")
+    got = {r.doc_id: r.t for r in X.remove_stopwords(df, "t", stop, "doc_id").collect()}
+    assert got == {1: ["a", "a", "c"], 2: [], 3: []}
+
+
+def test_merge_flagged_pairs_matches_greedy(spark):
+    from tests.test_text_functions import greedy
+    rnd = random.Random(21)
+    phrases = {"a b", "b b", "c a"}
+    rows = [[rnd.choice("abc") for _ in range(rnd.randint(0, 10))] for _ in range(150)]
+    flags = [[f"{t[i]} {t[i + 1]}" in phrases for i in range(len(t) - 1)] for t in rows]
+    df = spark.createDataFrame([(i, t, f) for i, (t, f) in enumerate(zip(rows, flags))],
+                               "id int, t array<string>, f array<boolean>")
+    got = {r.id: r.m for r in df.select("id", T.merge_flagged_pairs("t", "f").alias("m")).collect()}
+    for i, t in enumerate(rows):
+        assert got[i] == greedy(t, phrases), t
