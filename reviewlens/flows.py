@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .config import MORE_TOKEN, SEED_PHRASES, TOP_WORDS
+from .config import MORE_TOKEN, SEED_PHRASES, TOP_WORDS, W2V_MIN_COUNT, W2V_WINDOW
 from .functions import text as T
 from .operators import cooccurrence as CO
 from .operators import embed as E
@@ -82,7 +82,9 @@ def expansion_labelled_reviews(raw: DataFrame, stopwords: Iterable[str] = (),
     merged = X.merge_phrases(toks, "tokens", phrases, "__id", "merged")
     words = S.seed_words(seed_phrases)
     if provider == "ppmi":
-        neighbours = CO.ppmi_neighbors(CO.ppmi(CO.cooccurrence_counts(merged, "merged")), words)
+        # same vocabulary rule as the embedding trainer: words seen < min count are dropped
+        counts = CO.cooccurrence_counts(merged, "merged", W2V_WINDOW, min_count=W2V_MIN_COUNT)
+        neighbours = CO.ppmi_neighbors(CO.ppmi(counts), words)
     else:
         kwargs = {"epochs": epochs} if epochs else {}
         model = E.train_word2vec(merged, "merged", **kwargs)

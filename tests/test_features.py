@@ -214,3 +214,19 @@ def test_merge_flagged_pairs_matches_greedy(spark):
     got = {r.id: r.m for r in df.select("id", T.merge_flagged_pairs("t", "f").alias("m")).collect()}
     for i, t in enumerate(rows):
         assert got[i] == greedy(t, phrases), t
+
+
+def test_cooccurrence_min_count_drops_rare_words_first(spark):
+    from collections import Counter
+    from reviewlens.operators import cooccurrence as CO
+    lists = [["a", "x", "b", "a"], ["b", "y", "a"], ["a", "b"], []]
+    df = spark.createDataFrame([(t,) for t in lists], "tokens array<string>")
+    got = {(r.w, r.c): r.n for r in CO.cooccurrence_counts(df, "tokens", 1, min_count=2).collect()}
+    freq = Counter(w for t in lists for w in t)
+    want = Counter()
+    for t in lists:
+        t = [w for w in t if freq[w] >= 2]
+        for i in range(len(t) - 1):
+            want[(t[i], t[i + 1])] += 1
+            want[(t[i + 1], t[i])] += 1
+    assert got == dict(want)
