@@ -32,16 +32,16 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import (binary, blob_column, by_bucket, mix, runs, shuffle_width, ship, text_buffer,
-                     text_slices, texts, window_hashes, window_starts, word_hashes, word_spans,
-                     written)
+from .common import (binary, blob_column, by_bucket, deal, deal_entries, mix, ranges, runs, ship,
+                     shuffle_width, text_buffer, text_slices, texts, window_hashes, window_starts,
+                     word_hashes, word_spans, written)
 
 PROBES = "bucket int, ids binary, keys binary, counts binary, prints binary, marks binary"
-HITS = "doc_id long, row_key long, bucket int, hits binary"
+HITS = "bucket int, blocks binary, ids binary, keys binary, counts binary, hits binary"
 WINDOWS = "bucket int, ids binary, keys binary, counts binary, prints binary, places binary"
-SPANS = "doc_id long, row_key long, places binary"
+SPANS = "bucket int, ids binary, keys binary, counts binary, places binary"
+OF_DOCUMENT = "doc_id long, row_key long, found binary"
 
 
 def _block(window: int) -> int:
@@ -70,45 +70,78 @@ def _probes(window, buckets):
         for batch in batches:
             for part in text_slices(batch):
                 *_, row, bucket, prints, mark = _rolling(part, window, buckets)
-                ids = part.column("doc_id").fill_null(0).to_numpy()
-                keys = part.column("row_key").to_numpy()
-                order, cuts = by_bucket(bucket)
-                row, prints, mark = row[order], prints[order], mark[order]
-                out = {n: [] for n in ("bucket", "ids", "keys", "counts", "prints", "marks")}
-                for b, x, y in cuts:
-                    r, c = runs(row[x:y])
-                    for n, v in zip(out, (b, ids[r].tobytes(), keys[r].tobytes(), c.tobytes(),
-                                          prints[x:y].tobytes(),
-                                          mark[x:y].astype(np.uint8).tobytes())):
-                        out[n].append(v)
-                if cuts:
-                    yield ship(bucket=pa.array(out.pop("bucket"), pa.int32()),
-                               **{n: binary(v) for n, v in out.items()})
+                out = deal_entries(bucket, row, {"prints": prints, "marks": mark.astype(np.uint8)},
+                                   ids=part.column("doc_id").fill_null(0).to_numpy(),
+                                   keys=part.column("row_key").to_numpy())
+                if out is not None:
+                    yield out.select([c.split()[0] for c in PROBES.split(", ")])
     return run
 
 
-def _find_hits(table: pa.Table) -> pa.Table:
-    """Of one bucket: the rolling runs that equal a block and occur in two documents."""
-    bucket = table.column("bucket")[0].as_py()
-    counts = blob_column(table, "counts", np.uint32).astype(np.int64)
-    ids, keys = blob_column(table, "ids", np.int64), blob_column(table, "keys", np.int64)
-    prints, mark = blob_column(table, "prints", np.uint32), blob_column(table, "marks", np.uint8)
-    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-    order = np.argsort(prints)
-    cut = _edges(prints[order])
-    doc = ids[owner[order]]
-    good = (np.maximum.reduceat(mark[order], cut) > 0) \
-        & (np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut))
-    flag = np.zeros(len(prints), bool)
-    flag[order] = np.repeat(good, np.diff(np.append(cut, len(prints))))
-    hit = np.flatnonzero(flag)
-    first = np.cumsum(counts) - counts
+def _home(ids, keys, homes):
+    """Where the findings of a document are gathered."""
+    return mix(mix(ids.view(np.uint64)) ^ keys.view(np.uint64)) % np.uint64(homes)
+
+
+def _answer(schema, owner, hit, values, name, ids, keys, homes, **scalars):
+    """Findings (ascending entry numbers ``hit``) as packed rows by the document's home."""
     seg, n = runs(owner[hit])
-    ordinal = (hit - first[owner[hit]]).astype(np.uint32)
-    stops = np.cumsum(n.astype(np.int64))
-    return pa.table({"doc_id": ids[seg], "row_key": keys[seg],
-                     "bucket": pa.array(np.full(len(seg), bucket), pa.int32()),
-                     "hits": binary([ordinal[z - c:z].tobytes() for z, c in zip(stops, n)])})
+    out = deal(_home(ids[seg], keys[seg], homes), n, {name: values}, ids=ids[seg], keys=keys[seg],
+               **{k: np.full(len(seg), v, np.uint32) for k, v in scalars.items()})
+    names = [c.split()[0] for c in schema.split(", ")]
+    if out is None:
+        return pa.table({c: pa.array([], pa.int32() if c == "bucket" else pa.binary())
+                         for c in names})
+    return pa.Table.from_batches([out.select(names)])
+
+
+def _find_hits(homes):
+    def run(table: pa.Table) -> pa.Table:
+        """Of one bucket: the rolling runs that equal a block and occur in two documents."""
+        counts = blob_column(table, "counts", np.uint32).astype(np.int64)
+        ids, keys = blob_column(table, "ids", np.int64), blob_column(table, "keys", np.int64)
+        prints, mark = blob_column(table, "prints", np.uint32), blob_column(table, "marks", np.uint8)
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        order = np.argsort(prints)
+        cut = _edges(prints[order])
+        doc = ids[owner[order]]
+        good = (np.maximum.reduceat(mark[order], cut) > 0) \
+            & (np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut))
+        flag = np.zeros(len(prints), bool)
+        flag[order] = np.repeat(good, np.diff(np.append(cut, len(prints))))
+        hit = np.flatnonzero(flag)
+        ordinal = (hit - (np.cumsum(counts) - counts)[owner[hit]]).astype(np.uint32)
+        return _answer(HITS, owner, hit, ordinal, "hits", ids, keys, homes,
+                       blocks=table.column("bucket")[0].as_py())
+    return run
+
+
+def _gather(name):
+    def run(table: pa.Table) -> pa.Table:
+        """Of one home: a row per document with all its findings.
+
+        Segments follow each other as 32-bit numbers; with ``blocks``, each
+        starts with its bucket and its length.
+        """
+        counts = blob_column(table, "counts", np.uint32).astype(np.int64)
+        ids, keys = blob_column(table, "ids", np.int64), blob_column(table, "keys", np.int64)
+        values = blob_column(table, name, np.uint32)
+        order = np.lexsort((keys, ids))
+        each, head = counts[order], 0
+        if "blocks" in table.schema.names:
+            head = 2
+        first = np.cumsum(each + head) - each - head
+        out = np.empty(int((each + head).sum()), np.uint32)
+        out[ranges(first + head, each)] = values[ranges((np.cumsum(counts) - counts)[order], each)]
+        if head:
+            out[first] = blob_column(table, "blocks", np.uint32)[order]
+            out[first + 1] = each
+        ids, keys = ids[order], keys[order]
+        new = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])))
+        edge = np.append(first[new], len(out))
+        return pa.table({"doc_id": ids[new], "row_key": keys[new], "found": binary(
+            [out[a:z].tobytes() for a, z in zip(edge[:-1], edge[1:])])})
+    return run
 
 
 def _edges(values):
@@ -126,12 +159,14 @@ def _windows(window, buckets):
                 flag = np.zeros(len(start) + 1, np.int32)
                 order, cuts = by_bucket(row * buckets + bucket.astype(np.int64))
                 where = {b: x for b, x, _ in cuts}
-                for i, entry in enumerate(part.column("entries").to_pylist()):
-                    for e in entry:
-                        base = where.get(i * buckets + e["bucket"])
+                for i, found in enumerate(part.column("found")):
+                    found = np.frombuffer(found.as_buffer(), np.uint32)
+                    k = 0
+                    while k < len(found):
+                        base, n = where.get(i * buckets + int(found[k])), int(found[k + 1])
                         if base is not None:
-                            ordinal = np.frombuffer(e["hits"], np.uint32)
-                            flag[at[order[base + ordinal]]] = 1
+                            flag[at[order[base + found[k + 2:k + 2 + n].astype(np.int64)]]] = 1
+                        k += n + 2
                 seen = np.append(0, np.cumsum(flag))
                 p = window_starts(ptr, window)
                 p = p[seen[np.minimum(p + size, len(flag))] > seen[p]]
@@ -145,69 +180,58 @@ def _windows(window, buckets):
                 ids = part.column("doc_id").to_numpy()
                 keys = part.column("row_key").to_numpy()
                 place = (p - ptr[who]).astype(np.uint32)
-                order, cuts = by_bucket(mix(prints[:, 0]) % np.uint64(buckets))
-                out = {n: [] for n in ("bucket", "ids", "keys", "counts", "prints", "places")}
-                for b, x, y in cuts:
-                    o = order[x:y]
-                    r, c = runs(who[o])
-                    for n, v in zip(out, (b, ids[r].tobytes(), keys[r].tobytes(), c.tobytes(),
-                                          prints[o].tobytes(), place[o].tobytes())):
-                        out[n].append(v)
-                yield ship(bucket=pa.array(out.pop("bucket"), pa.int32()),
-                           **{n: binary(v) for n, v in out.items()})
+                out = deal_entries(mix(prints[:, 0]) % np.uint64(buckets), who,
+                                   {"prints": prints, "places": place}, ids=ids, keys=keys)
+                yield out.select([c.split()[0] for c in WINDOWS.split(", ")])
     return run
 
 
-def _owned_elsewhere(table: pa.Table) -> pa.Table:
-    """Of one bucket: places of windows that a smaller document also starts."""
-    counts = blob_column(table, "counts", np.uint32).astype(np.int64)
-    ids, keys = blob_column(table, "ids", np.int64), blob_column(table, "keys", np.int64)
-    prints = blob_column(table, "prints", np.uint64).reshape(-1, 2)
-    places = blob_column(table, "places", np.uint32)
-    owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-    order = np.lexsort((prints[:, 1], prints[:, 0]))
-    p = prints[order]
-    cut = np.flatnonzero(np.append(True, (p[1:] != p[:-1]).any(axis=1)))
-    doc = ids[owner[order]]
-    least = np.repeat(np.minimum.reduceat(doc, cut), np.diff(np.append(cut, len(p))))
-    flag = np.zeros(len(places), bool)
-    flag[order] = doc > least
-    hit = np.flatnonzero(flag)
-    seg, n = runs(owner[hit])
-    stops = np.cumsum(n.astype(np.int64))
-    return pa.table({"doc_id": ids[seg], "row_key": keys[seg],
-                     "places": binary([places[hit[z - c:z]].tobytes()
-                                       for z, c in zip(stops, n)])})
+def _owned_elsewhere(homes):
+    def run(table: pa.Table) -> pa.Table:
+        """Of one bucket: places of windows that a smaller document also starts."""
+        counts = blob_column(table, "counts", np.uint32).astype(np.int64)
+        ids, keys = blob_column(table, "ids", np.int64), blob_column(table, "keys", np.int64)
+        prints = blob_column(table, "prints", np.uint64).reshape(-1, 2)
+        places = blob_column(table, "places", np.uint32)
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        order = np.lexsort((prints[:, 1], prints[:, 0]))
+        p = prints[order]
+        cut = np.flatnonzero(np.append(True, (p[1:] != p[:-1]).any(axis=1)))
+        doc = ids[owner[order]]
+        least = np.repeat(np.minimum.reduceat(doc, cut), np.diff(np.append(cut, len(p))))
+        flag = np.zeros(len(places), bool)
+        flag[order] = doc > least
+        hit = np.flatnonzero(flag)
+        return _answer(SPANS, owner, hit, places[hit], "places", ids, keys, homes)
+    return run
 
 
 def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
-    """(doc_id, row_key, places): starts of windows that a smaller document also starts.
+    """(doc_id, row_key, found): starts of windows that a smaller document also starts.
 
-    ``places`` is a list of byte strings of unsigned 32-bit word positions.
+    ``found`` is a byte string of unsigned 32-bit word positions.
     """
-    spark = docs.sparkSession
-    width = shuffle_width(spark)
+    width = shuffle_width(docs.sparkSession)
     source = texts(docs)
-    hits = (source.mapInArrow(_probes(window, width), PROBES).groupBy("bucket")
-            .applyInArrow(_find_hits, HITS))
-    hits = written(hits, "anchor-hits").groupBy("doc_id", "row_key").agg(
-        F.collect_list(F.struct("bucket", "hits")).alias("entries"))
-    found = (source.join(hits, ["doc_id", "row_key"]).mapInArrow(_windows(window, width), WINDOWS)
-             .groupBy("bucket").applyInArrow(_owned_elsewhere, SPANS))
-    return written(found, "anchor-spans").groupBy("doc_id", "row_key").agg(
-        F.collect_list("places").alias("places"))
+    hits = written(source.mapInArrow(_probes(window, width), PROBES).groupBy("bucket")
+                   .applyInArrow(_find_hits(width), HITS), "anchor-hits")
+    hits = hits.groupBy("bucket").applyInArrow(_gather("hits"), OF_DOCUMENT)
+    spans = written(source.join(hits, ["doc_id", "row_key"]).mapInArrow(
+        _windows(window, width), WINDOWS).groupBy("bucket")
+        .applyInArrow(_owned_elsewhere(width), SPANS), "anchor-spans")
+    return spans.groupBy("bucket").applyInArrow(_gather("places"), OF_DOCUMENT)
 
 
 def _cut(window):
     def run(batches):
         for batch in batches:
             out = {n: [] for n in ("n_words", "n_removed", "n_spans", "kept", "sha")}
-            for text, places in zip(batch.column("text").to_pylist(),
-                                    batch.column("places").to_pylist()):
+            for text, found in zip(batch.column("text").to_pylist(),
+                                   batch.column("found").to_pylist()):
                 words = (text or "").encode().split()
                 n_spans, keep = 0, None
-                if places:
-                    p = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in places]))
+                if found:
+                    p = np.unique(np.frombuffer(found, np.uint32))
                     edge = np.zeros(len(words) + 1, np.int32)
                     np.add.at(edge, p, 1)
                     np.add.at(edge, p + window, -1)
@@ -237,6 +261,6 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """
     places = repeated_windows(docs, window)
     return (texts(docs).join(places, ["doc_id", "row_key"], "left")
-            .select("doc_id", "text", "places")
+            .select("doc_id", "text", "found")
             .mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, n_spans long, "
                                       "kept_text string, kept_sha256 string"))

@@ -31,6 +31,8 @@ BLOCK = 1 << 21
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MARKS = np.zeros(256, bool)
+_MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _MULT = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _M1, _M2, _S = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(33)
 
@@ -90,12 +92,18 @@ def word_spans(data: np.ndarray, offs: np.ndarray):
     return start, end, np.searchsorted(start, offs)
 
 
-def word_hashes(data, start, end, lower: bool = False, seed: int = 0) -> np.ndarray:
-    """64-bit hash of every word (A-Z folded to a-z if ``lower``)."""
+def word_hashes(data, start, end, lower: bool = False, seed: int = 0,
+                marks: bool = True) -> np.ndarray:
+    """64-bit hash of every word (A-Z folded to a-z if ``lower``).
+
+    Without ``marks``, ASCII punctuation behind a word does not count.
+    """
     out = np.empty(len(start), np.uint64)
     if not len(start):
         return out
     table, mult = _TABLES[seed, lower], _MULT[seed]
+    if not marks:
+        table = np.where(_MARKS, np.uint64(0), table)
     longest = int((end - start).max())
     power = np.ones(longest, np.uint64)
     np.multiply.accumulate(np.full(longest - 1, mult, np.uint64), out=power[1:])
@@ -108,7 +116,7 @@ def word_hashes(data, start, end, lower: bool = False, seed: int = 0) -> np.ndar
         np.minimum(place, longest - 1, out=place)
         out[i:j] = np.add.reduceat(table[piece] * power[place], s)
         i = j
-    return mix(out + (end - start).astype(np.uint64))
+    return mix(out + (end - start).astype(np.uint64) if marks else out)
 
 
 def window_hashes(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -144,7 +152,7 @@ def ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 23):
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 22):
     """Cut a batch into runs of rows with about ``most`` bytes of text (one row at least)."""
     if batch.num_rows == 0:
         return
@@ -173,6 +181,43 @@ def runs(ids: np.ndarray):
     return ids[cut], np.diff(np.append(cut, len(ids))).astype(np.uint32)
 
 
+def deal(bucket: np.ndarray, counts=None, lists=None, **columns) -> pa.RecordBatch | None:
+    """Packed rows, one per bucket, of segments with fixed-width ``columns``.
+
+    ``lists`` holds arrays in which segment ``i`` owns the next ``counts[i]``
+    entries; both stay in segment order inside a bucket.
+    """
+    order, cuts = by_bucket(bucket)
+    if not cuts:
+        return None
+    out = {n: [] for n in columns}
+    for n, v in columns.items():
+        v = v[order]
+        out[n] = binary([v[a:z].tobytes() for _, a, z in cuts])
+    if counts is not None:
+        counts = counts.astype(np.int64)
+        each = counts[order]
+        at = ranges((np.cumsum(counts) - counts)[order], each)
+        edge = np.append(0, np.cumsum(each))
+        out["counts"] = binary([each[a:z].astype(np.uint32).tobytes() for _, a, z in cuts])
+        for n, v in lists.items():
+            v = v[at]
+            out[n] = binary([v[edge[a]:edge[z]].tobytes() for _, a, z in cuts])
+    return ship(bucket=pa.array([b for b, _, _ in cuts], pa.int32()), **out)
+
+
+def deal_entries(bucket: np.ndarray, row: np.ndarray, lists: dict, **by_row):
+    """As ``deal`` for single entries of rows: neighbours of one row form a segment."""
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 65536
+                       else bucket, kind="stable")
+    b, r = bucket[order], row[order]
+    if not len(b):
+        return None
+    cut = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (r[1:] != r[:-1])))
+    return deal(b[cut], np.diff(np.append(cut, len(b))), {n: v[order] for n, v in lists.items()},
+                **{n: v[r[cut]] for n, v in by_row.items()})
+
+
 def blob_column(table, name, dtype) -> np.ndarray:
     """All byte strings of a column, joined and read as one array."""
     col = table.column(name)
