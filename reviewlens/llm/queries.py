@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
+from ..session import scratch_path
 from .anchor_dedup import remove_repeats
 from .common import load
+from .decontaminate import leaks
+from .hpylm import score_documents
+from .jaccard_join import similarity_groups
+from .line_spread import remove_common_lines
+from .mixing import Mix
+from .outlier_rules import quality_verdicts
+from .site_quality import site_posteriors
+from .token_files import read_token_files, write_token_files
+from .toxicity import toxicity_scores
+
+#: id that closes every document in the token files
+END_ID = 2
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -20,3 +31,63 @@ def query(fn):
 def op10_substring_dedup(spark, sf_dir):
     """Words of 13-word repeats of earlier documents removed from every document."""
     return remove_repeats(load(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query
+def op5_ngram_jaccard_join(spark, sf_dir):
+    """Shingle set size and near-duplicate component of every document."""
+    return similarity_groups(load(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "class_id")
+
+
+@query
+def op4_token_binary(spark, sf_dir):
+    """Every document encoded into bit-packed files, and read back from them."""
+    import public_tokenizers
+    path = write_token_files(load(spark, sf_dir, "documents"), scratch_path(spark, "token-files"),
+                             public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return read_token_files(spark, path)
+
+
+@query
+def op9_source_mixing(spark, sf_dir):
+    """Words of every document that a mix of the sources to their target weights takes."""
+    return Mix(load(spark, sf_dir, "documents")).taken().select(
+        "doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query
+def op7_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    return toxicity_scores(load(spark, sf_dir, "documents"),
+                           load(spark, sf_dir, "labels")).drop("row_key")
+
+
+@query
+def op8_quality_rules(spark, sf_dir):
+    """Base statistics of every document and the robust-outlier verdict."""
+    return quality_verdicts(load(spark, sf_dir, "documents"))
+
+
+@query
+def op2_benchmark_decontamination(spark, sf_dir):
+    """Documents into which benchmark items leak, with the best window of each item."""
+    return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("row_key")
+
+
+@query
+def op1_hpylm_scoring(spark, sf_dir):
+    """Log-probability of every document under the hierarchical Pitman-Yor model."""
+    return score_documents(load(spark, sf_dir, "documents"))
+
+
+@query
+def op3_site_quality(spark, sf_dir):
+    """Quality posterior of every document from its text, host (source) and path (language)."""
+    return site_posteriors(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query
+def op6_line_dedup(spark, sf_dir):
+    """Lines that stand on many sources removed from every document."""
+    return remove_common_lines(load(spark, sf_dir, "documents")).drop("kept_text")
