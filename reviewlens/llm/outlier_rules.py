@@ -35,7 +35,7 @@ from .common import (ship, text_buffer, text_slices, texts, window_hashes, windo
 DIMS = 4
 SUPPORT, STEPS, MIN_GROUP = 0.75, 5, 60
 #: smallest standard deviation of each statistic, in its transformed unit
-FLOOR = (0.05, 0.5, 0.5, 0.5)
+FLOOR = (0.05, 0.5, 1.5, 1.5)
 MIN_WORDS, MAX_REPEAT = 50, 50
 
 
@@ -52,8 +52,8 @@ def chi2_quantile(p: float, dof: int) -> float:
     return low
 
 
-#: squared distance beyond which a row is rejected: one clean row in 10^6 of a normal law
-CUTOFF = chi2_quantile(1 - 1e-6, DIMS)
+#: squared distance beyond which a row is rejected: one clean row in 10^5 of a normal law
+CUTOFF = chi2_quantile(1 - 1e-5, DIMS)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
