@@ -10,11 +10,12 @@ Two documents link when the Jaccard similarity of their shingle sets reaches
 3. For the classes left, shingles are ordered by document frequency; several
    global orders break ties with different hashes.  Linked classes share a
    token of their prefixes under every order.  Posting lists of the first
-   order propose pairs: each list compares its members with one leader a
-   round, skips pairs that are already in one component, and goes on until
-   the members left are all connected.  Long lists are split further by the
-   prefix tokens of the next order.  A pair is verified on the whole sets only
-   if the prefixes meet under every order.
+   order propose pairs (lists with the same members once): each list compares
+   its members with its leaders, one in the first round and more in the next,
+   skips pairs that are already in one component, drops the leaders, and goes
+   on until the members left are all connected.  Lists that stay long are
+   split by the prefix tokens of the next order.  A pair is verified on the
+   whole sets only if the prefixes meet under every order.
 4. Components come from smallest-neighbour steps over the verified links.
 
 Defined results: null or blank texts have an empty set and link with nothing;
@@ -37,7 +38,9 @@ from .components import components
 
 ORDERS = 3
 #: rounds before a list that is still long is split by the next token order
-SPLIT_ROUNDS, LONG_LIST = 2, 16
+SPLIT_ROUNDS, LONG_LIST = 4, 256
+#: members that a list compares with all others in one round, at most
+MOST_LEADERS = 64
 
 
 def shingle_sets(part, k: int = SHINGLE) -> list[np.ndarray]:
@@ -265,9 +268,10 @@ def document_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         _classes(k), "doc_id long, row_key long, n_shingles long, cls long, cls2 long")
 
 
-def class_links(docs: DataFrame, rows: DataFrame, percent: int = 80, k: int = SHINGLE,
-                ) -> DataFrame | None:
-    """Verified links (a, b, similarity) between classes; enough of them to connect all partners.
+def class_links(docs: DataFrame, rows: DataFrame, percent: int = 80, k: int = SHINGLE):
+    """Verified links (a, b, similarity) between classes, and the components (node, comp) of both.
+
+    The links are enough to connect all partners; without any, both are None.
 
     ``rows`` is ``document_classes(docs)``, written.  Pairs whose ends are
     already connected are not compared again.
@@ -282,7 +286,7 @@ def class_links(docs: DataFrame, rows: DataFrame, percent: int = 80, k: int = SH
     kept = written(reps.join(counts, "cls").filter(f"100 * shared >= {percent} * n")
                    .select("cls", "rep.doc_id", "rep.row_key"), "jaccard-gate")
     if kept.isEmpty():
-        return None
+        return None, None
     profiles = (texts(docs).join(kept, ["doc_id", "row_key"])
                 .mapInArrow(_partner_rows(k, width), DEALT)
                 .groupBy("bucket").applyInArrow(_frequencies(width), FREQUENT)
@@ -295,48 +299,60 @@ def _sides(profiles, side):
     return profiles.select(*(F.col(n).alias(f"{side}_{n}") for n in names))
 
 
-def _compare(profiles: DataFrame, percent: int) -> DataFrame | None:
-    posts = written(profiles.select("cls", "size", "head0").mapInArrow(
-        _postings(0), "token long, cls long, size long")
-        .withColumn("comp", F.col("cls")), "jaccard-posts")
-    links, tested, order, turn = None, None, 0, 0
+def _lists(posts: DataFrame) -> DataFrame:
+    """Posting lists with members of more than one component.
+
+    Lists with equal members propose equal pairs: one of them is kept.
+    """
+    return posts.groupBy("token").agg(
+        F.bit_xor(F.xxhash64("cls")).alias("s1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("s2"),
+        F.min(F.xxhash64("cls")).alias("low_key"), F.min("comp").alias("low"),
+        F.max("comp").alias("high"), F.count("*").alias("members")).filter("low < high") \
+        .groupBy("s1", "s2", "members").agg(F.min_by(F.struct("token", "low_key"), "token").alias("t")) \
+        .select("t.token", "t.low_key", "members")
+
+
+def _compare(profiles: DataFrame, percent: int):
+    posts = profiles.select("cls", "size", "head0").mapInArrow(
+        _postings(0), "token long, cls long, size long").withColumn("comp", F.col("cls"))
+    links = tested = comp = None
+    order, turn, leaders = 0, 0, 1
     while True:
-        lists = written(posts.groupBy("token").agg(
-            F.min(F.struct(F.xxhash64("cls").alias("key"), "cls", "size", "comp")).alias("lead"),
-            F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members"))
-            .filter("low < high").select("token", "lead", "members"), "jaccard-lists")
-        if lists.isEmpty():
-            return links
-        live = posts.join(lists, "token").filter("cls != lead.cls")
-        pairs = (live.filter(f"comp != lead.comp and 100 * least(size, lead.size) >= "
-                             f"{percent} * greatest(size, lead.size)")
-                 .select(F.least("cls", "lead.cls").alias("a"),
-                         F.greatest("cls", "lead.cls").alias("b")).distinct())
+        posts = written(posts, "jaccard-posts")
+        live = written(posts.join(_lists(posts), "token").withColumn("lead", F.expr(
+            f"xxhash64(cls) = low_key or pmod(xxhash64(cls, {turn + 2}), members) < {leaders - 1}")),
+            "jaccard-live")
+        if live.isEmpty():
+            return links, comp
+        lead = live.filter("lead").select("token", F.col("cls").alias("l_cls"), F.col("size").alias(
+            "l_size"), F.col("comp").alias("l_comp"))
+        pairs = live.join(lead, "token").filter(
+            f"comp != l_comp and 100 * least(size, l_size) >= {percent} * greatest(size, l_size)") \
+            .select(F.least("cls", "l_cls").alias("a"), F.greatest("cls", "l_cls").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        found = written(pairs.join(_sides(profiles, "a"), F.col("a") == F.col("a_cls"))
+        found = None if pairs.isEmpty() else written(pairs.join(_sides(profiles, "a"), F.col("a") == F.col("a_cls"))
                         .join(_sides(profiles, "b"), F.col("b") == F.col("b_cls")).drop("a", "b")
                         .mapInArrow(_verify(percent), "a long, b long, similarity double"),
                         "jaccard-found")
-        if not found.isEmpty():
+        if found is not None and not found.isEmpty():
             links = found if links is None else links.union(found)
             comp = components(links)
         turn += 1
-        rest = live.select("token", "cls", "size", "members")
+        rest = live.filter("not lead").select("token", "cls", "size", "members")
         if turn >= SPLIT_ROUNDS and order + 1 < ORDERS:
             order, turn = order + 1, 0
             long = (rest.filter(F.col("members") > LONG_LIST)
                     .join(profiles.select("cls", f"head{order}"), "cls")
                     .mapInArrow(_postings(order), "token long, cls long, size long"))
             rest = rest.filter(F.col("members") <= LONG_LIST).drop("members").union(long)
-        rest = rest.select("token", "cls", "size")
-        if links is None:
-            posts = written(rest.withColumn("comp", F.col("cls")), "jaccard-posts")
-        else:
-            posts = written(rest.join(comp, F.col("cls") == F.col("node"), "left").select(
-                "token", "cls", "size", F.coalesce("comp", "cls").alias("comp")), "jaccard-posts")
+        leaders = min(16 * leaders, MOST_LEADERS)
+        posts = rest.select("token", "cls", "size")
+        posts = posts.withColumn("comp", F.col("cls")) if comp is None else posts.join(
+            comp, F.col("cls") == F.col("node"), "left").select(
+                "token", "cls", "size", F.coalesce("comp", "cls").alias("comp"))
 
 
 def similarity_groups(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
@@ -346,13 +362,13 @@ def similarity_groups(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> D
     smallest one reachable by links.
     """
     rows = written(document_classes(docs, k), "jaccard-classes")
-    links = class_links(docs, rows, percent, k)
+    _, comp = class_links(docs, rows, percent, k)
     linkable = F.expr("n_shingles > 0 and doc_id is not null")
     classes = rows.filter(linkable).groupBy("cls", "cls2").agg(F.min("doc_id").alias("class_id"))
-    if links is None:
+    if comp is None:
         classes = classes.withColumn("component_id", F.col("class_id"))
     else:
-        classes = classes.join(components(links), F.col("cls") == F.col("node"), "left")
+        classes = classes.join(comp, F.col("cls") == F.col("node"), "left")
         least = (classes.filter("comp is not null").groupBy("comp")
                  .agg(F.min("class_id").alias("least")))
         classes = classes.join(least, "comp", "left").withColumn(

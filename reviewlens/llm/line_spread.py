@@ -25,16 +25,16 @@ MIN_SITES = 8
 BAND = 3 * 1.04 / (1 << LG_K) ** 0.5
 
 
-def _lines(docs: DataFrame, site) -> DataFrame:
+def _lines(docs: DataFrame, site: str) -> DataFrame:
     """(doc_id, row_key, site, pos, h1, h2): hashes of the lines that hold a word."""
-    held = texts(docs, F.coalesce(site.cast("string"), F.lit("\0null")).alias("site"))
+    held = texts(docs, F.coalesce(F.col(site).cast("string"), F.lit("\0null")).alias("site"))
     line = held.select("doc_id", "row_key", "site", F.posexplode(F.split("text", "\n"))
                        .alias("pos", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     return line.select("doc_id", "row_key", "site", "pos", F.xxhash64("line").alias("h1"),
                        F.hash("line").alias("h2"))
 
 
-def common_lines(docs: DataFrame, site=F.col("source"), min_sites: int = MIN_SITES) -> DataFrame:
+def common_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """(h1, h2) of the lines that stand on at least ``min_sites`` distinct sites."""
     lines = _lines(docs, site)
     spread = written(lines.groupBy("h1", "h2").agg(
@@ -47,7 +47,7 @@ def common_lines(docs: DataFrame, site=F.col("source"), min_sites: int = MIN_SIT
     return spread.filter(~unsure).select("h1", "h2").union(exact)
 
 
-def remove_common_lines(docs: DataFrame, site=F.col("source"), min_sites: int = MIN_SITES,
+def remove_common_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
                         ) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept_text, kept_sha256."""
     common = written(common_lines(docs, site, min_sites), "line-common")

@@ -46,11 +46,11 @@ def _odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def document_rows(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
+def document_rows(docs: DataFrame, labels: DataFrame, host: str, path: str) -> DataFrame:
     """Statistics of every document with its host, path and (training) label."""
     held = F.coalesce(crc_mod(F.col("doc_id").cast("long"), HELD_OUT_MOD) == 0, F.lit(False))
-    stats = text_statistics(docs.select("doc_id", "text", host.cast("string").alias("lang"),
-                                        path.cast("string").alias("source")))
+    stats = text_statistics(docs.select("doc_id", "text", F.col(host).cast("string").alias("lang"),
+                                        F.col(path).cast("string").alias("source")))
     known = labels.filter(~held & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()) \
         .groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(
             F.max("quality").cast("double").alias("label"))
@@ -87,8 +87,8 @@ def _strength(groups: DataFrame, parent: Column) -> float:
     return min(max(r[3] / r[1] / spread - 1, 1.0), 1e6)
 
 
-def site_posteriors(docs: DataFrame, labels: DataFrame, host: Column = F.col("source"),
-                    path: Column = F.col("lang"), keep: float = KEEP) -> DataFrame:
+def site_posteriors(docs: DataFrame, labels: DataFrame, host: str = "source",
+                    path: str = "lang", keep: float = KEEP) -> DataFrame:
     """One row per document: doc_id, held_out, host, path, evidence, host_mean, path_mean,
     score (posterior of being good) and kept."""
     rows = written(classify(written(document_rows(docs, labels, host, path), "site-rows"))
