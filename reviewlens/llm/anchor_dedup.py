@@ -212,12 +212,13 @@ def repeated_windows(docs: DataFrame, window: int = 13) -> DataFrame:
     ``found`` is a byte string of unsigned 32-bit word positions.
     """
     width = shuffle_width(docs.sparkSession)
+    buckets = 2 * width                     # a bucket fits a Python worker several times
     source = texts(docs)
-    hits = written(source.mapInArrow(_probes(window, width), PROBES).groupBy("bucket")
+    hits = written(source.mapInArrow(_probes(window, buckets), PROBES).groupBy("bucket")
                    .applyInArrow(_find_hits(width), HITS), "anchor-hits")
     hits = hits.groupBy("bucket").applyInArrow(_gather("hits"), OF_DOCUMENT)
     spans = written(source.join(hits, ["doc_id", "row_key"]).mapInArrow(
-        _windows(window, width), WINDOWS).groupBy("bucket")
+        _windows(window, buckets), WINDOWS).groupBy("bucket")
         .applyInArrow(_owned_elsewhere(width), SPANS), "anchor-spans")
     return spans.groupBy("bucket").applyInArrow(_gather("places"), OF_DOCUMENT)
 

@@ -278,7 +278,8 @@ def class_links(docs: DataFrame, rows: DataFrame, percent: int = 80, k: int = SH
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    counts = (texts(docs).mapInArrow(_gate_rows(k, width), DEALT).groupBy("bucket")
+    buckets = 2 * width                     # a bucket fits a Python worker several times
+    counts = (texts(docs).mapInArrow(_gate_rows(k, buckets), DEALT).groupBy("bucket")
               .applyInArrow(_gate_counts(width), GATED).groupBy("bucket")
               .applyInArrow(_gate_sums, "cls long, shared long"))
     reps = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(
@@ -288,7 +289,7 @@ def class_links(docs: DataFrame, rows: DataFrame, percent: int = 80, k: int = SH
     if kept.isEmpty():
         return None, None
     profiles = (texts(docs).join(kept, ["doc_id", "row_key"])
-                .mapInArrow(_partner_rows(k, width), DEALT)
+                .mapInArrow(_partner_rows(k, buckets), DEALT)
                 .groupBy("bucket").applyInArrow(_frequencies(width), FREQUENT)
                 .groupBy("bucket").applyInArrow(_profiles(percent), PROFILE))
     return _compare(written(profiles, "jaccard-profiles"), percent)
