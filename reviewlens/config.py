@@ -123,18 +123,3 @@ TOP_WORDS = 10
 # and RE2 read the same way (Java's \s lacks the Unicode spaces, RE2's
 # lacks \x0B).
 PY_SPACE_CLASS = r"\t\n\x{0B}\f\r\x{1C}-\x{1F}\x{85}\p{Z}"
-
-
-@dataclass(frozen=True)
-class Limits:
-    """Upper bounds for data that is inlined into a plan or sent to tasks.
-
-    Lists above these sizes take the join path instead of being inlined.
-    """
-
-    inline_terms: int = 50_000      # stop words, features, phrase sets
-    driver_rows: int = 10_000       # seeds and other config collected once
-    vocab_for_models: int = 1 << 18  # ML vectoriser size (Spark default); the test vocabularies fit
-
-
-LIMITS = Limits()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .config import MORE_TOKEN, SEED_PHRASES, TOP_WORDS, W2V_MIN_COUNT, W2V_WINDOW
+from .config import MORE_TOKEN, PHRASE_DELIMITER, SEED_PHRASES, TOP_WORDS, W2V_MIN_COUNT, W2V_WINDOW
 from .functions import text as T
 from .operators import cooccurrence as CO
 from .operators import embed as E
@@ -49,15 +49,11 @@ def read_reviews(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_stopwords(spark: SparkSession, path: str | None) -> list[str]:
-    """Stop words from a one-per-line file (bounded list, collected once)."""
-    if not path:
-        return []
-    from .config import LIMITS
-    from .session import collect_bounded
-    return [r[0] for r in collect_bounded(FS.read_lines(spark, path), LIMITS.inline_terms, "stop words")]
+    """Stop words from a one-per-line file (configuration, collected once)."""
+    return [r[0] for r in FS.read_lines(spark, path).collect()] if path else []
 
 
-def rule_labelled_reviews(raw: DataFrame, stopwords: Iterable[str] = (), tokenizer: str = "whitespace",
+def rule_labelled_reviews(raw: DataFrame, stopwords: Iterable[str] = (), tokenizer="cjk_ngram",
                           keep_empty: bool = True) -> DataFrame:
     """Cleaned reviews labelled by the promotion rule (schema ``CLEANED_REVIEWS``)."""
     return X.clean_review_table(raw, stopwords=stopwords, tokenizer=tokenizer, keep_empty=keep_empty)
@@ -65,21 +61,26 @@ def rule_labelled_reviews(raw: DataFrame, stopwords: Iterable[str] = (), tokeniz
 
 def expansion_labelled_reviews(raw: DataFrame, stopwords: Iterable[str] = (),
                                seed_phrases: Iterable[str] = SEED_PHRASES, provider: str = "word2vec",
-                               tokenizer: str = "whitespace", epochs: int | None = None) -> DataFrame:
+                               tokenizer="cjk_ngram", epochs: int | None = None,
+                               merge: bool = True) -> DataFrame:
     """Cleaned reviews labelled by seed phrases widened with neighbour words.
 
     Tokens of the processed text are merged into phrases (mined on the same
-    text), neighbours of every known seed word are found with ``provider``
-    ('word2vec' or the deterministic 'ppmi'), and a review is labelled when
-    its rating is 5 and its processed text contains any feature.
+    text; ``merge=False`` leaves that step out), neighbours of every known seed
+    word are found with ``provider`` ('word2vec' or the deterministic 'ppmi'),
+    and a review is labelled when its rating is 5 and its processed text
+    contains any feature.  Mined phrases match the text with a space at the
+    joint.
     """
     cleaned = X.clean_review_table(raw, stopwords=stopwords, tokenizer=tokenizer, keep_empty=False,
                                    drop_token=MORE_TOKEN, with_restaurant=True).drop("IsInducing")
     # ids are written once with the rows: recomputed ids could move after a shuffle
     keyed = materialize(cleaned.withColumn("__id", F.monotonically_increasing_id()), "keyed_reviews")
     toks = keyed.select("__id", T.tokenize_whitespace("ProcessedReview").alias("tokens"))
-    phrases = FT.phrase_scores(toks, "tokens")
-    merged = X.merge_phrases(toks, "tokens", phrases, "__id", "merged")
+    if merge:
+        merged = X.merge_phrases(toks, "tokens", FT.phrase_scores(toks, "tokens"), "__id", "merged")
+    else:
+        merged = toks.withColumnRenamed("tokens", "merged")
     words = S.seed_words(seed_phrases)
     if provider == "ppmi":
         # same vocabulary rule as the embedding trainer: words seen < min count are dropped
@@ -93,9 +94,10 @@ def expansion_labelled_reviews(raw: DataFrame, stopwords: Iterable[str] = (),
         seeds = vecs.join(known.select(F.col("seed").alias("word")), "word").select(
             F.col("word").alias("seed"), "vector")
         neighbours = S.similar_topk(vecs, seeds)
-    features = S.feature_list(S.expand_features(neighbours, seed_phrases))
+    features = S.expand_features(neighbours, seed_phrases).select("feature")
     labelled = L.feature_label(keyed, text_col="ProcessedReview", rating_col="ReviewRating",
-                               features=features, label_col="IsInducing")
+                               features=features, label_col="IsInducing",
+                               delimiter_as_space=PHRASE_DELIMITER if merge else None)
     return labelled.select("RestName", "ReviewActualDate", "Reviewer", "ReviewRating", "ProcessedReview",
                            F.col("IsInducing").cast("int").alias("IsInducing"))
 

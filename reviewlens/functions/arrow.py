@@ -1,7 +1,7 @@
 """The few text functions Spark has no built-in for, as Arrow pandas UDFs.
 
-Each is guarded so that only rows that need Python reach it; the guard
-itself is a native expression.
+The guard is a native expression inside the argument: Spark evaluates a
+Python function for every row, so rows that do not need it pass null.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, BooleanType, StringType
+from pyspark.sql.types import StringType
 
 from .text import ColumnOrName, _col
 
@@ -28,75 +28,7 @@ def _nfkd_ascii(s: pd.Series) -> pd.Series:
 def ascii_fold(c: ColumnOrName) -> Column:
     """Text holding any character beyond the BMP is NFKD-folded to ASCII.
 
-    Other text is returned unchanged without leaving the JVM.
+    Other text reaches Python as null (no bytes) and is returned unchanged.
     """
     col = _col(c)
-    return F.when(col.rlike(NON_BMP), _nfkd_ascii(col)).otherwise(col)
-
-
-def lexicon_segmenter(words: list[str], max_len: int | None = None):
-    """Forward maximum matching over a dictionary, as a pandas UDF.
-
-    ``words`` is a bounded dictionary (checked by the caller); it is shipped
-    to the tasks once with the function.  Characters not starting any
-    dictionary word become one-character tokens.
-    """
-    vocab = frozenset(w for w in words if w)
-    longest = max_len or max((len(w) for w in vocab), default=1)
-
-    def segment(text: str) -> list[str]:
-        out, i, n = [], 0, len(text)
-        while i < n:
-            if text[i].isspace():
-                i += 1
-                continue
-            for size in range(min(longest, n - i), 0, -1):
-                piece = text[i:i + size]
-                if size == 1 or piece in vocab:
-                    out.append(piece)
-                    i += size
-                    break
-        return out
-
-    @pandas_udf(ArrayType(StringType()))
-    def _seg(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else segment(v))
-
-    return _seg
-
-
-def contains_any_automaton(features: list[str]):
-    """Substring test against many features with one Aho-Corasick pass.
-
-    The automaton is built once per Python worker from the bounded feature
-    list; texts arrive in Arrow batches.
-    """
-    feats = [f for f in features if f]
-    state = {}
-
-    def automaton():
-        if "a" not in state:
-            try:
-                import ahocorasick
-                a = ahocorasick.Automaton()
-                for f in feats:
-                    a.add_word(f, f)
-                a.make_automaton()
-                state["a"] = ("ac", a)
-            except ImportError:  # plain scan as a fallback
-                state["a"] = ("scan", feats)
-        return state["a"]
-
-    def hit(text: str) -> bool:
-        kind, a = automaton()
-        if kind == "ac":
-            for _ in a.iter(text):
-                return True
-            return False
-        return any(f in text for f in a)
-
-    @pandas_udf(BooleanType())
-    def _contains(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else hit(v))
-
-    return _contains
+    return F.coalesce(_nfkd_ascii(F.when(col.rlike(NON_BMP), col)), col)

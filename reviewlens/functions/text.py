@@ -7,17 +7,17 @@ scripts; see ``PY_SPACE_CLASS`` in :mod:`reviewlens.config`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import (
-    CJK_RANGE, EMOJI_RANGES, LIMITS, NEWEST_SUFFIX, PHRASE_DELIMITER,
+    CJK_RANGE, EMOJI_RANGES, NEWEST_SUFFIX, PHRASE_DELIMITER,
     PROMO_PATTERNS, PY_SPACE_CLASS, RATING_PREFIX, RATING_SUFFIX,
     RELATIVE_UNITS, REVIEW_DATE_FORMAT,
 )
-from ..session import check_bounded
 
 ColumnOrName = Column | str
 
@@ -52,6 +52,10 @@ def code_point_class(ranges: Iterable[tuple[int, int]], negate: bool = False) ->
 
 EMOJI_CLASS = code_point_class(EMOJI_RANGES)
 NOT_CJK_CLASS = code_point_class([CJK_RANGE], negate=True)
+CJK_RUN = "-".join(_cp(code) for code in CJK_RANGE)
+
+#: ages of more units than this are not dates
+MOST_UNITS = 100_000
 
 
 def python_regex(pattern: str) -> str:
@@ -99,12 +103,14 @@ def relative_time(c: ColumnOrName, anchor: ColumnOrName | None = None,
     unchanged; a known unit without a number gives null.
     """
     text = _col(c)
-    at = F.current_timestamp() if anchor is None else _col(anchor)
+    at = F.current_timestamp() if anchor is None else F.coalesce(_col(anchor), F.current_timestamp())
     n = first_int(text)
     out = None
     for unit, days, hours, minutes in RELATIVE_UNITS:
-        shifted = at - F.make_dt_interval((n * days).cast("int"), (n * hours).cast("int"),
-                                           (n * minutes).cast("int"), F.lit(0))
+        # an age no calendar can hold gives null, it must not end the job
+        held = F.when(n.between(0, MOST_UNITS), n)
+        shifted = at - F.make_dt_interval((held * days).cast("int"), (held * hours).cast("int"),
+                                          (held * minutes).cast("int"), F.lit(0))
         value = F.date_format(shifted, fmt)
         out = F.when(text.contains(unit), value) if out is None else out.when(text.contains(unit), value)
     return out.otherwise(text)
@@ -155,16 +161,58 @@ def join_tokens(tokens: ColumnOrName, sep: str = " ") -> Column:
     return F.array_join(_col(tokens), sep)
 
 
+def cjk_ngrams(c: ColumnOrName, n: int = 2) -> Column:
+    """Segment without a dictionary: CJK runs become overlapping ``n``-grams.
+
+    Other runs of non-space characters stay whole; a CJK run shorter than
+    ``n`` is one token.  Linear in the text.
+    """
+    pieces = F.regexp_extract_all(_col(c), F.lit(f"([{CJK_RUN}]+|[^{CJK_RUN}{PY_SPACE_CLASS}]+)"), 1)
+
+    def cut(piece):
+        def grams(chars):
+            last = F.size(chars) - (n - 1)
+            return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i:
+                                                F.array_join(F.slice(chars, i, n), ""))).otherwise(F.array(piece))
+        return F.when(piece.rlike(f"^[{CJK_RUN}]"), let(
+            F.regexp_extract_all(piece, F.lit("(?s)(.)"), 1), grams)).otherwise(F.array(piece))
+    return F.flatten(F.transform(pieces, cut))
+
+
+def lexicon_segmenter(words: Iterable[str]):
+    """Forward maximum matching over a dictionary, as one regular expression.
+
+    Alternatives stand longest first, then any single character, so every
+    position takes the longest word that starts there; white space separates.
+    The dictionary is configuration: it travels in the plan.
+    """
+    words = sorted({w for w in words if w}, key=lambda w: (-len(w), w))
+    pattern = "|".join([*(re.escape(w) for w in words), f"[^{PY_SPACE_CLASS}]"])
+    return lambda c: F.regexp_extract_all(_col(c), F.lit(f"({pattern})"), 1)
+
+
+#: the tokeniser modes by name; a dictionary segmenter is passed as a function
+TOKENIZERS = {"word": tokenize_word, "whitespace": tokenize_whitespace, "cjk_ngram": cjk_ngrams}
+
+
+def tokenize(c: ColumnOrName, mode="cjk_ngram") -> Column:
+    """Tokens by mode: 'word', 'whitespace', 'cjk_ngram' or a function (lexicon_segmenter)."""
+    if callable(mode):
+        return mode(_col(c))
+    if mode not in TOKENIZERS:
+        raise ValueError(f"unknown tokenizer {mode!r}; use one of {sorted(TOKENIZERS)} or a function")
+    return TOKENIZERS[mode](c)
+
+
 def remove_terms(tokens: ColumnOrName, terms: Iterable[str]) -> Column:
-    """Drop listed terms from a token array, keeping order and duplicates.
+    """Drop listed terms (and null tokens) from a token array, keeping order and duplicates.
 
-    The list is inlined; Catalyst turns the membership test into a hash set
-    (``INSET``) inside the lambda.  Lists beyond the inline bound go through
-    :func:`reviewlens.operators.text_ops.remove_stopwords_join`.
+    The list is inlined whatever its size; Catalyst turns the membership test
+    into a hash set (``INSET``) inside the lambda.  A null array stays null.
     """
-    terms = check_bounded(sorted(set(terms)), LIMITS.inline_terms, "stop list")
+    terms = sorted(set(terms))
     if not terms:
-        return _col(tokens)
+        return F.filter(_col(tokens), lambda t: t.isNotNull())
     return F.filter(_col(tokens), lambda t: ~t.isin(terms))
 
 
@@ -200,7 +248,7 @@ def merge_phrases(tokens: ColumnOrName, phrases: Iterable[str], sep: str = " ",
     mark the greedy starts with one regex replace over the flag string (see
     :func:`merge_flagged_pairs`), then keep and join.
     """
-    phrases = check_bounded(sorted(set(phrases)), LIMITS.inline_terms, "phrase set")
+    phrases = sorted(set(phrases))
     if not phrases:
         return _col(tokens)
 
@@ -238,18 +286,15 @@ def matches_any(c: ColumnOrName, patterns: Iterable[str] = PROMO_PATTERNS) -> Co
     return F.coalesce(_col(c).rlike(promo_regex(patterns)), F.lit(False))
 
 
-# Up to this many features the test is a native ``exists``; longer lists use
-# one Aho-Corasick automaton per task (a single pass over each text).
-NATIVE_FEATURES = 256
-
-
 def contains_any(c: ColumnOrName, features: Iterable[str]) -> Column:
-    """True when any feature string is a substring of the text."""
-    feats = check_bounded(sorted(set(features)), LIMITS.inline_terms, "feature list")
+    """True when any feature string is a substring of the text.
+
+    One native path for any number; empty features are no features (every
+    text would hold them).
+    """
+    feats = sorted({f for f in features if f})
     if not feats:
         return F.lit(False)
-    if len(feats) > NATIVE_FEATURES:
-        from .arrow import contains_any_automaton
-        return F.coalesce(contains_any_automaton(feats)(_col(c)), F.lit(False))
-    arr = F.array(*[F.lit(f) for f in feats])
+    # one literal, folded to an array once: thousands of literals would slow the planner
+    arr = F.split(F.lit("\0".join(feats)), "\0")
     return F.coalesce(let(_col(c), lambda text: F.exists(arr, lambda f: F.contains(text, f))), F.lit(False))

@@ -77,6 +77,7 @@ def tfidf(doc_term: DataFrame, n_docs: Column, id_col: str = "doc_id") -> DataFr
     partitions of the sort-merge join.  The norm is a window partitioned by
     document (one document is bounded by its text).
     """
+    doc_term = materialize(doc_term, "doc_terms")  # counted once, read for idf and for weights
     weights = (doc_term.join(idf(doc_term, n_docs).select("term", "idf"), "term")
                .withColumn("__w", F.col("tf") * F.col("idf")))
     norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(id_col)))
@@ -97,7 +98,7 @@ def gamma_scale(doc_term: DataFrame, n_docs: Column, value_col: str = "tf") -> D
     cells = n_docs.cast("double") * F.col("v")
     var = F.col("s2") / cells - F.pow(F.col("s1") / cells, 2)
     return s.select(n_docs.cast("bigint").alias("n_docs"), F.col("v").alias("n_terms"),
-                    var.alias("variance"), (F.lit(1.0) / (F.col("v") * var)).alias("gamma"))
+                    var.alias("variance"), F.try_divide(F.lit(1.0), F.col("v") * var).alias("gamma"))
 
 
 def ngram_counts(tokens_df: DataFrame, tokens_col: str) -> DataFrame:

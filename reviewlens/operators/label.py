@@ -38,13 +38,21 @@ def rule_label(df: DataFrame, *, text_col: str, rating_col: str,
     return out if keep_promo else out.drop("is_promotional")
 
 
-def feature_label(df: DataFrame, *, text_col: str, rating_col: str, features: Iterable[str],
-                  label_col: str = "is_inducing") -> DataFrame:
+def feature_label(df: DataFrame, *, text_col: str, rating_col: str,
+                  features: Iterable[str] | DataFrame, label_col: str = "is_inducing",
+                  delimiter_as_space: str | None = None) -> DataFrame:
     """1 when the rating is 5 and any feature phrase is a substring of the text.
 
-    The rating test comes first so it can be pushed to the scan's row
-    groups; feature phrases are a bounded, inlined list.
+    ``features`` is a list or a table (first column; seeds and their k
+    neighbours each, so its size is configuration); either way the test is the
+    same native expression.
+    ``delimiter_as_space`` names the joint of mined phrases (``a_b``), which
+    then also match the space-joined text.
     """
+    if isinstance(features, DataFrame):
+        features = [r[0] for r in features.select(features.columns[0]).distinct().collect()]
+    features = [f.replace(delimiter_as_space, " ") if delimiter_as_space else f
+                for f in features if f is not None]
     cond = _five(rating_col) & T.contains_any(F.col(text_col), features)
     return df.withColumn(label_col, cond.cast("bigint"))
 

@@ -8,8 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CLOSED_STATUS, LIMITS, MAX_BLOCKS, REVIEWS_PER_BLOCK
-from ..session import check_bounded
+from ..config import CLOSED_STATUS, MAX_BLOCKS, REVIEWS_PER_BLOCK
 from .ordering import ordinal_in_group, top_k_per_group
 
 
@@ -41,7 +40,7 @@ def listing_conditions(df: DataFrame, rating_col: str, min_rating: float = 4.5,
 
 
 def _names_df(spark, names: Iterable[str], col: str) -> DataFrame:
-    names = check_bounded(sorted(set(names)), LIMITS.inline_terms, col)
+    names = sorted(set(names))
     return spark.createDataFrame([(n,) for n in names], f"{col} string")
 
 

@@ -54,17 +54,20 @@ def score_auc(scored: DataFrame, label_col: str = "label", score_col: str = "sco
         F.count_if(F.col(label_col) == 1).alias("pos"),
         F.count_if(F.col(label_col) != 1).alias("neg"))
     cum = running_totals(per, [F.col("score").desc()], {"cpos": F.col("pos"), "cneg": F.col("neg")})
-    totals = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    big_p = totals.select("P").scalar()
-    big_n = totals.select("N").scalar()
+    # the running totals are written: their largest values are the class sizes
+    sizes = cum.agg(F.max("cpos").alias("P"), F.max("cneg").alias("N"))
+    big_p = F.coalesce(sizes.select("P").scalar(), F.lit(0))
+    big_n = F.coalesce(sizes.select("N").scalar(), F.lit(0))
     # positives at this score beat every negative with a lower score
     lower_neg = big_n - F.col("cneg")
     pairs = F.col("pos") * lower_neg + 0.5 * F.col("pos") * F.col("neg")
-    step = F.col("pos") / big_p * (F.col("cpos") / (F.col("cpos") + F.col("cneg")))
+    # without positives or negatives the ratios are null, not an error
+    step = F.try_divide(F.col("pos"), big_p) * (F.col("cpos") / (F.col("cpos") + F.col("cneg")))
     return cum.agg(
-        F.when((big_p > 0) & (big_n > 0), F.sum(pairs) / (big_p * big_n)).alias("roc_auc"),
-        F.when(big_p > 0, F.sum(step)).alias("avg_precision"),
-        F.first(big_p).cast("bigint").alias("positives"), F.first(big_n).cast("bigint").alias("negatives"))
+        F.try_divide(F.sum(pairs), (big_p * big_n).cast("double")).alias("roc_auc"),
+        F.when(F.max("cpos") > 0, F.sum(step)).alias("avg_precision"),
+        F.coalesce(F.max("cpos"), F.lit(0)).cast("bigint").alias("positives"),
+        F.coalesce(F.max("cneg"), F.lit(0)).cast("bigint").alias("negatives"))
 
 
 def term_log_odds(doc_term: DataFrame, labels: DataFrame, id_col: str = "doc_id",

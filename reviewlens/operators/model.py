@@ -1,8 +1,8 @@
 """Classifiers on text features with ``pyspark.ml``.
 
 Features: the vectoriser vocabulary is fitted on the training rows only
-(at most ``LIMITS.vocab_for_models`` terms - Spark's default size, which bounds the
-driver-side vocabulary - and every term seen at least once, as in the original).
+(every term, as in the original; the vocabulary is counted first, and only
+``vocab_size`` or ``min_df`` given by the caller drop terms).
 TF-IDF uses Spark's IDF plus one - ``ln((n+1)/(df+1)) + 1`` - and an L2
 normaliser, which is the smoothed TF-IDF of the original scripts restricted
 to the kept vocabulary.
@@ -25,7 +25,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import LIMITS, RF_FOLDS, RF_GRID, SPLIT_SEED, TOP_WORDS
+from ..config import RF_FOLDS, RF_GRID, SPLIT_SEED, TOP_WORDS
 
 MAX_SPARK_DEPTH = 30
 
@@ -33,7 +33,8 @@ MAX_SPARK_DEPTH = 30
 def fit_features(train: DataFrame, tokens_col: str = "tokens", kind: str = "tfidf",
                  vocab_size: int | None = None, min_df: float = 1.0) -> PipelineModel:
     """Fit the vectoriser (and IDF) on ``train``; output column ``features``."""
-    vocab_size = vocab_size or LIMITS.vocab_for_models
+    # the whole training vocabulary: terms are only dropped by an explicit size or min_df
+    vocab_size = vocab_size or max(1, train.select(F.explode(tokens_col)).distinct().count())
     cv = CountVectorizer(inputCol=tokens_col, outputCol="tf" if kind == "tfidf" else "features",
                          vocabSize=vocab_size, minDF=min_df)
     if kind == "bow":
@@ -47,7 +48,7 @@ def fit_features(train: DataFrame, tokens_col: str = "tokens", kind: str = "tfid
 
 
 def vocabulary_frame(spark, feature_model: PipelineModel) -> DataFrame:
-    """(idx, term) of the fitted vectoriser (bounded by the vocabulary cap)."""
+    """(idx, term) of the fitted vectoriser."""
     vocab = feature_model.stages[0].vocabulary
     return spark.createDataFrame(list(enumerate(vocab)), "idx int, term string")
 
@@ -138,35 +139,36 @@ def rf_grid_search(train: DataFrame, grid: dict = RF_GRID, folds: int = RF_FOLDS
 def top_importances(spark, model, feats: PipelineModel, k: int = TOP_WORDS) -> DataFrame:
     """Top-k words by forest importance; ties keep term order."""
     vocab = feats.stages[0].vocabulary
-    imp = model.featureImportances.toArray().tolist()
-    return (positional_zip(spark, vocab, imp, "term", "importance")
+    imp = model.featureImportances                       # sparse: only the split words matter
+    used = imp.indices.tolist() if hasattr(imp, "indices") else range(len(vocab))
+    pairs = [(vocab[i], imp[int(i)]) for i in used]
+    rest = [(w, 0.0) for w in sorted(set(vocab) - {w for w, _ in pairs})[:max(0, k - len(pairs))]]
+    names, values = zip(*(pairs + rest)) if pairs or rest else ((), ())
+    return (positional_zip(spark, list(names), list(values), "term", "importance")
             .orderBy(F.col("importance").desc(), F.col("term")).limit(k))
 
 
-def rff_features(weights: DataFrame, gamma: float, dims: int = 64, seed: int = SPLIT_SEED,
-                 id_col: str = "doc_id") -> DataFrame:
+def rff_features(docs: DataFrame, gamma: float, dims: int = 64, seed: int = SPLIT_SEED,
+                 terms_col: str = "terms", out_col: str = "features") -> DataFrame:
     """Random Fourier features of an RBF kernel (Rahimi & Recht, 2007).
 
+    ``terms_col`` holds each row's (term, weight) structs.
     ``z(x) = sqrt(2/D) cos(W x + b)``, ``W ~ N(0, 2 gamma)``, ``b ~ U(0, 2pi)``.
     W's entries are derived from hashes of (term, dimension, seed), so no
-    matrix is built on the driver: the sparse rows (doc, term, weight) are
-    expanded over the D dimensions and summed per (doc, dimension).
+    matrix is built; the projection is summed inside the row, without
+    exploding, and a row without terms gets ``cos(b)`` in every dimension.
     """
     def unit(*cols):
         return (F.pmod(F.xxhash64(*cols), F.lit(2 ** 52)).cast("double") + 0.5) / float(2 ** 52)
 
-    d = F.explode(F.sequence(F.lit(0), F.lit(dims - 1))).alias("dim")
-    expanded = weights.select(id_col, "term", "weight", d)
-    u1 = unit(F.col("term"), F.col("dim"), F.lit(seed), F.lit(1))
-    u2 = unit(F.col("term"), F.col("dim"), F.lit(seed), F.lit(2))
-    normal = F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2)
-    proj = (expanded.withColumn("__p", F.col("weight") * normal * math.sqrt(2.0 * gamma))
-            .groupBy(id_col, "dim").agg(F.sum("__p").alias("__wx")))
-    phase = 2.0 * math.pi * unit(F.col("dim"), F.lit(seed), F.lit(3))
-    z = proj.withColumn("__z", math.sqrt(2.0 / dims) * F.cos(F.col("__wx") + phase))
-    # documents with no weight still get cos(b) in every dimension
-    per_doc = z.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("dim", "__z"))).alias("__m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
-                        lambda i: F.coalesce(F.element_at("__m", i),
-                                             math.sqrt(2.0 / dims) * F.cos(2.0 * math.pi * unit(i, F.lit(seed), F.lit(3)))))
-    return per_doc.select(id_col, array_to_vector(dense).alias("features"))
+    def one(d):
+        def add(acc, t):
+            u1 = unit(t["term"], d, F.lit(seed), F.lit(1))
+            u2 = unit(t["term"], d, F.lit(seed), F.lit(2))
+            return acc + t["weight"] * F.sqrt(-2.0 * F.log(u1)) * F.cos(2.0 * math.pi * u2)
+        wx = F.aggregate(F.coalesce(terms_col, F.array().cast("array<struct<term:string,weight:double>>")),
+                         F.lit(0.0), add)
+        phase = 2.0 * math.pi * unit(d, F.lit(seed), F.lit(3))
+        return math.sqrt(2.0 / dims) * F.cos(math.sqrt(2.0 * gamma) * wx + phase)
+
+    return docs.withColumn(out_col, array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), one)))

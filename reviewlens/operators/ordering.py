@@ -98,7 +98,13 @@ def dense_index(df: DataFrame, order_cols, out_col: str = "idx") -> DataFrame:
             .withColumn(out_col, (F.col(out_col) - 1).cast("bigint")))
 
 
-def first_in_group(df: DataFrame, group_cols, order_col: str, value_cols) -> DataFrame:
-    """Value(s) of the first row per group: a partial ``min_by`` aggregate."""
+def first_in_group(df: DataFrame, group_cols, order_cols, value_cols) -> DataFrame:
+    """Value(s) of the first row per group: a partial ``min_by`` aggregate.
+
+    ``order_cols`` is one column or a list; on equal order values the row with
+    the smallest ``value_cols`` is first, so the result never depends on the
+    order in which tasks finish.
+    """
+    order = F.struct(*_cols(order_cols), *_cols(value_cols))
     return df.groupBy(*_cols(group_cols)).agg(
-        *[F.min_by(c, order_col).alias(c) for c in _cols(value_cols)])
+        *[F.min_by(c, order).alias(c) for c in _cols(value_cols)])

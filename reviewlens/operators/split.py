@@ -12,8 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import LIMITS, SPLIT_SEED, TEST_FRACTION
-from ..session import collect_bounded
+from ..config import SPLIT_SEED, TEST_FRACTION
 
 
 def split_hash(key: Column | str, seed: int = SPLIT_SEED) -> Column:
@@ -33,25 +32,23 @@ def hash_split(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION,
 def _select_cut(keyed: DataFrame, k: int) -> tuple[int, object]:
     """(hash, key) of the k-th smallest row (1-based) by radix selection.
 
-    Four passes, one per byte of the 32-bit hash: count rows per byte value
-    below the current prefix (at most 256 rows reach the driver), step into
-    the bucket that holds the k-th row.  Only rows sharing the final hash
+    Two passes over the 32-bit hash: count rows per upper half (at most
+    65,536 rows reach the driver), step into the half that holds the k-th row,
+    and do the same with the lower half.  Only rows sharing the final hash
     value are ordered by key.
     """
     prefix = 0
-    for level in range(4):
-        shift = 24 - 8 * level
-        sub = keyed if level == 0 else keyed.filter(F.shiftright("h", shift + 8) == prefix)
+    for shift in (16, 0):
+        sub = keyed if shift else keyed.filter(F.shiftright("h", 16) == prefix)
         counts = sorted(tuple(r) for r in sub.groupBy(
-            F.shiftright("h", shift).bitwiseAND(255).alias("b")).count().collect())
+            F.shiftright("h", shift).bitwiseAND(65535).alias("b")).count().collect())
         for b, c in counts:
             if k <= c:
-                prefix = (prefix << 8) | int(b)
+                prefix = (prefix << 16) | int(b)
                 break
             k -= c
-    ties = collect_bounded(keyed.filter(F.col("h") == prefix).select("k").orderBy("k").limit(k),
-                           LIMITS.driver_rows, "rows sharing one split hash")
-    return prefix, ties[-1][0]
+    ties = keyed.filter(F.col("h") == prefix).select("k").orderBy("k").limit(k)
+    return prefix, ties.agg(F.max("k")).first()[0]
 
 
 def exact_split(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION,
@@ -61,18 +58,19 @@ def exact_split(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION,
     The cut is found by radix selection over the key column (a few counting
     passes, no global sort), then every row is labelled by comparing its
     own (hash, key) with the cut - no join back, no checkpoint of the rows.
+    Rows with a null key are training rows and do not count.
     """
-    keyed = df.select(split_hash(key, seed).alias("h"), F.col(key).alias("k"))
+    keyed = df.select(split_hash(key, seed).alias("h"), F.col(key).alias("k")).filter("k is not null")
     n = keyed.count()
     k = math.ceil(n * test_fraction)  # same double arithmetic as ceil(0.2 * n)
     h = split_hash(key, seed)
     if k <= 0:
         return df.withColumn(out_col, F.lit(0).cast("bigint"))
     if k >= n:
-        return df.withColumn(out_col, F.lit(1).cast("bigint"))
+        return df.withColumn(out_col, F.col(key).isNotNull().cast("bigint"))
     h_cut, k_cut = _select_cut(keyed, k)
     test = (h < F.lit(h_cut)) | ((h == F.lit(h_cut)) & (F.col(key) <= F.lit(k_cut)))
-    return df.withColumn(out_col, test.cast("bigint"))
+    return df.withColumn(out_col, F.coalesce(test, F.lit(False)).cast("bigint"))
 
 
 def three_way_split(df: DataFrame, key: str, fractions=(0.8, 0.1, 0.1),

@@ -7,9 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import LIMITS, MORE_TOKEN, PHRASE_DELIMITER, TRANSLATION_MARKER
+from ..config import MORE_TOKEN, PHRASE_DELIMITER, TRANSLATION_MARKER
 from ..functions import text as T
-from ..session import collect_bounded, count_at_most
 
 
 def drop_null_text(df: DataFrame, text_col: str) -> DataFrame:
@@ -32,7 +31,7 @@ def fill_text(df: DataFrame, cols) -> DataFrame:
 
 def clean_reviews(df: DataFrame, *, text_col: str, rating_col: str,
                   stopwords: Iterable[str] = (), marker: str = TRANSLATION_MARKER,
-                  removed_class: str = T.NOT_CJK_CLASS, tokenizer: str = "word",
+                  removed_class: str = T.NOT_CJK_CLASS, tokenizer="word",
                   patterns=None, keep_empty: bool = False, drop_token: str | None = None,
                   age_col: str | None = None, anchor_col: str | None = None,
                   date_col: str = "review_date",
@@ -55,20 +54,20 @@ def clean_reviews(df: DataFrame, *, text_col: str, rating_col: str,
     labelled = rule_label(kept, text_col=text_col, rating_col=rating_col,
                           patterns=patterns, label_col=label_col, keep_promo=False)
     cleaned = T.keep_charset(F.col(text_col), removed_class)
-    if callable(tokenizer):  # e.g. functions.arrow.lexicon_segmenter(words) for CJK text
-        tokens = tokenizer(cleaned)
+    tokens = T.remove_terms(T.tokenize(cleaned, tokenizer), stopwords)
+    processed = T.join_tokens(tokens)
+    if keep_empty:
+        out = labelled.withColumn(processed_col, processed)
     else:
-        tokens = T.tokenize_word(cleaned) if tokenizer == "word" else T.tokenize_whitespace(cleaned)
-    tokens = T.remove_terms(tokens, stopwords)
-    out = labelled.withColumn(processed_col, T.join_tokens(tokens))
-    if not keep_empty:
-        out = out.filter(F.col(processed_col) != "")
+        # a generator cannot be copied into a pushed-down filter, so the text is cleaned once
+        out = labelled.select("*", F.explode(F.filter(F.array(processed), lambda t: t != ""))
+                              .alias(processed_col))
     if drop_token is not None:
         out = drop_equal_null_safe(out, processed_col, drop_token)
     return out
 
 
-def clean_review_table(raw: DataFrame, stopwords: Iterable[str] = (), tokenizer: str = "whitespace",
+def clean_review_table(raw: DataFrame, stopwords: Iterable[str] = (), tokenizer="cjk_ngram",
                        with_restaurant: bool = False, keep_empty: bool = True,
                        drop_token: str | None = None) -> DataFrame:
     """Collected reviews (``schema.RAW_REVIEWS``) -> the cleaned review table.
@@ -76,6 +75,8 @@ def clean_review_table(raw: DataFrame, stopwords: Iterable[str] = (), tokenizer:
     Reviewer names are renamed by the alias map, the relative age is
     resolved against the stored scrape time, and the output columns are
     those of ``schema.CLEANED_REVIEWS`` (with RestName first if asked).
+    ``tokenizer`` is a mode of ``functions.text.tokenize``; the default cuts
+    CJK text, from which the charset filter has taken every space.
     """
     from ..schema import apply_aliases, parse_scrape_time
 
@@ -90,27 +91,17 @@ def clean_review_table(raw: DataFrame, stopwords: Iterable[str] = (), tokenizer:
     return out.select(*(["RestName"] if with_restaurant else []), *cols)
 
 
-def remove_stopwords(df: DataFrame, tokens_col: str, stop_df: DataFrame, id_col: str,
+def remove_stopwords(df: DataFrame, tokens_col: str, stop_df: DataFrame,
                      out_col: str | None = None) -> DataFrame:
-    """Stop-word removal against a stop-word *table* of any size.
+    """Stop-word removal against a stop-word table, inside the row.
 
-    Up to the inline bound the list is collected once and tested with a
-    hashed ``INSET`` inside ``filter`` (no shuffle).  Beyond it: explode
-    with positions, anti join, and regroup per row in position order.
+    The list is configuration: its distinct words are collected and become a
+    hash set in the plan, whatever their number.  Null arrays stay null, null
+    tokens and null stop words are dropped.
     """
-    out_col = out_col or tokens_col
     word = stop_df.columns[0]
-    n = count_at_most(stop_df.select(word).distinct(), LIMITS.inline_terms)
-    if n is not None:
-        words = [r[0] for r in collect_bounded(stop_df.select(word).distinct(), LIMITS.inline_terms, "stop list")]
-        return df.withColumn(out_col, T.remove_terms(F.col(tokens_col), words))
-    exploded = df.select(id_col, F.posexplode(tokens_col).alias("__pos", "__tok"))
-    kept = exploded.join(stop_df.select(F.col(word).alias("__tok")).distinct(), "__tok", "left_anti")
-    regrouped = kept.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.struct("__pos", "__tok"))).alias("__kept"))
-    return (df.drop(out_col) if out_col != tokens_col else df.drop(tokens_col)).join(
-        regrouped.select(id_col, F.transform("__kept", lambda s: s["__tok"]).alias(out_col)),
-        id_col, "left").withColumn(out_col, F.coalesce(F.col(out_col), F.array().cast("array<string>")))
+    words = [r[0] for r in stop_df.select(word).filter(F.col(word).isNotNull()).distinct().collect()]
+    return df.withColumn(out_col or tokens_col, T.remove_terms(F.col(tokens_col), words))
 
 
 def merge_phrases(df: DataFrame, tokens_col: str, phrases: DataFrame, id_col: str,

@@ -1,26 +1,41 @@
-"""Registered queries with learned results (rows-only checks: no SQL oracle)."""
+"""Registered queries with learned results; oracles cover the rows, not the learned values."""
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..config import RF_FOLDS, SEED_PHRASES
 from ..functions import text as T
 from ..operators import embed as E
 from ..operators import features as FT
+from ..operators import metrics as M
 from ..operators import model as MD
 from ..operators import split as SP
 from ..operators.similarity import seed_words
-from .registry import r6, register
+from ..session import materialize
+from .registry import r6, register, sq, sql_list
 from .tables import TEST_SEEDS, table
 
 
+WORD = sq(T.WORD_TOKEN)
+HASH_SQL = "('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT"
+#: the exact split over the labelled documents
+SPLIT_SQL = f"""s AS (
+  SELECT doc_id, CAST(quality AS BIGINT) AS quality,
+         row_number() OVER (ORDER BY {HASH_SQL}, doc_id) <= ceil(0.2 * count(*) OVER ()) AS is_test
+  FROM documents JOIN labels USING (doc_id))"""
+#: learned predictions stay out of the comparison; that each row got one of the classes is in it
+SCORED_SQL = f"WITH {SPLIT_SQL} SELECT doc_id, quality AS label, true AS scored FROM s WHERE is_test"
 def _labelled(spark, sf):
-    """documents with a label (quality), word tokens and an exact 80/20 split."""
+    """documents with a label, word tokens and an exact 80/20 split, written once."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    lab = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    lab = table(spark, sf, "labels").select("doc_id", "quality")
     joined = docs.join(lab, "doc_id").withColumn("tokens", T.tokenize_word("text"))
-    return SP.exact_split(joined, "doc_id")
+    rows = joined.select("doc_id", "tokens", F.col("quality").cast("double").alias("label"))
+    return materialize(SP.exact_split(rows, "doc_id"), "labelled")
 
 
 def _predict(spark, sf, kind, feature_kind="tfidf", **params):
@@ -28,51 +43,76 @@ def _predict(spark, sf, kind, feature_kind="tfidf", **params):
     train = data.filter(F.col("is_test") == 0)
     test = data.filter(F.col("is_test") == 1)
     pred, _, _ = MD.train_and_predict(train, test, kind, feature_kind, **params)
+    return pred
+
+
+def _scored(pred):
     return pred.select("doc_id", F.col("label").cast("bigint").alias("label"),
-                       F.col("prediction").cast("bigint").alias("prediction"))
+                       F.col("prediction").isin(0.0, 1.0).alias("scored"))
 
 
-@register("rf_model")
+@register("rf_model", SCORED_SQL)
 def rf_model(spark, sf):
-    return _predict(spark, sf, "rf")
+    return _scored(_predict(spark, sf, "rf"))
 
 
-@register("tree_model")
+@register("tree_model", SCORED_SQL)
 def tree_model(spark, sf):
-    return _predict(spark, sf, "tree")
+    return _scored(_predict(spark, sf, "tree"))
 
 
-@register("gbt_model")
+@register("gbt_model", SCORED_SQL)
 def gbt_model(spark, sf):
-    return _predict(spark, sf, "gbt")
+    return _scored(_predict(spark, sf, "gbt"))
 
 
-@register("mlp_model")
+@register("mlp_model", SCORED_SQL)
 def mlp_model(spark, sf):
-    return _predict(spark, sf, "mlp")
+    return _scored(_predict(spark, sf, "mlp"))
 
 
-@register("svm_linear")
+@register("svm_linear", SCORED_SQL)
 def svm_linear(spark, sf):
-    return _predict(spark, sf, "svm", feature_kind="bow")
+    return _scored(_predict(spark, sf, "svm", feature_kind="bow"))
+
+
+@register("svm_tfidf", SCORED_SQL)
+def svm_tfidf(spark, sf):
+    return _scored(_predict(spark, sf, "svm", feature_kind="tfidf"))
+
+
+REPORT = ("accuracy", "precision", "recall", "f1", "roc_auc", "avg_precision", "score_auc", "score_ap")
+
 
+@register("model_report", f"""
+WITH {SPLIT_SQL} SELECT CAST(sum(quality) AS BIGINT) AS positives, CAST(sum(1 - quality) AS BIGINT) AS negatives,
+  true AS in_range FROM s WHERE is_test""")
+def model_report(spark, sf):
+    """Six metrics of a model's test predictions and AUC and AP of its scores, checked for range."""
+    pred = materialize(_predict(spark, sf, "tree").select(
+        "label", "prediction", vector_to_array("probability")[1].alias("score")), "predictions")
+    curve = M.score_auc(pred).select(F.col("roc_auc").alias("score_auc"), F.col("avg_precision").alias("score_ap"))
+    both = M.classification_metrics(pred).join(F.broadcast(curve))        # one row each
+    held = [F.coalesce(F.col(c).between(0, 1), F.lit(True)) for c in REPORT]
+    return both.select((F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"),
+                       functools.reduce(lambda a, b: a & b, held).alias("in_range"))
 
-@register("svm_rff")
+
+@register("svm_rff", SCORED_SQL)
 def svm_rff(spark, sf):
     """RBF-kernel SVM approximated by random Fourier features + linear SVM;
     gamma = 1 / (V * var(X)) over the training bag-of-words."""
     data = _labelled(spark, sf)
+    bag = FT.doc_terms(data, "doc_id", F.col("tokens"))
     train_ids = data.filter(F.col("is_test") == 0).select("doc_id")
-    bag = FT.doc_terms(data, "doc_id", F.col("tokens")).withColumnRenamed("tf", "weight")
-    train_bag = bag.join(train_ids, "doc_id", "left_semi")
-    g = FT.gamma_scale(train_bag.withColumnRenamed("weight", "tf"),
+    g = FT.gamma_scale(bag.join(train_ids, "doc_id", "left_semi"),
                        train_ids.select(F.count(F.lit(1))).scalar()).first()["gamma"]
-    z = MD.rff_features(bag, float(g))
-    full = data.select("doc_id", "label", "is_test").join(z, "doc_id")
+    terms = bag.groupBy("doc_id").agg(F.collect_list(F.struct(
+        "term", F.col("tf").cast("double").alias("weight"))).alias("terms"))
+    full = materialize(MD.rff_features(data.join(terms, "doc_id", "left"), float(g or 1.0)).select(
+        "doc_id", "label", "is_test", "features"), "rff")
     svm = MD.learner("svm", 0).fit(full.filter(F.col("is_test") == 0))
-    pred = svm.transform(full.filter(F.col("is_test") == 1))
-    return pred.select("doc_id", F.col("label").cast("bigint").alias("label"),
-                       F.col("prediction").cast("bigint").alias("prediction"))
+    return _scored(svm.transform(full.filter(F.col("is_test") == 1)))
 
 
 # A reduced grid keeps the registered check quick (4 points x 5 folds); the
@@ -81,15 +121,14 @@ SMALL_GRID = {"n_estimators": (10, 50), "max_depth": (10, None),
               "min_samples_split": (2,), "min_samples_leaf": (1,)}
 
 
-@register("rf_grid")
+@register("rf_grid", SCORED_SQL)
 def rf_grid(spark, sf):
     data = _labelled(spark, sf)
     train = SP.stratified_folds(data.filter(F.col("is_test") == 0), "doc_id", "label", RF_FOLDS)
     test = data.filter(F.col("is_test") == 1)
     cv_model, feats = MD.rf_grid_search(train, SMALL_GRID, folds=RF_FOLDS, fold_col="fold")
     pred = cv_model.bestModel.transform(feats.transform(test))
-    return pred.select("doc_id", F.col("label").cast("bigint").alias("label"),
-                       F.col("prediction").cast("bigint").alias("prediction"))
+    return _scored(pred)
 
 
 @register("top_importances")
@@ -103,42 +142,48 @@ def top_importances(spark, sf):
 
 # ------------------------------------------------------------------ embeddings
 
-_W2V_CACHE: dict = {}
-
-
 def _tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.tokenize_word("text").alias("tokens"))
 
 
 def _word2vec(spark, sf):
-    """One model per (session, tables): the three embedding queries share it.
+    """A model with the original settings (100 dims, window 5, min count 5, 50 epochs)."""
+    return E.train_word2vec(materialize(_tokens(spark, sf), "w2v_tokens"))
+
 
-    Trained with the original settings (100 dims, window 5, min count 5,
-    50 epochs), one partition per core.
-    """
-    key = (id(spark), sf)
-    if key not in _W2V_CACHE:
-        parts = spark.sparkContext.defaultParallelism
-        _W2V_CACHE[key] = E.train_word2vec(_tokens(spark, sf), partitions=parts)
-    return _W2V_CACHE[key]
+VOCABULARY_SQL = f"""t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {WORD}, 1)) AS word FROM documents),
+  v AS (SELECT word FROM t GROUP BY word HAVING count(*) >= 5)"""
 
 
-@register("word2vec_vectors")
+@register("word2vec_vectors", f"WITH {VOCABULARY_SQL} SELECT word, 100 AS dims, true AS positive FROM v")
 def word2vec_vectors(spark, sf):
-    vecs = E.word_vectors(_word2vec(spark, sf))
-    return vecs.select("word", r6(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))
-                       .alias("norm"))
+    """The trained words with the size of their vectors (learned values stay out)."""
+    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    return E.word_vectors(_word2vec(spark, sf)).select(
+        "word", F.size("vector").alias("dims"), (norm > 0).alias("positive"))
 
 
-@register("expand_word2vec")
-def expand_word2vec(spark, sf):
-    model = _word2vec(spark, sf)
-    seeds = sorted(set(seed_words(SEED_PHRASES)) | set(TEST_SEEDS))
-    return E.expand_with_word2vec(model, seeds, SEED_PHRASES)
+SEEDS = sorted(set(seed_words(SEED_PHRASES)) | set(TEST_SEEDS))
 
 
-@register("doc_vectors")
+@register("expand_word2vec", f"""
+WITH {VOCABULARY_SQL}, n AS (SELECT least(10, count(*) - 1) AS k FROM v)
+SELECT word AS seed, CAST(n.k AS BIGINT) AS neighbours, true AS ordered FROM v, n
+WHERE n.k > 0 AND list_contains({sql_list(SEEDS)}, word)""")
+def expand_word2vec(spark, sf):
+    """Every known seed word with its number of neighbours, ranked by similarity."""
+    found = E.neighbours(_word2vec(spark, sf), SEEDS)
+    w = F.array_sort(F.collect_list(F.struct("rank", "similarity")))
+    return found.groupBy("seed").agg(F.count("*").alias("neighbours"), w.alias("w")).select(
+        "seed", "neighbours", F.aggregate("w", F.struct(F.lit(True).alias("ok"), F.lit(2.0).alias("last")),
+                                          lambda a, x: F.struct((a["ok"] & (x["similarity"] <= a["last"])).alias("ok"),
+                                                                x["similarity"].alias("last")),
+                                          lambda a: a["ok"]).alias("ordered"))
+
+
+@register("doc_vectors", f"""
+SELECT doc_id, CASE WHEN len(regexp_extract_all(lower(text), {WORD}, 1)) > 0 THEN 100 END AS dims FROM documents""")
 def doc_vectors(spark, sf):
+    """Documents with the size of their vector; null without tokens."""
     vec = E.document_vectors(_word2vec(spark, sf), _tokens(spark, sf))
-    return vec.select("doc_id", F.size("vector").cast("bigint").alias("dims"),
-                      r6(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"))
+    return vec.select("doc_id", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dims"))

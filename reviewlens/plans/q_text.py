@@ -9,11 +9,9 @@ from ..config import (
     RELATIVE_UNITS, REVIEW_COUNT_SUFFIX,
 )
 from ..functions import text as T
-from ..functions.arrow import ascii_fold, lexicon_segmenter
+from ..functions.arrow import ascii_fold
 from ..operators import label as L
 from ..operators import text_ops as X
-from ..session import check_bounded, collect_bounded
-from ..config import LIMITS
 from .registry import r6, register, sq, sql_list
 from .tables import (
     TEST_CHARSET, TEST_FEATURES, TEST_MARKER, TEST_PATTERNS, TEST_STOPWORDS,
@@ -90,6 +88,58 @@ def feature_label(spark, sf):
                            features=TEST_FEATURES).select("doc_id", "rating", "is_inducing")
 
 
+#: 3,000 features, some of which occur: the same operator with a long table
+MANY = 3000
+
+
+@register("feature_label_table", f"""
+WITH f AS (SELECT CASE WHEN i % 300 = 0 THEN 'on ' || chr(CAST(97 + i // 300 AS INTEGER)) ELSE 'zq' || i END AS feature
+           FROM range({MANY}) r(i)),
+  p AS MATERIALIZED (SELECT doc_id, {PROCESSED_SQL} AS processed FROM documents WHERE {RATING_SQL} = 5),
+  h AS (SELECT DISTINCT doc_id FROM p JOIN f ON contains(processed, feature))
+SELECT doc_id, CAST(doc_id IN (SELECT doc_id FROM h) AS BIGINT) AS is_inducing FROM documents""")
+def feature_label_table(spark, sf):
+    """Features from a table of 3,000 rows."""
+    i = F.col("id")
+    feats = spark.range(MANY).select(F.when(i % 300 == 0, F.concat(F.lit("on "), F.char(97 + F.floor(i / 300))))
+                                     .otherwise(F.concat(F.lit("zq"), i)).alias("feature"))
+    d = rated_documents(spark, sf).withColumn("processed", T.join_tokens(T.tokenize_word("text")))
+    return L.feature_label(d, text_col="processed", rating_col="rating",
+                           features=feats).select("doc_id", "is_inducing")
+
+
+@register("remove_many_stopwords", f"""
+WITH w AS (SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), {WORD}, 1)) AS word FROM benchmark)
+           UNION SELECT 'zq' || i FROM range({MANY}) r(i)),
+  t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {WORD}, 1)) AS word FROM documents)
+SELECT doc_id, count(*) AS n_tokens FROM t WHERE word NOT IN (SELECT word FROM w) GROUP BY doc_id""")
+def remove_many_stopwords(spark, sf):
+    """A stop list of over 3,000 words (those of the benchmark among them)."""
+    words = table(spark, sf, "benchmark").select(F.explode(T.tokenize_word("text")).alias("word"))
+    stop = words.union(spark.range(MANY).select(F.concat(F.lit("zq"), F.col("id"))))
+    d = table(spark, sf, "documents").select("doc_id", T.tokenize_word("text").alias("t"))
+    out = X.remove_stopwords(d, "t", stop).select("doc_id", F.size("t").cast("bigint").alias("n_tokens"))
+    return out.filter("n_tokens > 0")
+
+
+#: phrases put behind each text by its id, to give CJK runs, emoji and mixed script
+CJK_PARTS = ("打卡送飲料，餐點好吃", "五星好評\U0001F600送小菜", "好", "加入line會員 送折扣")
+
+
+@register("tokenize_cjk", f"""
+WITH d AS (SELECT doc_id, {sql_list(CJK_PARTS)}[1 + doc_id % {len(CJK_PARTS)}] || ' ' || source AS t FROM documents),
+  p AS (SELECT doc_id, unnest(regexp_extract_all(t, {sq(f"([{T.CJK_RUN}]+|[^{T.CJK_RUN}{PY_SPACE_CLASS}]+)")}, 1)) AS piece,
+               generate_subscripts(regexp_extract_all(t, {sq(f"([{T.CJK_RUN}]+|[^{T.CJK_RUN}{PY_SPACE_CLASS}]+)")}, 1), 1) AS k FROM d),
+  g AS (SELECT doc_id, k, CASE WHEN regexp_matches(piece, {sq(f"^[{T.CJK_RUN}]")}) AND length(piece) > 1
+               THEN list_transform(range(1, length(piece)), lambda i: substring(piece, i, 2)) ELSE [piece] END AS l FROM p)
+SELECT doc_id, array_to_string(flatten(list(l ORDER BY k)), '|') AS tokens FROM g GROUP BY doc_id""")
+def tokenize_cjk(spark, sf):
+    """Default segmentation: CJK bigrams, other runs whole."""
+    part = F.element_at(F.array(*[F.lit(p) for p in CJK_PARTS]), (F.col("doc_id") % len(CJK_PARTS) + 1).cast("int"))
+    d = table(spark, sf, "documents", spread_text=False).select("doc_id", F.concat(part, F.lit(" "), "source").alias("t"))
+    return d.select("doc_id", F.array_join(T.tokenize("t"), "|").alias("tokens"))
+
+
 # ------------------------------------------------------------------ cleaning
 
 @register("clean_reviews", f"""
@@ -150,10 +200,14 @@ def keep_charset(spark, sf):
     return d.select("doc_id", T.keep_charset("text", TEST_CHARSET).alias("kept"))
 
 
-@register("ascii_fold")
+@register("ascii_fold", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g') || ' ok'
+       ELSE text || ' ok' END AS folded FROM documents""")
 def ascii_fold_q(spark, sf):
+    """Every third text gets an emoji, so that it is folded."""
     d = table(spark, sf, "documents")
-    return d.select("doc_id", ascii_fold("text").alias("folded"))
+    mark = F.when(F.col("doc_id") % 3 == 0, F.lit(" \U0001F600ok")).otherwise(F.lit(" ok"))
+    return d.select("doc_id", ascii_fold(F.concat("text", mark)).alias("folded"))
 
 
 # ------------------------------------------------------------------ parsing
@@ -252,17 +306,21 @@ def tokenize_ngram(spark, sf):
     return d.select("doc_id", F.size("g").cast("bigint").alias("n_grams"), F.array_join("g", "|").alias("grams"))
 
 
-@register("tokenize_lexicon")
+#: a dictionary that does not grow with the corpus: every pair of these syllables, and them
+LEXICON_PARTS = ("the", "th", "er", "en", "in", "re", "ti", "on", "and", "der", "ion", "ch", "ei")
+LEXICON = sorted({*LEXICON_PARTS, *(a + b for a in LEXICON_PARTS for b in LEXICON_PARTS)},
+                 key=lambda w: (-len(w), w))
+
+
+@register("tokenize_lexicon", f"""
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS tokens
+FROM (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '[^\\p{{L}}]+', '', 'g'),
+             '({"|".join(LEXICON)}|.)', 1) AS t FROM documents)""")
 def tokenize_lexicon(spark, sf):
-    """Forward maximum matching of run-together text against a dictionary
-    of frequent words (document frequency >= 20), derived from the table."""
-    from ..operators.features import bow, document_frequency
+    """Forward maximum matching of run-together text against a dictionary."""
     d = table(spark, sf, "documents")
-    words = document_frequency(bow(d, "doc_id", "text")).filter(F.col("df") >= 20).select("term")
-    lexicon = [r[0] for r in collect_bounded(words, LIMITS.inline_terms, "lexicon")]
-    seg = lexicon_segmenter(check_bounded(lexicon, LIMITS.inline_terms, "lexicon"))
     joined = F.regexp_replace(F.lower("text"), r"[^\p{L}]+", "")
-    out = d.select("doc_id", seg(joined).alias("t"))
+    out = d.select("doc_id", T.lexicon_segmenter(LEXICON)(joined).alias("t"))
     return out.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), T.join_tokens("t").alias("tokens"))
 
 
@@ -273,5 +331,5 @@ FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), {WORD}, 1),
 def remove_stopwords(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", T.tokenize_word("text").alias("t"))
     stop = spark.createDataFrame([(w,) for w in TEST_STOPWORDS], "word string")
-    out = X.remove_stopwords(d, "t", stop, "doc_id")
+    out = X.remove_stopwords(d, "t", stop)
     return out.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), T.join_tokens("t").alias("tokens"))

@@ -1,4 +1,4 @@
-"""Session, scratch-space and bounded-collection helpers."""
+"""Session and scratch-space helpers."""
 
 from __future__ import annotations
 
@@ -9,8 +9,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .config import LIMITS
-
 
 def get_spark(master: str | None = None, app: str = "reviewlens",
               shuffle_partitions: int | None = None) -> SparkSession:
@@ -69,15 +67,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if current:
             return current
         if not configured:
+            _local_only(sc.master)
             configured = tempfile.mkdtemp(prefix="reviewlens-ckpt-")
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
     if not configured:
-        configured = tempfile.mkdtemp(prefix="reviewlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        _local_only("remote")
     return configured
 
 
+def _local_only(master: str) -> None:
+    """Executors elsewhere do not see this machine's temporary folders."""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+
+
 _SCRATCH_ROOTS: set[str] = set()
 
 
@@ -132,29 +136,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if have >= want:
         return df
     return df.repartition(want, *keys) if keys else df.repartition(want)
-
-
-def collect_bounded(df: DataFrame, limit: int | None = None, what: str = "rows") -> list:
-    """Collect a small table, failing loudly if it is larger than ``limit``.
-
-    Used only for configuration-sized data (seed lists, bucket offsets,
-    phrase sets under the inline bound).  Never for data-sized tables.
-    """
-    limit = LIMITS.driver_rows if limit is None else limit
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what}: more than {limit} rows; refusing to collect")
-    return rows
-
-
-def count_at_most(df: DataFrame, limit: int) -> int | None:
-    """Row count if it is at most ``limit``, else None (reads at most limit+1 rows)."""
-    n = df.limit(limit + 1).count()
-    return n if n <= limit else None
-
-
-def check_bounded(values, limit: int, what: str) -> list:
-    values = list(values)
-    if len(values) > limit:
-        raise ValueError(f"{what}: {len(values)} entries exceed the inline bound {limit}")
-    return values

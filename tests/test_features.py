@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from reviewlens.functions import text as T
@@ -153,7 +154,9 @@ def test_clean_review_table_on_raw_schema(spark):
         (ts, "店B", "N", "阿強", "", 4.0, "剛剛", None),
         (ts, "店B", "N", "阿美", "", 3.0, "1 年前", "更多"),
     ], RAW_REVIEWS)
-    out = X.clean_review_table(raw, drop_token="更多", with_restaurant=True).orderBy("Reviewer").collect()
+    out = X.clean_review_table(raw, drop_token="更多", with_restaurant=True).collect()   # the default segments
+    assert [tuple(r) for r in out] == [("店A", "2024/02/16 10:05", "小明", 5.0, "五星 星好 好評 評送 送小 小菜 菜好 好吃", 1)]
+    out = X.clean_review_table(raw, drop_token="更多", with_restaurant=True, tokenizer="whitespace").collect()
     assert [tuple(r) for r in out] == [("店A", "2024/02/16 10:05", "小明", 5.0, "五星好評送小菜好吃", 1)]
     assert out[0].asDict().keys() == {"RestName", "ReviewActualDate", "Reviewer", "ReviewRating",
                                       "ProcessedReview", "IsInducing"}
@@ -193,14 +196,15 @@ def test_ppmi_neighbors_match_brute_force(spark):
     assert got == {("a", w): s for s, w in sims}
 
 
-def test_remove_stopwords_join_path_matches_inline(spark):
-    from reviewlens.config import LIMITS
-    big = [f"zz{i}" for i in range(LIMITS.inline_terms + 5)] + ["b", "d"]
+@pytest.mark.parametrize("more", [0, 3000])
+def test_remove_stopwords_is_one_path(spark, more):
+    big = [f"zz{i}" for i in range(more)] + ["b", "d", None]
     stop = spark.createDataFrame([(w,) for w in big], "word string")
-    rows = [(1, ["a", "b", "a", "c", "d", "b"]), (2, ["b", "d"]), (3, [])]
+    rows = [(1, ["a", "b", "a", "c", "d", "b"]), (2, ["b", "d"]), (3, []), (4, None), (5, ["a", None, "b"]),
+            (5, ["c"])]
     df = spark.createDataFrame(rows, "doc_id int, t array<string>")
-    got = {r.doc_id: r.t for r in X.remove_stopwords(df, "t", stop, "doc_id").collect()}
-    assert got == {1: ["a", "a", "c"], 2: [], 3: []}
+    got = sorted(((r.doc_id, r.t) for r in X.remove_stopwords(df, "t", stop).collect()), key=str)
+    assert got == sorted([(1, ["a", "a", "c"]), (2, []), (3, []), (4, None), (5, ["a"]), (5, ["c"])], key=str)
 
 
 def test_merge_flagged_pairs_matches_greedy(spark):

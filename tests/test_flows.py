@@ -4,7 +4,7 @@ import datetime
 import random
 
 from reviewlens import flows
-from reviewlens.functions.arrow import lexicon_segmenter
+from reviewlens.functions.text import lexicon_segmenter
 from reviewlens.schema import RAW_REVIEWS
 from reviewlens.session import scratch_path
 from reviewlens.sources import files as FS
@@ -36,6 +36,10 @@ def test_rule_flow_from_csv(spark):
     assert len(rows) == 120
     assert sum(r.IsInducing for r in rows) == 30
     assert rows[0].ReviewActualDate.startswith("2024/02/")
+    # the default segments: a review has several tokens, and stop words apply to them
+    assert all(len(r.ProcessedReview.split(" ")) > 2 for r in rows)
+    stopped = flows.rule_labelled_reviews(raw, stopwords=["好吃"]).collect()
+    assert not any("好吃" in r.ProcessedReview.split(" ") for r in stopped)
 
 
 def test_expansion_flow_ppmi_and_training(spark):
@@ -48,6 +52,8 @@ def test_expansion_flow_ppmi_and_training(spark):
     out = flows.expansion_labelled_reviews(raw, provider="ppmi", tokenizer=seg)
     labelled = {r.Reviewer: r.IsInducing for r in out.collect()}
     assert sum(labelled.values()) >= 30 and len(labelled) == 120
+    plain = flows.expansion_labelled_reviews(raw, provider="ppmi", tokenizer=seg, merge=False)
+    assert plain.count() == 120
     report, pred, top = flows.train_and_evaluate(cleaned, kind="tree", features="bow")
     m = report.first()
     assert m.tp + m.fp + m.fn + m.tn == 24 and 0.0 <= m.accuracy <= 1.0

@@ -1,5 +1,6 @@
 """Golden rows for the scalar text functions (see FIXTURES.md)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from reviewlens.config import PROMO_PATTERNS
@@ -98,4 +99,20 @@ def test_ascii_fold(spark):
 def test_contains_any_many_features_uses_same_semantics(spark):
     feats = [f"w{i} x" for i in range(400)] + ["打卡 送"]
     vals = ["今天 打卡 送 飲料", "w399 x", "w399x", None]
-    assert one_col(spark, vals, lambda c: T.contains_any(c, feats)) == [True, True, False, False]
+    for more in ([], [""]):   # an empty feature is no feature, however many there are
+        assert one_col(spark, vals, lambda c: T.contains_any(c, feats + more)) == [True, True, False, False]
+    assert one_col(spark, vals, lambda c: T.contains_any(c, [""])) == [False] * 4
+
+
+def test_tokenizer_modes(spark):
+    vals = ["打卡送飲料 ok 好", "", None]
+    assert one_col(spark, vals, lambda c: T.tokenize(c)) == [["打卡", "卡送", "送飲", "飲料", "ok", "好"], [], None]
+    assert one_col(spark, vals, lambda c: T.tokenize(c, T.lexicon_segmenter(["打卡", "打", "飲料"]))) == [
+        ["打卡", "送", "飲料", "o", "k", "好"], [], None]
+    with pytest.raises(ValueError, match="unknown tokenizer"):
+        T.tokenize("text", "ckj_ngram")
+
+
+def test_relative_time_survives_huge_numbers(spark):
+    vals = ["99999999 年前", "99999999999999999999 天前", "剛剛"]
+    assert one_col(spark, vals, lambda c: T.relative_time(c)) == [None, None, "剛剛"]
