@@ -76,7 +76,7 @@ def expansion_labelled_reviews(raw: DataFrame, stopwords: Iterable[str] = (),
                                    drop_token=MORE_TOKEN, with_restaurant=True).drop("IsInducing")
     # ids are written once with the rows: recomputed ids could move after a shuffle
     keyed = materialize(cleaned.withColumn("__id", F.monotonically_increasing_id()), "keyed_reviews")
-    toks = keyed.select("__id", T.tokenize_whitespace("ProcessedReview").alias("tokens"))
+    toks = materialize(keyed.select("__id", T.tokenize_whitespace("ProcessedReview").alias("tokens")), "tokens")
     if merge:
         merged = X.merge_phrases(toks, "tokens", FT.phrase_scores(toks, "tokens"), "__id", "merged")
     else:

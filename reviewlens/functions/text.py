@@ -223,21 +223,23 @@ def adjacent_pairs(tokens: ColumnOrName, sep: str = " ") -> Column:
     return F.zip_with(F.slice(t, 1, m), F.slice(t, 2, m), lambda a, b: F.concat_ws(sep, a, b))
 
 
-def merge_flagged_pairs(tokens: ColumnOrName, flags: ColumnOrName,
-                        delimiter: str = PHRASE_DELIMITER) -> Column:
-    """Greedy left-to-right merge of adjacent pairs marked in ``flags``.
-
-    ``flags[i]`` is true when (tokens[i], tokens[i+1]) is a phrase.  Within a
-    run of marked pairs the greedy scan merges the 1st, 3rd, 5th ... pair;
-    a left-to-right non-overlapping regex replace of "11" by "SX" over the
-    flag string marks exactly those starts, in linear time.
+def merge_at(tokens: ColumnOrName, positions: ColumnOrName, delimiter: str = PHRASE_DELIMITER) -> Column:
+    """Greedy left-to-right merge of the pairs that start at ``positions`` (0-based, ascending).
+
+    Within a run of neighbouring positions the greedy scan merges the 1st, 3rd,
+    5th ... pair; a left-to-right replace of "11" by "SX" over the flag string
+    marks exactly those starts, in linear time.
     """
-    def body(t, f):
-        bits = F.array_join(F.transform(f, lambda b: F.when(b, "1").otherwise("0")), "")
-        marks = F.split(F.regexp_replace(F.concat(bits, F.lit("0")), "11", "SX"), "")
+    def body(t, p):
+        def ones(x, j):
+            last = F.when(j > 0, F.get(p, j - 1)).otherwise(-1)
+            return F.concat(F.repeat(F.lit("0"), x - last - 1), F.lit("1"))
+        head = F.array_join(F.transform(p, ones), "")
+        bits = let(head, lambda h: F.concat(h, F.repeat(F.lit("0"), F.size(t) - F.length(h))))
+        marks = F.split(F.regexp_replace(bits, "11", "SX"), "")
         return let(marks, lambda m: _emit(t, m, F.size(t), delimiter))
 
-    return let(_col(tokens), lambda t: let(_col(flags), lambda f: body(t, f)))
+    return let(_col(tokens), lambda t: let(_col(positions), lambda p: body(t, p)))
 
 
 def merge_phrases(tokens: ColumnOrName, phrases: Iterable[str], sep: str = " ",
@@ -246,7 +248,7 @@ def merge_phrases(tokens: ColumnOrName, phrases: Iterable[str], sep: str = " ",
 
     Three passes over the tokens: flag each pair with a hashed set lookup,
     mark the greedy starts with one regex replace over the flag string (see
-    :func:`merge_flagged_pairs`), then keep and join.
+    :func:`merge_at`), then keep and join.
     """
     phrases = sorted(set(phrases))
     if not phrases:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MORE_TOKEN, PHRASE_DELIMITER, TRANSLATION_MARKER
@@ -108,28 +108,21 @@ def merge_phrases(df: DataFrame, tokens_col: str, phrases: DataFrame, id_col: st
                   out_col: str = "merged", delimiter: str = PHRASE_DELIMITER) -> DataFrame:
     """Greedy left-to-right bigram merge against a phrase table (columns a, b).
 
-    Long form, no per-element lambdas: tokens are exploded with positions,
-    each (token, next token) pair is left-joined with the phrases (broadcast
-    when small, a skew-split shuffle join otherwise), and the greedy choice
-    is a run-parity test: pair p starts a merge when it is a phrase and the
-    run of phrase pairs just before it has even length.  Windows are
-    partitioned by row, so one text is the largest unit of work.
+    Neighbouring pairs are joined with the phrases (broadcast when small, a
+    skew-split shuffle join otherwise); only the positions that hit travel back
+    to their row, where the greedy choice and the merge happen in place.  A
+    null or empty array gives an empty one.  ``id_col`` is unique; write the
+    tokens first if they are dear to compute (they are read twice).
     """
-    w = Window.partitionBy(id_col).orderBy("__pos")
-    toks = (df.select(id_col, F.posexplode(tokens_col).alias("__pos", "__tok"))
-            .withColumn("__nxt", F.lead("__tok").over(w)))
-    ph = (phrases.select(F.col("a").alias("__tok"), F.col("b").alias("__nxt")).distinct()
-          .withColumn("__hit", F.lit(True)))
-    flagged = toks.join(ph, ["__tok", "__nxt"], "left").withColumn("__f", F.coalesce("__hit", F.lit(False)))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    last_plain = F.last(F.when(~F.col("__f"), F.col("__pos")), ignorenulls=True).over(before)
-    run = F.col("__pos") - F.coalesce(last_plain, F.lit(-1)) - 1
-    marked = flagged.withColumn("__start", F.col("__f") & (run % 2 == 0))
-    marked = marked.withColumn("__used", F.coalesce(F.lag("__start").over(w), F.lit(False)))
-    value = F.when(F.col("__start"), F.concat("__tok", F.lit(delimiter), "__nxt")).otherwise(F.col("__tok"))
-    merged = (marked.filter(~F.col("__used"))
-              .groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("__pos", value.alias("v")))).alias("__s"))
-              .select(id_col, F.transform("__s", lambda x: x["v"]).alias(out_col)))
-    empty = df.filter(F.coalesce(F.size(tokens_col), F.lit(0)) <= 0).select(
-        id_col, F.array().cast("array<string>").alias(out_col))
-    return merged.unionByName(empty)
+    def pairs(t):
+        n = F.greatest(F.size(t) - 1, F.lit(0))
+        return F.arrays_zip(F.slice(t, 1, n).alias("a"), F.slice(t, 2, n).alias("b"))
+
+    held = df.select(id_col, F.coalesce(tokens_col, F.array().cast("array<string>")).alias("__t"))
+    found = (held.select(F.col(id_col).alias("__id"), F.posexplode(T.let(F.col("__t"), pairs)).alias("__pos", "__p"))
+             .select("__id", "__pos", F.col("__p.a").alias("a"), F.col("__p.b").alias("b"))
+             .join(phrases.select("a", "b").distinct(), ["a", "b"])
+             .groupBy("__id").agg(F.sort_array(F.collect_list("__pos")).alias("__hits")))
+    return held.join(found, F.col(id_col) == F.col("__id"), "left").select(id_col, F.when(
+        F.col("__hits").isNull(), F.col("__t")).otherwise(
+            T.merge_at("__t", "__hits", delimiter)).alias(out_col))

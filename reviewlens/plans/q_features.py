@@ -11,6 +11,7 @@ from ..operators import features as FT
 from ..operators import metrics as M
 from ..operators import similarity as S
 from ..operators import text_ops as X
+from ..session import materialize
 from .registry import r6, register, sq, sql_list
 from .tables import PIVOT_TERMS, TEST_SEEDS, rated_documents, table
 
@@ -142,7 +143,7 @@ SELECT d.doc_id, coalesce(string_agg(m.v, ' ' ORDER BY m.p), '') AS merged
 FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id AND NOT m.consumed
 GROUP BY d.doc_id""")
 def merge_phrases(spark, sf):
-    toks = _run_tokens(spark, sf)
+    toks = materialize(_run_tokens(spark, sf), "tokens")   # tokenised once, read by three steps
     phrases = FT.phrase_scores(toks, "tokens")
     out = X.merge_phrases(toks, "tokens", phrases, "doc_id", "merged_tokens")
     return out.select("doc_id", T.join_tokens("merged_tokens").alias("merged"))
@@ -273,7 +274,7 @@ def expansion_label(spark, sf):
     """Seeds widened by their PPMI neighbours, then the feature label
     (rating 5 and any feature in the processed text)."""
     from ..operators import label as L
-    feats = S.feature_list(S.expand_features(_ppmi_neighbours(spark, sf), TEST_SEEDS))
+    feats = S.expand_features(_ppmi_neighbours(spark, sf), TEST_SEEDS)
     d = rated_documents(spark, sf).withColumn("processed", T.join_tokens(T.tokenize_word("text")))
     return L.feature_label(d, text_col="processed", rating_col="rating", features=feats).select(
         "doc_id", "rating", "is_inducing")

@@ -207,17 +207,17 @@ def test_remove_stopwords_is_one_path(spark, more):
     assert got == sorted([(1, ["a", "a", "c"]), (2, []), (3, []), (4, None), (5, ["a"]), (5, ["c"])], key=str)
 
 
-def test_merge_flagged_pairs_matches_greedy(spark):
+def test_merge_at_matches_greedy(spark):
     from tests.test_text_functions import greedy
     rnd = random.Random(21)
     phrases = {"a b", "b b", "c a"}
     rows = [[rnd.choice("abc") for _ in range(rnd.randint(0, 10))] for _ in range(150)]
-    flags = [[f"{t[i]} {t[i + 1]}" in phrases for i in range(len(t) - 1)] for t in rows]
-    df = spark.createDataFrame([(i, t, f) for i, (t, f) in enumerate(zip(rows, flags))],
-                               "id int, t array<string>, f array<boolean>")
-    got = {r.id: r.m for r in df.select("id", T.merge_flagged_pairs("t", "f").alias("m")).collect()}
+    hits = [[i for i in range(len(t) - 1) if f"{t[i]} {t[i + 1]}" in phrases] for t in rows]
+    df = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(rows, hits))],
+                               "id int, t array<string>, h array<int>")
+    got = {r.id: r.m for r in df.select("id", T.merge_at("t", "h").alias("m")).collect()}
     for i, t in enumerate(rows):
-        assert got[i] == greedy(t, phrases), t
+        assert got[i] == greedy(t, phrases)
 
 
 def test_cooccurrence_min_count_drops_rare_words_first(spark):
