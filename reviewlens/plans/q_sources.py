@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import scratch_path
 from ..sources import files as FS
+from ..config import NEWEST_SUFFIX, RATING_PREFIX, RATING_SUFFIX, REVIEW_COUNT_SUFFIX
 from ..sources.html import html_records as extract_records
+from ..sources.html import review_records
 from ..streaming.ingest import ingest_available
 from .registry import register, sq
 from .tables import table
@@ -65,7 +67,8 @@ def aligned_append(spark, sf):
     return spark.read.parquet(path).select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
-ENT = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+ENT = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"),
+       ("&nbsp;", " "), ("&amp;", "&")]
 
 
 def _clean_sql(expr: str) -> str:
@@ -100,6 +103,26 @@ def html_records(spark, sf):
     return extract_records(table(spark, sf, "pages"))
 
 
+@register("review_records", f"""
+WITH h AS ({HTML_SQL})
+SELECT TIMESTAMP '2024-03-01 10:05:00' AS ScrapeTime, title AS RestName, flag AS PicAttached, heading AS ReviewerName,
+       CAST(para_pos * 1234 AS VARCHAR) AS TotalReviewsByUser, CAST(1 + para_pos % 5 AS DOUBLE) AS ReviewRating,
+       para_pos || ' 天前' AS ReviewDate,
+       CASE WHEN para_pos % 2 = 0 AND paragraph <> '' THEN paragraph ELSE source_text END AS ReviewDescription
+FROM (SELECT *, 'snippet: ' || paragraph AS source_text FROM h)""")
+def review_records_q(spark, sf):
+    """Review rows in the collector's schema from page blocks; labels as the site writes them."""
+    n = F.col("para_pos")
+    blocks = extract_records(table(spark, sf, "pages")).withColumns({
+        "count": F.concat(F.format_number(n * 1234, 0), F.lit(REVIEW_COUNT_SUFFIX)),
+        "rating": F.concat(F.lit(RATING_PREFIX), (1 + n % 5).cast("string"), F.lit(".0" + RATING_SUFFIX)),
+        "age": F.concat(n.cast("string"), F.lit(" 天前" + NEWEST_SUFFIX)),
+        "snippet": F.concat(F.lit("snippet: "), "paragraph"), "full": F.when(n % 2 == 0, F.col("paragraph"))})
+    return review_records(blocks, place="title", reviewer="heading", count="count", rating="rating", age="age",
+                          snippet="snippet", full="full", picture="flag",
+                          scrape_time=F.lit("2024-03-01 10:05:00").cast("timestamp"))
+
+
 @register("incremental_ingest", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def incremental_ingest(spark, sf):
     """documents arrive as two overlapping folders of files: the first is

@@ -10,15 +10,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SCRAPE_TIME_FORMAT
+from ..functions import text as T
+from ..operators.listings import prefer_full_text
 
 # Character references decoded in paragraph text; "&amp;" goes last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&nbsp;", " "), ("&amp;", "&"))
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
+            ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&nbsp;", " "), ("&amp;", "&"))
 
 EDGE_SPACE = r"^[ \t\n\r]+|[ \t\n\r]+$"
 
 
+def decode_numeric(c: Column) -> Column:
+    """Decimal and hexadecimal character references (``&#39;``, ``&#x27;``); others stay as they are."""
+    def piece(x, i):
+        hexed, digits = F.regexp_extract(x, r"^[xX]([0-9a-fA-F]{1,6});", 1), F.regexp_extract(x, r"^([0-9]{1,7});", 1)
+        code = F.when(hexed != "", F.conv(hexed, 16, 10)).when(digits != "", digits).try_cast("int")
+        held = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(held, code)), 8, "0")), "UTF-32")
+        return F.when(i == 0, x).when(held, F.concat(char, F.regexp_replace(x, r"^[0-9a-fA-FxX]+;", ""))) \
+            .otherwise(F.concat(F.lit("&#"), x))
+    return F.when(F.contains(c, F.lit("&#")), F.array_join(F.transform(F.split(c, "&#"), piece), "")).otherwise(c)
+
+
 def decode_entities(c: Column) -> Column:
+    c = decode_numeric(c)
     for ent, ch in ENTITIES:
         c = F.replace(c, F.lit(ent), F.lit(ch))
     return c
@@ -57,7 +72,7 @@ def html_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
                         flag.alias("flag"), paras.alias("__p"))
     out = base.select(id_col, "title", "heading", "flag",
                       F.posexplode("__p").alias("__pos", "__raw"))
-    body = F.split_part(F.col("__raw"), F.lit("</p>"), F.lit(1))
+    body = F.element_at(F.split("__raw", "</[pP]\\s*>", 2), 1)
     body = F.split_part(body, F.lit("</article>"), F.lit(1))
     out = out.select(id_col, "title", "heading", "flag",
                      (F.col("__pos") + 1).cast("bigint").alias("para_pos"),
@@ -65,3 +80,19 @@ def html_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     if with_scrape_time:
         out = out.withColumn("scrape_time", F.date_format(F.current_timestamp(), SCRAPE_TIME_FORMAT))
     return out
+
+
+def review_records(blocks: DataFrame, *, place: str, reviewer: str, count: str, rating: str, age: str,
+                   snippet: str, full: str, picture: str, scrape_time: Column | None = None) -> DataFrame:
+    """Text blocks of a review page -> rows of ``schema.RAW_REVIEWS``.
+
+    The named columns hold the page's raw strings: the review count and rating
+    labels are parsed, the "newest" marker is cut from the age, the full text
+    is preferred to the snippet.  ``scrape_time`` defaults to now.
+    """
+    at = F.current_timestamp() if scrape_time is None else scrape_time
+    return blocks.select(at.alias("ScrapeTime"), F.col(place).alias("RestName"), F.col(picture).alias("PicAttached"),
+                      F.col(reviewer).alias("ReviewerName"),
+                      F.coalesce(T.parse_count(count).cast("string"), F.lit("")).alias("TotalReviewsByUser"),
+                      T.parse_rating(rating).alias("ReviewRating"), T.strip_suffix(age).alias("ReviewDate"),
+                      prefer_full_text(F.col(full), F.col(snippet)).alias("ReviewDescription"))

@@ -99,3 +99,11 @@ def test_incremental_ingest_twice_adds_nothing(spark):
     ingest_available(spark, f"{base}/in/*", DOCS, f"{base}/store", f"{base}/ck", "doc_id")
     ids = sorted(r[0] for r in spark.read.parquet(f"{base}/store").collect())
     assert ids == list(range(15))
+
+
+def test_character_references(spark):
+    from reviewlens.sources.html import clean_text
+    vals = ["&#39;a&#x27; &#128512; &copy;&middot; &amp;#39; &#xZZ; &#0; &#55296; &", "", None, "plain"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
+    got = {r.i: r.o for r in df.select("i", clean_text(F.col("v")).alias("o")).collect()}
+    assert got == {0: "'a' \U0001F600 ©· &#39; &#xZZ; &#0; &#55296; &", 1: "", 2: None, 3: "plain"}
