@@ -12,8 +12,9 @@ Two documents link when the Jaccard similarity of their shingle sets reaches
    token of their prefixes under every order.  Posting lists of the first
    order propose pairs (lists with the same members once): each list compares
    its members with its leaders, one in the first round and more in the next,
-   skips pairs that are already in one component, drops the leaders, and goes
-   on until the members left are all connected.  Lists that stay long are
+   skips pairs that are already in one component or whose shared tokens are
+   too few for their sizes, drops the leaders, and goes on until the members
+   left are all connected.  Lists that stay long are
    split by the prefix tokens of the next order.  A pair is verified on the
    whole sets only if the prefixes meet under every order.
 4. Components come from smallest-neighbour steps over the verified links.
@@ -38,9 +39,9 @@ from .components import components
 
 ORDERS = 3
 #: rounds before a list that is still long is split by the next token order
-SPLIT_ROUNDS, LONG_LIST = 4, 256
+SPLIT_ROUNDS, LONG_LIST = 4, 8192
 #: members that a list compares with all others in one round, at most
-MOST_LEADERS = 64
+MOST_LEADERS = 256
 
 
 def shingle_sets(part, k: int = SHINGLE) -> list[np.ndarray]:
@@ -203,7 +204,8 @@ def _profiles(percent):
         tokens, freqs, first = tokens[at], freqs[at], np.cumsum(counts[order]) - counts[order]
         new = np.flatnonzero(np.append(True, cls[order][1:] != cls[order][:-1]))
         edge = np.append(first[new], len(tokens))
-        out = {n: [] for n in ("cls", "size", "tokens", *(f"head{o}" for o in range(ORDERS)))}
+        out = {n: [] for n in ("cls", "size", "shared", "tokens",
+                               *(f"head{o}" for o in range(ORDERS)))}
         for i, a, z in zip(order[new], edge[:-1], edge[1:]):
             size, mine, df = int(sizes[i]), tokens[a:z], freqs[a:z]
             need = (percent * size + 99) // 100
@@ -212,23 +214,25 @@ def _profiles(percent):
                 continue
             out["cls"].append(int(cls[i]))
             out["size"].append(size)
+            out["shared"].append(len(mine))
             out["tokens"].append(np.sort(mine).tobytes())
             for o in range(ORDERS):
                 head = np.lexsort((mix(mine ^ np.uint64(0x9E37 + 0x51ED27 * o)), df))[:take]
                 out[f"head{o}"].append(np.sort(mine[head]).tobytes())
-        return pa.table({n: pa.array(v, pa.int64()) if n in ("cls", "size") else binary(v)
+        return pa.table({n: pa.array(v, pa.int64()) if n in ("cls", "size", "shared") else binary(v)
                          for n, v in out.items()})
     return run
 
 
-PROFILE = "cls long, size long, tokens binary, head0 binary, head1 binary, head2 binary"
+PROFILE = "cls long, size long, shared long, tokens binary, head0 binary, head1 binary, head2 binary"
 
 
 def _postings(order):
-    """(cls, size, token) rows of the prefixes; from the second order on, keys combine."""
+    """(cls, size, shared, token) rows of the prefixes; from the second order on, keys combine."""
     def run(batches):
         for batch in batches:
             cls, size = batch.column("cls").to_numpy(), batch.column("size").to_numpy()
+            shared = batch.column("shared").to_numpy()
             heads = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(f"head{order}")]
             n = [len(h) for h in heads]
             if not sum(n):
@@ -236,7 +240,8 @@ def _postings(order):
             token = np.concatenate(heads)
             if order:
                 token = mix(np.repeat(batch.column("token").to_numpy().view(np.uint64), n) ^ token)
-            yield ship(token=token.view(np.int64), cls=np.repeat(cls, n), size=np.repeat(size, n))
+            yield ship(token=token.view(np.int64), cls=np.repeat(cls, n), size=np.repeat(size, n),
+                       shared=np.repeat(shared, n))
     return run
 
 
@@ -300,6 +305,9 @@ def _sides(profiles, side):
     return profiles.select(*(F.col(n).alias(f"{side}_{n}") for n in names))
 
 
+POST = "token long, cls long, size long, shared long"
+
+
 def _lists(posts: DataFrame) -> DataFrame:
     """Posting lists with members of more than one component.
 
@@ -307,53 +315,58 @@ def _lists(posts: DataFrame) -> DataFrame:
     """
     return posts.groupBy("token").agg(
         F.bit_xor(F.xxhash64("cls")).alias("s1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("s2"),
-        F.min(F.xxhash64("cls")).alias("low_key"), F.min("comp").alias("low"),
-        F.max("comp").alias("high"), F.count("*").alias("members")).filter("low < high") \
-        .groupBy("s1", "s2", "members").agg(F.min_by(F.struct("token", "low_key"), "token").alias("t")) \
-        .select("t.token", "t.low_key", "members")
+        F.min(F.xxhash64("cls")).alias("low_key"), F.min("size").alias("least"),
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")) \
+        .filter("low < high").groupBy("s1", "s2", "members").agg(
+            F.min_by(F.struct("token", "low_key", "least"), "token").alias("t")) \
+        .select("t.*", "members")
 
 
 def _compare(profiles: DataFrame, percent: int):
-    posts = profiles.select("cls", "size", "head0").mapInArrow(
-        _postings(0), "token long, cls long, size long").withColumn("comp", F.col("cls"))
+    # |a & b| <= shared(a) and 100 |a & b| >= percent (|a| + |b| - |a & b|) bound a partner's size
+    reach = f"(100 + {percent}) * shared - {percent} * size >= {percent} * least"
+    fits = (f"100 * least(size, l_size) >= {percent} * greatest(size, l_size) and "
+            f"(100 + {percent}) * least(shared, l_shared) >= {percent} * (size + l_size)")
+    posts = profiles.select("cls", "size", "shared", "head0").mapInArrow(
+        _postings(0), POST).withColumn("comp", F.col("cls"))
     links = tested = comp = None
     order, turn, leaders = 0, 0, 1
     while True:
         posts = written(posts, "jaccard-posts")
-        live = written(posts.join(_lists(posts), "token").withColumn("lead", F.expr(
+        live = written(posts.join(_lists(posts), "token").filter(reach).withColumn("lead", F.expr(
             f"xxhash64(cls) = low_key or pmod(xxhash64(cls, {turn + 2}), members) < {leaders - 1}")),
             "jaccard-live")
         if live.isEmpty():
             return links, comp
-        lead = live.filter("lead").select("token", F.col("cls").alias("l_cls"), F.col("size").alias(
-            "l_size"), F.col("comp").alias("l_comp"))
-        pairs = live.join(lead, "token").filter(
-            f"comp != l_comp and 100 * least(size, l_size) >= {percent} * greatest(size, l_size)") \
+        lead = live.filter("lead").select("token", *(F.col(c).alias(f"l_{c}") for c in (
+            "cls", "size", "shared", "comp")))
+        pairs = live.join(lead, "token").filter(f"comp != l_comp and {fits}") \
             .select(F.least("cls", "l_cls").alias("a"), F.greatest("cls", "l_cls").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        found = None if pairs.isEmpty() else written(pairs.join(_sides(profiles, "a"), F.col("a") == F.col("a_cls"))
-                        .join(_sides(profiles, "b"), F.col("b") == F.col("b_cls")).drop("a", "b")
-                        .mapInArrow(_verify(percent), "a long, b long, similarity double"),
-                        "jaccard-found")
+        found = None if pairs.isEmpty() else written(
+            pairs.join(_sides(profiles, "a"), F.col("a") == F.col("a_cls"))
+            .join(_sides(profiles, "b"), F.col("b") == F.col("b_cls")).drop("a", "b")
+            .mapInArrow(_verify(percent), "a long, b long, similarity double"), "jaccard-found")
         if found is not None and not found.isEmpty():
             links = found if links is None else links.union(found)
             comp = components(links)
         turn += 1
-        rest = live.filter("not lead").select("token", "cls", "size", "members")
+        rest = live.filter("not lead").select("token", "cls", "size", "shared", "members")
         if turn >= SPLIT_ROUNDS and order + 1 < ORDERS:
             order, turn = order + 1, 0
             long = (rest.filter(F.col("members") > LONG_LIST)
                     .join(profiles.select("cls", f"head{order}"), "cls")
-                    .mapInArrow(_postings(order), "token long, cls long, size long"))
-            rest = rest.filter(F.col("members") <= LONG_LIST).drop("members").union(long)
+                    .mapInArrow(_postings(order), POST))
+            rest = rest.filter(F.col("members") <= LONG_LIST).drop("members").union(
+                long.select("token", "cls", "size", "shared"))
         leaders = min(16 * leaders, MOST_LEADERS)
-        posts = rest.select("token", "cls", "size")
-        posts = posts.withColumn("comp", F.col("cls")) if comp is None else posts.join(
+        rest = rest.select("token", "cls", "size", "shared")
+        posts = rest.withColumn("comp", F.col("cls")) if comp is None else rest.join(
             comp, F.col("cls") == F.col("node"), "left").select(
-                "token", "cls", "size", F.coalesce("comp", "cls").alias("comp"))
+                *rest.columns, F.coalesce("comp", "cls").alias("comp"))
 
 
 def similarity_groups(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
