@@ -91,3 +91,70 @@ def op3_site_quality(spark, sf_dir):
 def op6_line_dedup(spark, sf_dir):
     """Lines that stand on many sources removed from every document."""
     return remove_common_lines(load(spark, sf_dir, "documents")).drop("kept_text")
+
+
+# --- oracles: DuckDB SQL for the results that SQL can state ----------------------
+
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op10_substring_dedup"] = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS t FROM documents),
+  g AS (SELECT doc_id, i, t[i:i + 12] AS g FROM w, unnest(range(1, len(t) - 11)) AS u(i)),
+  f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+  c AS (SELECT DISTINCT g.doc_id, g.i + k AS p FROM g JOIN f USING (g), range(13) AS r(k)
+        WHERE f.first < g.doc_id),
+  m AS (SELECT x.doc_id, x.p, x.word, c.p IS NOT NULL AS gone
+        FROM (SELECT doc_id, p, t[p] AS word FROM w, unnest(range(1, len(t) + 1)) AS u(p)) x
+        LEFT JOIN c USING (doc_id, p)),
+  o AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM m),
+  a AS (SELECT doc_id, count_if(gone) AS n_removed, count_if(opens) AS n_spans,
+               string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM o GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN a USING (doc_id)"""
+
+ORACLES["op5_ngram_jaccard_join"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLDED}, {_WORD}) AS t FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(t) >= 5 THEN list_distinct(list_transform(range(1, len(t) - 3),
+               lambda i: array_to_string(t[i:i + 4], ' ')))
+               WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END AS g FROM w),
+  e AS (SELECT doc_id, unnest(g) AS g FROM s),
+  n AS (SELECT doc_id, len(g) AS n FROM s),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+        GROUP BY 1, 2),
+  l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+        WHERE 100 * c >= 80 * (x.n + y.n - c)),
+  reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, l.b FROM reach JOIN l ON l.a = reach.r)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, component_id,
+       least(n.doc_id, coalesce(twin, n.doc_id)) AS class_id
+FROM n JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS twin FROM l WHERE same GROUP BY a) USING (doc_id)"""
+
+ORACLES["op6_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS t FROM documents),
+  x AS (SELECT doc_id, source, p, t[p] AS line FROM l, unnest(range(1, len(t) + 1)) AS u(p)),
+  c AS (SELECT line FROM x WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line
+        HAVING count(DISTINCT coalesce(source, 'no source')) >= 8)
+SELECT doc_id, count(*) AS n_lines, count(c.line) AS n_removed,
+       sha256(coalesce(string_agg(x.line, chr(10) ORDER BY p) FILTER (c.line IS NULL), '')) AS kept_sha256
+FROM x LEFT JOIN c USING (line) GROUP BY doc_id"""
+
+ORACLES["op2_benchmark_decontamination"] = f"""
+WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), {_WORD}) AS t FROM benchmark),
+  ig AS (SELECT item_id, len(t) - 4 AS n, q - 1 AS q, t[q:q + 4] AS g FROM iw, unnest(range(1, len(t) - 3)) AS u(q)),
+  dw AS (SELECT doc_id, regexp_extract_all(lower(text), {_WORD}) AS t FROM documents),
+  dg AS (SELECT doc_id, len(t) - 4 AS m, p - 1 AS p, t[p:p + 4] AS g FROM dw, unnest(range(1, len(t) - 3)) AS u(p)),
+  a AS (SELECT DISTINCT doc_id, item_id, n, m, p - q AS s FROM dg JOIN ig USING (g)),
+  c AS (SELECT DISTINCT doc_id, item_id, n, m, greatest(0, least(s + d, m - n)) AS s FROM a, (VALUES (-1), (0), (1)) v(d)),
+  h AS (SELECT c.doc_id, c.item_id, c.n, c.m, c.s, dg.g, count(*) AS there FROM c JOIN dg
+          ON dg.doc_id = c.doc_id AND dg.p >= c.s AND dg.p < c.s + c.n GROUP BY ALL),
+  k AS (SELECT item_id, g, count(*) AS here FROM ig GROUP BY ALL),
+  z AS (SELECT doc_id, item_id, s, n, least(n, m) AS size, sum(least(here, there)) AS shared
+        FROM h JOIN k USING (item_id, g) GROUP BY ALL),
+  r AS (SELECT doc_id, item_id, s, shared / (size + n - shared) AS similarity,
+               max(shared / (size + n - shared)) OVER (PARTITION BY doc_id, item_id) AS best
+        FROM z WHERE 100 * shared >= 80 * (size + n - shared))
+SELECT doc_id, item_id, CAST(max(best) AS DOUBLE) AS similarity,
+       CAST(min(s) FILTER (similarity = best) AS INTEGER) AS start, count(*) AS windows
+FROM r GROUP BY doc_id, item_id"""
