@@ -262,6 +262,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: a table of keys is broadcast up to this many rows (counted first), and shuffled beyond
+BROADCAST_ROWS = 1 << 19
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """A written table of keys, broadcast if its counted rows are within the bound."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .common import SHINGLE, WORD, texts, written
+from .common import SHINGLE, WORD, small, texts, written
 
 BLOCKS, BLOCK_BITS = 8, 8
 RADIUS = 23
@@ -146,5 +146,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFra
     """``docs`` without the rows into which any item leaks."""
     found = leaks(docs, benchmark, **options).select(
         F.col("doc_id").alias("_leak_doc_id"), F.col("row_key").alias("_leak_row_key")).distinct()
-    return docs.join(written(found, "bench-leaks"), F.col("doc_id").cast("long").eqNullSafe(
+    return docs.join(small(written(found, "bench-leaks")), F.col("doc_id").cast("long").eqNullSafe(
         F.col("_leak_doc_id")) & (F.xxhash64("doc_id", "text") == F.col("_leak_row_key")), "left_anti")

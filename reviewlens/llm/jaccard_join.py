@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import (SHINGLE, binary, blob_column, deal, deal_entries, mix, ranges, runs, ship,
-                     shuffle_width, text_buffer, text_slices, texts, window_hashes, window_starts,
+                     shuffle_width, small, text_buffer, text_slices, texts, window_hashes, window_starts,
                      word_hashes, word_spans, written)
 from .components import components
 
@@ -293,16 +293,18 @@ def class_links(docs: DataFrame, rows: DataFrame, percent: int = 80, k: int = SH
                    .select("cls", "rep.doc_id", "rep.row_key"), "jaccard-gate")
     if kept.isEmpty():
         return None, None
-    profiles = (texts(docs).join(kept, ["doc_id", "row_key"])
+    profiles = (texts(docs).join(small(kept), ["doc_id", "row_key"])
                 .mapInArrow(_partner_rows(k, buckets), DEALT)
                 .groupBy("bucket").applyInArrow(_frequencies(width), FREQUENT)
                 .groupBy("bucket").applyInArrow(_profiles(percent), PROFILE))
     return _compare(written(profiles, "jaccard-profiles"), percent)
 
 
-def _sides(profiles, side):
+def _side(profiles, pairs, side):
+    """The profile of one end of every pair."""
     names = ["cls", "size", "tokens", *(f"head{o}" for o in range(1, ORDERS))]
-    return profiles.select(*(F.col(n).alias(f"{side}_{n}") for n in names))
+    held = profiles.select(*(F.col(n).alias(f"{side}_{n}") for n in names))
+    return held.join(pairs, F.col(f"{side}_cls") == F.col(side))
 
 
 POST = "token long, cls long, size long, shared long"
@@ -334,7 +336,9 @@ def _compare(profiles: DataFrame, percent: int):
     while True:
         posts = written(posts, "jaccard-posts")
         live = written(posts.join(_lists(posts), "token").filter(reach).withColumn("lead", F.expr(
-            f"xxhash64(cls) = low_key or pmod(xxhash64(cls, {turn + 2}), members) < {leaders - 1}")),
+            # one hash for all lists: overlapping lists take the same leaders
+            f"xxhash64(cls) = low_key or pmod(xxhash64(cls, {turn + 2}), 1048576) * members < "
+            f"{leaders - 1} * 1048576L")),
             "jaccard-live")
         if live.isEmpty():
             return links, comp
@@ -346,13 +350,16 @@ def _compare(profiles: DataFrame, percent: int):
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs")
         tested = pairs if tested is None else tested.union(pairs)
+        ends = small(pairs)
         found = None if pairs.isEmpty() else written(
-            pairs.join(_sides(profiles, "a"), F.col("a") == F.col("a_cls"))
-            .join(_sides(profiles, "b"), F.col("b") == F.col("b_cls")).drop("a", "b")
+            _side(profiles, ends, "a").join(_side(profiles, ends, "b"), ["a", "b"]).drop("a", "b")
             .mapInArrow(_verify(percent), "a long, b long, similarity double"), "jaccard-found")
         if found is not None and not found.isEmpty():
             links = found if links is None else links.union(found)
-            comp = components(links)
+            # what is connected already stands for its links: one edge a node
+            edges = found.select("a", "b") if comp is None else found.select("a", "b").union(
+                comp.filter("node != comp").select("node", "comp"))
+            comp = components(edges)
         turn += 1
         rest = live.filter("not lead").select("token", "cls", "size", "shared", "members")
         if turn >= SPLIT_ROUNDS and order + 1 < ORDERS:
@@ -362,7 +369,7 @@ def _compare(profiles: DataFrame, percent: int):
                     .mapInArrow(_postings(order), POST))
             rest = rest.filter(F.col("members") <= LONG_LIST).drop("members").union(
                 long.select("token", "cls", "size", "shared"))
-        leaders = min(16 * leaders, MOST_LEADERS)
+        leaders = min(max(16, 2 * leaders), MOST_LEADERS)
         rest = rest.select("token", "cls", "size", "shared")
         posts = rest.withColumn("comp", F.col("cls")) if comp is None else rest.join(
             comp, F.col("cls") == F.col("node"), "left").select(
