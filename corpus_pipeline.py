@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.llm.common import load, written
+from reviewlens.llm.common import load, small, written
 from reviewlens.llm.decontaminate import clean_documents
 from reviewlens.llm.jaccard_join import similarity_groups
 from reviewlens.llm.mixing import Mix
@@ -30,7 +30,7 @@ def _row_key() -> Column:
 def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, row_key) stands in ``keys``."""
     keys = keys.select(F.col("doc_id").alias("k_id"), F.col("row_key").alias("k_key")).distinct()
-    return docs.select(*COLUMNS).join(written(keys, "stage-keys"), F.col("doc_id").cast(
+    return docs.select(*COLUMNS).join(small(written(keys, "stage-keys")), F.col("doc_id").cast(
         "long").eqNullSafe(F.col("k_id")) & (_row_key() == F.col("k_key")), "left_semi")
 
 
