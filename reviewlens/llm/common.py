@@ -11,6 +11,7 @@ need numpy and pyarrow but not this package.
 
 from __future__ import annotations
 
+import contextlib
 import sys
 
 import numpy as np
@@ -240,6 +241,22 @@ def binary(values) -> pa.Array:
 # --- Spark side -------------------------------------------------------------
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: rows that reach a Python worker at a time
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the actions inside the block."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, old)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -250,15 +267,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    old = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with setting(spark, _CLEAN, "true"):
         df.write.mode("overwrite").parquet(path)
-    finally:
-        if old is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, old)
     return spark.read.schema(df.schema).parquet(path)
 
 
