@@ -7,7 +7,7 @@ import functools
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..config import RF_FOLDS, SEED_PHRASES
+from ..config import NEIGHBOURS_PER_SEED, RF_FOLDS, SEED_PHRASES
 from ..functions import text as T
 from ..operators import embed as E
 from ..operators import features as FT
@@ -167,7 +167,7 @@ SEEDS = sorted(set(seed_words(SEED_PHRASES)) | set(TEST_SEEDS))
 
 
 @register("expand_word2vec", f"""
-WITH {VOCABULARY_SQL}, n AS (SELECT least(10, count(*) - 1) AS k FROM v)
+WITH {VOCABULARY_SQL}, n AS (SELECT least({NEIGHBOURS_PER_SEED}, count(*) - 1) AS k FROM v)
 SELECT word AS seed, CAST(n.k AS BIGINT) AS neighbours, true AS ordered FROM v, n
 WHERE n.k > 0 AND list_contains({sql_list(SEEDS)}, word)""")
 def expand_word2vec(spark, sf):
