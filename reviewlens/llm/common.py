@@ -259,6 +259,11 @@ def setting(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, old)
 
 
+def short_batches(spark: SparkSession):
+    """At most 1,000 rows a Python batch: texts are long, and workers share the executor's memory."""
+    return setting(spark, BATCH_ROWS, str(min(1000, int(spark.conf.get(BATCH_ROWS)))))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
@@ -267,7 +272,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with setting(spark, _CLEAN, "true"):
+    with setting(spark, _CLEAN, "true"), short_batches(spark):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

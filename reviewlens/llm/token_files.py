@@ -34,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binary, ship, shuffle_width, text_buffer, texts, written
+from .common import binary, ship, short_batches, shuffle_width, text_buffer, texts, written
 
 MAGIC, HEAD = b"FIXBITS1", "<8sIIQQQ"
 BLOCK_IDS = 4096
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 19
 #: words remembered by a Python worker; later words are encoded each time
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -210,11 +210,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
     from tokenizers import Tokenizer
     size = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
     bits = max(1, (size - 1).bit_length())
-    (texts(docs).repartitionByRange(shuffle_width(docs.sparkSession), "doc_id")
-     .sortWithinPartitions("doc_id", "row_key").select("doc_id", "text")
-     .mapInArrow(_segments(tokenizer, end_id, bits), "segment binary")
-     .select(F.col("segment").cast("string").alias("value"))   # bytes as they are
-     .write.mode("overwrite").option("lineSep", "\n").text(path))
+    spark = docs.sparkSession
+    rows = (texts(docs).repartitionByRange(shuffle_width(spark), "doc_id")
+            .sortWithinPartitions("doc_id", "row_key").select("doc_id", "text")
+            .mapInArrow(_segments(tokenizer, end_id, bits), "segment binary")
+            .select(F.col("segment").cast("string").alias("value")))   # bytes as they are
+    with short_batches(spark):
+        rows.write.mode("overwrite").option("lineSep", "\n").text(path)
     return path
 
 
