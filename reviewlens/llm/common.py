@@ -162,6 +162,15 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 22
     cuts = np.flatnonzero(np.diff(group)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
         yield batch.slice(int(a), int(b - a))
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers that wait for a task share the executor's."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def by_bucket(bucket: np.ndarray):
@@ -188,6 +197,7 @@ def deal(bucket: np.ndarray, counts=None, lists=None, **columns) -> pa.RecordBat
     ``lists`` holds arrays in which segment ``i`` owns the next ``counts[i]``
     entries; both stay in segment order inside a bucket.
     """
+    release()
     order, cuts = by_bucket(bucket)
     if not cuts:
         return None
