@@ -56,6 +56,29 @@ def test_junk_goes_and_prose_stays(verdicts):
     assert not any(r.kept for r in verdicts if r.base_failed)
 
 
+def test_each_statistic_rejects_alone(spark):
+    """Symbols, repeated lines or repeated runs suffice, in a small and in a larger group."""
+    rows = []
+    for source, n in (("small", 80), ("large", 400)):
+        first = len(rows)
+        rows += [(first + i, prose(RNG.randint(60, 300)), "en", source, 0) for i in range(n)]
+        for i in range(4):
+            # as many short lines of one kind as prose lines: words stand in no repeated run
+            lines = "\n".join(line + "\nread more" for line in prose(240).split("\n"))
+            run = " ".join(prose(22).split()[:22])
+            runs = prose(60) + " " + run + " " + prose(12) + " " + run
+            symbols = " ".join(w + "#" * (k % 5 == 0) for k, w in enumerate(prose(100).split()))
+            rows += [(10000 + first + 3 * i + k, t, "en", source, 0)
+                     for k, t in enumerate((lines, runs, symbols))]
+    got = quality_verdicts(frame(spark, rows)).collect()
+    assert not any(r.base_failed for r in got)
+    assert [r.doc_id for r in got if r.doc_id >= 10000 and r.kept] == []
+    assert np.mean([r.kept for r in got if r.doc_id < 10000]) > 0.99
+    for r in got:
+        if r.doc_id >= 10000:
+            assert [r.n_dup_lines > 0, r.n_repeat_words > 20, r.n_symbols > 0].count(True) == 1
+
+
 def test_estimate_resists_outliers(spark):
     """A quarter of far rows must not move the fitted centre or widen the ellipse."""
     rng = np.random.default_rng(3)
