@@ -78,6 +78,29 @@ def test_matches_brute_force(tables):
     assert len(got) >= 8
 
 
+def inserted(n, added):
+    """An item, and a text that holds it with edited ends and words added in its middle."""
+    item = text(n)
+    w = item.split()
+    w[1] = w[-2] = "zzz"
+    w[n // 2:n // 2] = text(added).split()
+    return item, text(40) + " " + " ".join(w) + " " + text(40)
+
+
+def test_best_window_between_anchors(spark):
+    """Words added inside or halves swapped: the best window starts at no shared shingle's start."""
+    pairs = [inserted(n, k) for n, k in ((76, 4), (80, 4), (94, 6), (120, 8), (200, 12))]
+    w = text(90).split()
+    pairs.append((" ".join(w), text(30) + " " + " ".join(w[45:] + w[:45]) + " " + text(30)))
+    items = [(i, item) for i, (item, _) in enumerate(pairs)]
+    texts = [(i, t) for i, (_, t) in enumerate(pairs)]
+    want = expected(texts, items)
+    assert {(0, 0), (2, 2), (5, 5)} <= {(i, k) for i, k, _ in want}
+    got = leaks(frame(spark, [(i, t, "en", "s", 0) for i, t in texts]),
+                spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter((r.doc_id, r.item_id, round(r.similarity, 9)) for r in got) == want
+
+
 def test_plan_has_no_python(tables, capsys):
     leaks(*tables).explain()
     assert "Python" not in capsys.readouterr().out
