@@ -6,12 +6,15 @@ from ..session import scratch_path
 from .anchor_dedup import remove_repeats
 from .common import load
 from .decontaminate import leaks
+from .hard_negatives import hard_negatives
 from .hpylm import score_documents
 from .jaccard_join import similarity_groups
 from .line_spread import remove_common_lines
 from .mixing import Mix
 from .outlier_rules import quality_verdicts
+from .page_text import main_texts
 from .site_quality import site_posteriors
+from .spelling_variants import spelling_variants
 from .token_files import read_token_files, write_token_files
 from .toxicity import toxicity_scores
 
@@ -93,6 +96,24 @@ def op6_line_dedup(spark, sf_dir):
     return remove_common_lines(load(spark, sf_dir, "documents")).drop("kept_text")
 
 
+@query
+def op11_html_extraction(spark, sf_dir):
+    """Main text of every page by the wrapper of its host."""
+    return main_texts(load(spark, sf_dir, "pages"))
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    """Frequent words with their more frequent near word, root and number of near words."""
+    return spelling_variants(load(spark, sf_dir, "documents"))
+
+
+@query
+def op13_hard_negatives(spark, sf_dir):
+    """Hard negatives of every anchor and positive."""
+    return hard_negatives(load(spark, sf_dir, "embeddings"))
+
+
 # --- oracles: DuckDB SQL for the results that SQL can state ----------------------
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -158,3 +179,44 @@ WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), {_WORD}) AS t FROM b
 SELECT doc_id, item_id, CAST(max(best) AS DOUBLE) AS similarity,
        CAST(min(s) FILTER (similarity = best) AS INTEGER) AS start, count(*) AS windows
 FROM r GROUP BY doc_id, item_id"""
+
+_CRC_TABLE = """SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+      lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i))"""
+_BYTES = """list_transform(range(1, 1 + octet_length(encode(k))),
+      lambda i: CAST(('0x' || hex(encode(k))[2 * i - 1:2 * i]) AS BIGINT))"""
+
+ORACLES["op12_spelling_variants"] = rf"""
+WITH RECURSIVE tab AS ({_CRC_TABLE}),
+  x AS (SELECT doc_id, unnest(regexp_extract_all({_FOLDED}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS r FROM documents),
+  d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r AS k, r, count(*) AS n
+        FROM x WHERE length(r) >= 6 GROUP BY ALL),
+  h AS (SELECT r, n, xor(list_reduce(list_prepend(4294967295, {_BYTES}),
+        lambda c, b: xor(c >> 8, t[1 + xor(c, b) % 256])), 4294967295) AS h FROM d, tab),
+  m AS (SELECT CASE WHEN h % 199 = 0 THEN r[:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, n FROM h),
+  w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+  v AS (SELECT word, n, p, word[:p - 1] || word[p + 1:] AS rest FROM w, unnest(range(1, length(word) + 1)) AS u(p)),
+  o AS (SELECT a.word, b.word AS near, b.n FROM v a JOIN v b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+        UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.rest = w.word
+        UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.rest = w.word),
+  c AS (SELECT word, count(*) AS n_near, min({{'n': -n, 'near': near}}) AS top FROM o GROUP BY word),
+  f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.n >= 5 * w.n THEN top.near END AS form,
+               CASE WHEN -top.n >= 5 * w.n THEN -top.n END AS form_n FROM w LEFT JOIN c USING (word)),
+  g AS (SELECT word, word AS root FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.root
+        WHERE f.form IS NOT NULL)
+SELECT f.word, form, g.root, n, n_near, form_n FROM f JOIN g USING (word) JOIN f e ON e.word = g.root
+WHERE e.form IS NULL"""
+
+ORACLES["op13_hard_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id
+    WHERE a.vec_id % 100 = 0),
+  p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.*, other AS negative_id, score AS negative_score, CAST(row_number() OVER (
+    PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5"""
