@@ -96,7 +96,7 @@ def expansion_labelled_reviews(raw: DataFrame, stopwords: Iterable[str] = (),
         neighbours = S.similar_topk(vecs, seeds)
     features = S.expand_features(neighbours, seed_phrases).select("feature")
     labelled = L.feature_label(keyed, text_col="ProcessedReview", rating_col="ReviewRating",
-                               features=features, label_col="IsInducing",
+                               features=features, label_col="IsInducing", id_col="__id",
                                delimiter_as_space=PHRASE_DELIMITER if merge else None)
     return labelled.select("RestName", "ReviewActualDate", "Reviewer", "ReviewRating", "ProcessedReview",
                            F.col("IsInducing").cast("int").alias("IsInducing"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import MORE_TOKEN, PHRASE_DELIMITER, TRANSLATION_MARKER
 from ..functions import text as T
+from ..session import counted_broadcast, materialize, row_name
 
 
 def drop_null_text(df: DataFrame, text_col: str) -> DataFrame:
@@ -91,38 +92,70 @@ def clean_review_table(raw: DataFrame, stopwords: Iterable[str] = (), tokenizer=
     return out.select(*(["RestName"] if with_restaurant else []), *cols)
 
 
+def _keyed(df: DataFrame, id_col: str | None) -> tuple[DataFrame, str]:
+    """``df`` with a unique key: ``id_col``, or one that is written with the rows."""
+    if id_col is not None:
+        return df, id_col
+    key = row_name(df)
+    return materialize(df.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def _hits(held: DataFrame, entries, table: DataFrame, on: list[str]) -> DataFrame:
+    """(at, hits): positions of each ``row`` whose entry stands in ``table``, in order.
+
+    The table is broadcast within a counted bound and joined by a shuffle
+    beyond it; only positions that hit travel on.
+    """
+    table = counted_broadcast(materialize(table.select(*on).dropna().distinct(), "table"))
+    return (held.select("row", F.posexplode(T.let(F.col("t"), entries)).alias("pos", "e"))
+            .select("row", "pos", *(F.col("e")[c].alias(c) for c in on))
+            .join(table, on, "left_semi")
+            .groupBy(F.col("row").alias("at")).agg(F.sort_array(F.collect_list("pos")).alias("hits")))
+
+
 def remove_stopwords(df: DataFrame, tokens_col: str, stop_df: DataFrame,
-                     out_col: str | None = None) -> DataFrame:
-    """Stop-word removal against a stop-word table, inside the row.
+                     out_col: str | None = None, id_col: str | None = None) -> DataFrame:
+    """Stop-word removal against a stop-word table (first column) of any size.
 
-    The list is configuration: its distinct words are collected and become a
-    hash set in the plan, whatever their number.  Null arrays stay null, null
-    tokens and null stop words are dropped.
+    The positions of stop words travel back to their row and are taken out in
+    place.  Null arrays stay null, null tokens and null stop words are dropped.
+    ``id_col`` is a unique key; without one the rows are written with a key first.
     """
-    word = stop_df.columns[0]
-    words = [r[0] for r in stop_df.select(word).filter(F.col(word).isNotNull()).distinct().collect()]
-    return df.withColumn(out_col or tokens_col, T.remove_terms(F.col(tokens_col), words))
+    columns = df.columns
+    df, key = _keyed(df, id_col)
+    held = df.select(F.col(key).alias("row"), F.col(tokens_col).alias("t"))
+    found = _hits(held, lambda t: F.transform(t, lambda x: F.struct(x.alias("word"))),
+                  stop_df.select(F.col(stop_df.columns[0]).alias("word")), ["word"])
+    at, hits = row_name(df, "at"), row_name(df, "hits")
+    found = found.select(F.col("at").alias(at), F.col("hits").alias(hits))
+
+    def rest(t):
+        n = F.size(t)
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.array_except(places, F.coalesce(hits, F.array().cast("array<int>"))),
+                           lambda i: F.get(t, i))
+    kept = F.when(F.col(tokens_col).isNotNull(), F.filter(T.let(F.col(tokens_col), rest), lambda x: x.isNotNull()))
+    out = df.join(found, F.col(key) == F.col(at), "left").withColumn(out_col or tokens_col, kept)
+    return out.select(*columns, *([out_col] if out_col and out_col not in columns else []))
 
 
 def merge_phrases(df: DataFrame, tokens_col: str, phrases: DataFrame, id_col: str,
                   out_col: str = "merged", delimiter: str = PHRASE_DELIMITER) -> DataFrame:
     """Greedy left-to-right bigram merge against a phrase table (columns a, b).
 
-    Neighbouring pairs are joined with the phrases (broadcast when small, a
-    skew-split shuffle join otherwise); only the positions that hit travel back
-    to their row, where the greedy choice and the merge happen in place.  A
-    null or empty array gives an empty one.  ``id_col`` is unique; write the
-    tokens first if they are dear to compute (they are read twice).
+    Neighbouring pairs are joined with the phrases; only the positions that hit
+    travel back to their row, where the greedy choice and the merge happen in
+    place.  A null or empty array gives an empty one.  ``id_col`` is unique;
+    write the tokens first if they are dear to compute (they are read twice).
     """
     def pairs(t):
         n = F.greatest(F.size(t) - 1, F.lit(0))
         return F.arrays_zip(F.slice(t, 1, n).alias("a"), F.slice(t, 2, n).alias("b"))
 
-    held = df.select(id_col, F.coalesce(tokens_col, F.array().cast("array<string>")).alias("__t"))
-    found = (held.select(F.col(id_col).alias("__id"), F.posexplode(T.let(F.col("__t"), pairs)).alias("__pos", "__p"))
-             .select("__id", "__pos", F.col("__p.a").alias("a"), F.col("__p.b").alias("b"))
-             .join(phrases.select("a", "b").distinct(), ["a", "b"])
-             .groupBy("__id").agg(F.sort_array(F.collect_list("__pos")).alias("__hits")))
-    return held.join(found, F.col(id_col) == F.col("__id"), "left").select(id_col, F.when(
-        F.col("__hits").isNull(), F.col("__t")).otherwise(
-            T.merge_at("__t", "__hits", delimiter)).alias(out_col))
+    # the key and the tokens get own names, so those of the caller cannot clash
+    held = df.select(F.col(id_col).alias("row"),
+                     F.coalesce(tokens_col, F.array().cast("array<string>")).alias("t"))
+    found = _hits(held, pairs, phrases, ["a", "b"])
+    merged = F.when(F.col("hits").isNull(), F.col("t")).otherwise(T.merge_at("t", "hits", delimiter))
+    return held.join(found, F.col("row") == F.col("at"), "left").select("row", merged.alias("m")).toDF(
+        id_col, out_col)

@@ -9,7 +9,7 @@ from ..config import (
     RELATIVE_UNITS, REVIEW_COUNT_SUFFIX,
 )
 from ..functions import text as T
-from ..functions.arrow import ascii_fold
+from ..functions.fold import ascii_fold
 from ..operators import label as L
 from ..operators import text_ops as X
 from .registry import r6, register, sq, sql_list
@@ -89,37 +89,36 @@ def feature_label(spark, sf):
 
 
 #: 3,000 features, some of which occur: the same operator with a long table
-MANY = 3000
 
 
 @register("feature_label_table", f"""
-WITH f AS (SELECT CASE WHEN i % 300 = 0 THEN 'on ' || chr(CAST(97 + i // 300 AS INTEGER)) ELSE 'zq' || i END AS feature
-           FROM range({MANY}) r(i)),
+WITH b AS (SELECT {PROCESSED_SQL} AS t FROM benchmark),
+  w AS (SELECT string_split(t, ' ') AS l FROM b),
+  f AS (SELECT DISTINCT l[i] || ' ' || l[i + 1] AS feature FROM w, unnest(range(1, len(l))) AS r(i)),
   p AS MATERIALIZED (SELECT doc_id, {PROCESSED_SQL} AS processed FROM documents WHERE {RATING_SQL} = 5),
   h AS (SELECT DISTINCT doc_id FROM p JOIN f ON contains(processed, feature))
 SELECT doc_id, CAST(doc_id IN (SELECT doc_id FROM h) AS BIGINT) AS is_inducing FROM documents""")
 def feature_label_table(spark, sf):
-    """Features from a table of 3,000 rows."""
-    i = F.col("id")
-    feats = spark.range(MANY).select(F.when(i % 300 == 0, F.concat(F.lit("on "), F.char(97 + F.floor(i / 300))))
-                                     .otherwise(F.concat(F.lit("zq"), i)).alias("feature"))
+    """Features from a table: every pair of neighbouring words of the benchmark texts."""
+    pairs = F.explode(T.adjacent_pairs(T.tokenize_word("text")))
+    feats = table(spark, sf, "benchmark").select(pairs.alias("feature"))
     d = rated_documents(spark, sf).withColumn("processed", T.join_tokens(T.tokenize_word("text")))
-    return L.feature_label(d, text_col="processed", rating_col="rating",
-                           features=feats).select("doc_id", "is_inducing")
+    return L.feature_label(d, text_col="processed", rating_col="rating", features=feats,
+                           id_col="doc_id").select("doc_id", "is_inducing")
 
 
 @register("remove_many_stopwords", f"""
-WITH w AS (SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), {WORD}, 1)) AS word FROM benchmark)
-           UNION SELECT 'zq' || i FROM range({MANY}) r(i)),
-  t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {WORD}, 1)) AS word FROM documents)
-SELECT doc_id, count(*) AS n_tokens FROM t WHERE word NOT IN (SELECT word FROM w) GROUP BY doc_id""")
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), {WORD}, 1)) AS word FROM benchmark),
+  t AS (SELECT doc_id, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS p
+        FROM (SELECT doc_id, regexp_extract_all(lower(text), {WORD}, 1) AS l FROM documents)),
+  k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS tokens FROM t ANTI JOIN w USING (word) GROUP BY doc_id)
+SELECT doc_id, coalesce(tokens, '') AS tokens FROM documents LEFT JOIN k USING (doc_id)""")
 def remove_many_stopwords(spark, sf):
-    """A stop list of over 3,000 words (those of the benchmark among them)."""
-    words = table(spark, sf, "benchmark").select(F.explode(T.tokenize_word("text")).alias("word"))
-    stop = words.union(spark.range(MANY).select(F.concat(F.lit("zq"), F.col("id"))))
+    """A stop list drawn from a table: every word of the benchmark texts."""
+    stop = table(spark, sf, "benchmark").select(F.explode(T.tokenize_word("text")).alias("word"))
     d = table(spark, sf, "documents").select("doc_id", T.tokenize_word("text").alias("t"))
-    out = X.remove_stopwords(d, "t", stop).select("doc_id", F.size("t").cast("bigint").alias("n_tokens"))
-    return out.filter("n_tokens > 0")
+    out = X.remove_stopwords(d, "t", stop, id_col="doc_id")
+    return out.select("doc_id", T.join_tokens("t").alias("tokens"))
 
 
 #: phrases put behind each text by its id, to give CJK runs, emoji and mixed script

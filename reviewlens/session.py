@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(master: str | None = None, app: str = "reviewlens",
@@ -120,6 +121,23 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: a written table is broadcast up to this many rows (counted first), and shuffled beyond
+BROADCAST_ROWS = 1 << 18
+
+
+def counted_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``table`` (written before) with a broadcast hint if its counted rows are within the bound."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
+def row_name(df: DataFrame, name: str = "row") -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition ``df`` by ``keys`` when it has fewer partitions than cores.
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from reviewlens.config import PROMO_PATTERNS
 from reviewlens.functions import text as T
-from reviewlens.functions.arrow import ascii_fold
+from reviewlens.functions.fold import ascii_fold
 
 
 def one_col(spark, values, fn, typ="string"):
