@@ -117,11 +117,11 @@ def train_and_evaluate(cleaned: DataFrame, kind: str = "rf", features: str = "tf
     train, test = data.filter("is_test = 0"), data.filter("is_test = 1")
     if grid is not None:
         folds = SP.stratified_folds(train, id_col, "label", 5)
-        cv_model, feats = MD.rf_grid_search(folds, grid)
-        model = cv_model.bestModel
-        pred = model.transform(feats.transform(test))
+        found, feats = MD.rf_grid_search(folds, grid, id_col=id_col)
+        model = found.bestModel
+        pred = model.transform(feats.transform(test, id_col))
     else:
-        pred, model, feats = MD.train_and_predict(train, test, kind, features)
+        pred, model, feats = MD.train_and_predict(train, test, kind, features, id_col)
     report = M.classification_metrics(pred.select("label", "prediction"))
-    top = MD.top_importances(cleaned.sparkSession, model, feats, top_k) if kind == "rf" else None
+    top = MD.top_importances(model, feats, top_k) if kind == "rf" else None
     return report, pred, top

@@ -1,56 +1,107 @@
 """Classifiers on text features with ``pyspark.ml``.
 
-Features: the vectoriser vocabulary is fitted on the training rows only
-(every term, as in the original; the vocabulary is counted first, and only
-``vocab_size`` or ``min_df`` given by the caller drop terms).
-TF-IDF uses Spark's IDF plus one - ``ln((n+1)/(df+1)) + 1`` - and an L2
-normaliser, which is the smoothed TF-IDF of the original scripts restricted
-to the kept vocabulary.
+Features: the vocabulary is fitted on the training rows only (every term, as in
+the original) and stays a table; sparse vectors are assembled per document by
+joins and aggregation.  TF-IDF is ``tf * (ln((n+1)/(df+1)) + 1)``, L2-normalised.
+The learners are Spark's; what they hold per feature is theirs.
 """
 
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import DenseVector
-from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..config import RF_FOLDS, RF_GRID, SPLIT_SEED, TOP_WORDS
+from ..functions.text import let
+from ..session import materialize, row_name, scratch_path
+from .features import doc_terms, smoothed_idf
+from .nested_forest import nested_accuracy
+from .ordering import dense_index
 
 MAX_SPARK_DEPTH = 30
 
 
+class TextVectors:
+    """A fitted vectoriser whose vocabulary is a table.
+
+    ``terms`` holds (term, idx, idf) with a dense index in term order, written
+    once; only its row count (``size``) reaches the driver.  Vectors are put
+    together per document: counted terms meet the table by a join, and a
+    document's (index, value) pairs are gathered, which its text bounds.
+    """
+
+    def __init__(self, terms: DataFrame, size: int, kind: str, tokens_col: str):
+        self.terms, self.size, self.kind, self.tokens_col = terms, size, kind, tokens_col
+
+    def transform(self, df: DataFrame, id_col: str | None = None, out_col: str = "features") -> DataFrame:
+        """``df`` with a sparse vector per row, written; terms that were not fitted are left out.
+
+        ``id_col`` is a unique key; without one the rows get a written key first.
+        """
+        key = id_col
+        if key is None:
+            key = row_name(df)
+            df = materialize(df.withColumn(key, F.monotonically_increasing_id()), "keyed")
+        counted = doc_terms(df.select(F.col(key).alias("row"), F.col(self.tokens_col).alias("tokens")),
+                            "row", F.col("tokens"))
+        value = F.col("tf").cast("double") * (F.col("idf") if self.kind == "tfidf" else F.lit(1.0))
+        rows = (counted.join(self.terms, "term")
+                .groupBy(F.col("row").alias("at"))
+                .agg(F.sort_array(F.collect_list(F.struct("idx", value.alias("w")))).alias("p")))
+        at, pairs = row_name(df, "at"), row_name(df, "p")
+        rows = rows.select(F.col("at").alias(at), F.col("p").alias(pairs))
+        held = F.coalesce(pairs, F.array().cast("array<struct<idx:int,w:double>>"))
+        length = F.sqrt(F.aggregate(held, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+        weights = F.transform(held, lambda x: x["w"])
+        if self.kind == "tfidf":
+            weights = let(length, lambda n: F.transform(held, lambda x: x["w"] / n))
+        # the layout of a sparse vector; Parquet hands it back as one, without Python
+        vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(max(1, self.size)).alias("size"),
+                          F.transform(held, lambda x: x["idx"]).alias("indices"), weights.alias("values"))
+        kept = [c for c in df.columns if c != out_col and (id_col is not None or c != key)]
+        out = df.join(rows, F.col(key) == F.col(at), "left").select(*kept, vector.alias(out_col))
+        path = scratch_path(df.sparkSession, "vectors")
+        out.write.mode("overwrite").parquet(path)
+        schema = StructType([f for f in df.schema.fields if f.name in kept] + [StructField(out_col, VectorUDT())])
+        return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def fit_features(train: DataFrame, tokens_col: str = "tokens", kind: str = "tfidf",
-                 vocab_size: int | None = None, min_df: float = 1.0) -> PipelineModel:
-    """Fit the vectoriser (and IDF) on ``train``; output column ``features``."""
-    # the whole training vocabulary: terms are only dropped by an explicit size or min_df
-    vocab_size = vocab_size or max(1, train.select(F.explode(tokens_col)).distinct().count())
-    cv = CountVectorizer(inputCol=tokens_col, outputCol="tf" if kind == "tfidf" else "features",
-                         vocabSize=vocab_size, minDF=min_df)
-    if kind == "bow":
-        return Pipeline(stages=[cv]).fit(train)
-    base = Pipeline(stages=[cv, IDF(inputCol="tf", outputCol="__idf_unused")]).fit(train)
-    cv_model, idf_model = base.stages
-    smoothed = DenseVector([v + 1.0 for v in idf_model.idf.toArray()])
-    scale = ElementwiseProduct(scalingVec=smoothed, inputCol="tf", outputCol="tfidf_raw")
-    norm = Normalizer(p=2.0, inputCol="tfidf_raw", outputCol="features")
-    return PipelineModel(stages=[cv_model, scale, norm])
-
-
-def vocabulary_frame(spark, feature_model: PipelineModel) -> DataFrame:
+                 vocab_size: int | None = None, min_df: int = 1) -> TextVectors:
+    """Fit the vectoriser on ``train``: every term, its index and its smoothed IDF.
+
+    Terms are only dropped by an explicit ``vocab_size`` (most frequent first,
+    ties in term order) or ``min_df`` (documents that hold the term).
+    """
+    words = train.select(F.monotonically_increasing_id().alias("row"), F.explode(
+        F.array_distinct(tokens_col) if not vocab_size else F.col(tokens_col)).alias("term"))
+    if vocab_size:
+        found = words.groupBy("term").agg(F.countDistinct("row").alias("df"), F.count("*").alias("n"))
+        found = found.filter(F.col("df") >= min_df).orderBy(F.desc("n"), "term").limit(vocab_size)
+    else:
+        found = words.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
+    found = materialize(found.filter("term is not null").select("term", "df"), "terms")
+    idf = smoothed_idf(F.col("df"), F.lit(float(train.count())))
+    terms = materialize(dense_index(found.withColumn("idf", idf), ["term"], "idx").select(
+        "term", F.col("idx").cast("int").alias("idx"), "idf"), "vocabulary")
+    return TextVectors(terms, terms.count(), kind, tokens_col)
+
+
+def vocabulary_frame(feature_model: TextVectors) -> DataFrame:
     """(idx, term) of the fitted vectoriser."""
-    vocab = feature_model.stages[0].vocabulary
-    return spark.createDataFrame(list(enumerate(vocab)), "idx int, term string")
+    return feature_model.terms.select("idx", "term")
 
 
 def positional_zip(spark, names: list[str], values: list[float],
@@ -94,11 +145,10 @@ def learner(kind: str, n_features: int, seed: int = SPLIT_SEED, **params):
 
 
 def train_and_predict(train: DataFrame, test: DataFrame, kind: str, feature_kind: str = "tfidf",
-                      **params) -> tuple[DataFrame, object, PipelineModel]:
+                      id_col: str | None = None, **params) -> tuple[DataFrame, object, TextVectors]:
     feats = fit_features(train, kind=feature_kind)
-    n_features = len(feats.stages[0].vocabulary)
-    model = learner(kind, n_features, **params).fit(feats.transform(train))
-    return model.transform(feats.transform(test)), model, feats
+    model = learner(kind, max(1, feats.size), **params).fit(feats.transform(train, id_col))
+    return model.transform(feats.transform(test, id_col)), model, feats
 
 
 def rf_grid_points(grid: dict = RF_GRID) -> list[dict]:
@@ -118,34 +168,69 @@ def rf_grid_points(grid: dict = RF_GRID) -> list[dict]:
     return [dict(num_trees=n, max_depth=d, min_instances=m) for n, d, m in sorted(points)]
 
 
-def rf_grid_search(train: DataFrame, grid: dict = RF_GRID, folds: int = RF_FOLDS,
-                   fold_col: str | None = "fold", parallelism: int = 4, seed: int = SPLIT_SEED):
-    """Cross-validated grid search by accuracy; returns the refitted best model."""
+@dataclass
+class GridResult:
+    """The searched points, their mean accuracy over the folds, and the best one refitted."""
+
+    points: list[dict]
+    accuracy: list[float]
+    best: dict
+    bestModel: object
+
+
+def rf_grid_search(train: DataFrame, grid: dict = RF_GRID, folds: int = RF_FOLDS, fold_col: str = "fold",
+                   parallelism: int = 4, seed: int = SPLIT_SEED, id_col: str | None = None,
+                   **forest) -> tuple[GridResult, TextVectors]:
+    """Cross-validated grid search by accuracy over nested forests; the best point is refitted.
+
+    Per fold and leaf size one forest is grown, with the most trees and the
+    deepest ones.  Its first n trees are a forest of n, and its trees cut at a
+    depth are trees of that depth (:mod:`.nested_forest`), so the 60 points of
+    the full grid need 25 forests.  Ties go to the first point.
+    """
     feats = fit_features(train)
-    data = feats.transform(train)
-    rf = RandomForestClassifier(featureSubsetStrategy="sqrt", impurity="gini", seed=seed)
-    # explicit parameter maps: the collapsed grid is not a full cross product
-    maps = [{rf.numTrees: p["num_trees"], rf.maxDepth: p["max_depth"],
-             rf.minInstancesPerNode: p["min_instances"]} for p in rf_grid_points(grid)]
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=maps,
-                        evaluator=MulticlassClassificationEvaluator(metricName="accuracy"),
-                        numFolds=folds, parallelism=parallelism, seed=seed)
-    if fold_col:
-        cv = cv.setFoldCol(fold_col)
-    cv_model = cv.fit(data)
-    return cv_model, feats
-
-
-def top_importances(spark, model, feats: PipelineModel, k: int = TOP_WORDS) -> DataFrame:
-    """Top-k words by forest importance; ties keep term order."""
-    vocab = feats.stages[0].vocabulary
+    data = feats.transform(train, id_col)
+    points = rf_grid_points(grid)
+    counts, depths = (sorted({p[k] for p in points}) for k in ("num_trees", "max_depth"))
+
+    def fold_scores(job):
+        fold, leaf = job
+        rf = _forest(counts[-1], depths[-1], leaf, seed, forest)
+        model = rf.fit(data.filter(F.col(fold_col) != fold))
+        return leaf, nested_accuracy(model, data.filter(F.col(fold_col) == fold), counts, depths)
+
+    jobs = [(f, leaf) for leaf in sorted({p["min_instances"] for p in points}) for f in range(folds)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        scores = list(pool.map(inheritable_thread_target(data.sparkSession)(fold_scores), jobs))
+    accuracy = []
+    for p in points:
+        held = [s[p["num_trees"], p["max_depth"]] for leaf, s in scores if leaf == p["min_instances"]]
+        held = [a for a in held if a is not None]            # folds without rows
+        accuracy.append(sum(held) / len(held) if held else 0.0)
+    best = points[max(range(len(points)), key=lambda i: accuracy[i])]
+    model = _forest(best["num_trees"], best["max_depth"], best["min_instances"], seed, forest).fit(data)
+    return GridResult(points, accuracy, best, model), feats
+
+
+def _forest(trees, depth, leaf, seed, params):
+    return RandomForestClassifier(**{
+        "numTrees": trees, "maxDepth": depth, "minInstancesPerNode": leaf, "featureSubsetStrategy": "sqrt",
+        "impurity": "gini", "seed": seed, **params})
+
+
+def top_importances(model, feats: TextVectors, k: int = TOP_WORDS) -> DataFrame:
+    """Top-k words by importance; ties keep term order.
+
+    Only the features that the trees split on reach the driver; their words come by a join.
+    """
+    spark = feats.terms.sparkSession
     imp = model.featureImportances                       # sparse: only the split words matter
-    used = imp.indices.tolist() if hasattr(imp, "indices") else range(len(vocab))
-    pairs = [(vocab[i], imp[int(i)]) for i in used]
-    rest = [(w, 0.0) for w in sorted(set(vocab) - {w for w, _ in pairs})[:max(0, k - len(pairs))]]
-    names, values = zip(*(pairs + rest)) if pairs or rest else ((), ())
-    return (positional_zip(spark, list(names), list(values), "term", "importance")
-            .orderBy(F.col("importance").desc(), F.col("term")).limit(k))
+    used = [int(i) for i in imp.indices]
+    pairs = positional_zip(spark, [str(i) for i in used], [imp[i] for i in used], "at", "importance")
+    scored = pairs.join(feats.terms, F.col("at").cast("int") == feats.terms["idx"]).select("term", "importance")
+    rest = feats.terms.join(scored, "term", "left_anti").orderBy("term").limit(k).select(
+        "term", F.lit(0.0).alias("importance"))
+    return scored.union(rest).orderBy(F.col("importance").desc(), F.col("term")).limit(k)
 
 
 def rff_features(docs: DataFrame, gamma: float, dims: int = 64, seed: int = SPLIT_SEED,

@@ -40,7 +40,7 @@ def test_top_importances_finds_signal_words(spark):
     # raw counts: "food" (in every review) carries no signal, unlike under
     # L2-normalised TF-IDF where the norm differs between the classes
     _, model, feats = MD.train_and_predict(train, test, "rf", "bow", num_trees=30)
-    top = [r.term for r in MD.top_importances(spark, model, feats, 3).collect()]
+    top = [r.term for r in MD.top_importances(model, feats, 3).collect()]
     assert set(top) <= {"gift", "free", "stars", "slow", "noisy", "cold"}
 
 
