@@ -178,9 +178,9 @@ def svm_word(spark, sf):
 
 @register("rff_word", EXACT_SQL)
 def rff_word(spark, sf):
-    """The kernel sees the target word and another one: four kinds of documents."""
+    """The kernel sees the target word alone: a document without it has no terms."""
     data = _word_target(spark, sf)
-    few = data.withColumn("tokens", F.filter("tokens", lambda t: t.isin(TARGET_WORD, "and")))
+    few = data.withColumn("tokens", F.filter("tokens", lambda t: t == TARGET_WORD))
     return _scored(_rff_predictions(few, reg=0.0, max_iter=200))
 
 
