@@ -9,15 +9,21 @@ Two documents link when the Jaccard similarity of their shingle sets reaches
    superset) and the shared ones counted per class.
 3. For the classes left, shingles are ordered by document frequency; several
    global orders break ties with different hashes.  Linked classes share a
-   token of their prefixes under every order.  Posting lists of the first
-   order propose pairs (lists with the same members once): each list compares
-   its members with its leaders, one in the first round and more in the next,
-   skips pairs that are already in one component or whose shared tokens are
-   too few for their sizes, drops the leaders, and goes on until the members
-   left are all connected.  Lists that stay long are
-   split by the prefix tokens of the next order.  A pair is verified on the
-   whole sets only if the prefixes meet under every order.
-4. Components come from smallest-neighbour steps over the verified links.
+   token of their prefixes under every order.  The prefix tokens of the first
+   order are the keys; keys of more than ``LONG_LIST`` classes are combined
+   with the prefix tokens of the next order, as a linked pair shares those too.
+4. Keys whose smallest member is the same class form a unit, so the keys of one
+   near-copy group meet in one place and a class travels there once, not once a
+   key.  A unit is cut into chunks of about ``CHUNK`` classes and
+   ``CHUNK_BYTES`` bytes, and every two chunks are one block of work.  A block
+   takes a pair only for the smallest key that both classes have, so every pair
+   is looked at once, drops pairs whose prefixes miss each other under another
+   order, and verifies the rest on the whole sets, by products of incidence
+   matrices.
+5. A block returns, per class, the number of documents linked there and the
+   smallest class connected to it inside the block: no pair leaves a block.
+   Links add up per class; components come from smallest-neighbour steps over
+   these edges.  ``link_pairs`` returns the pairs themselves, for those who want them.
 
 Defined results: null or blank texts have an empty set and link with nothing;
 a row with a null ``doc_id`` links with nothing and has a null component; rows
@@ -27,21 +33,27 @@ ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (SHINGLE, binary, blob_column, deal, deal_entries, mix, ranges, runs, ship,
+from .common import (SHINGLE, binary, blob_column, deal, deal_entries, mix, ranges, release, runs, ship,
                      shuffle_width, small, text_buffer, text_slices, texts, window_hashes, window_starts,
                      word_hashes, word_spans, written)
 from .components import components
 
 ORDERS = 3
-#: rounds before a list that is still long is split by the next token order
-SPLIT_ROUNDS, LONG_LIST = 4, 8192
-#: members that a list compares with all others in one round, at most
-MOST_LEADERS = 256
+#: members of a key before the next order's prefix tokens split it
+LONG_LIST = 16384
+#: classes and bytes of a chunk of a unit (about)
+CHUNK, CHUNK_BYTES = 2048, 1 << 24
+#: tokens of an incidence matrix at a time
+COLUMNS = 4096
+#: bytes of shingles dealt to one bucket (about)
+BUCKET_BYTES = 1 << 26
 
 
 def shingle_sets(part, k: int = SHINGLE) -> list[np.ndarray]:
@@ -106,7 +118,8 @@ def _gate_rows(k, buckets):
                 known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
                 sets = [s if ok else s[:0] for s, ok in zip(sets, known)]
                 cls = np.array([_print(s)[0] for s in sets], np.int64)
-                if (out := _deal(sets, cls, buckets, np.uint32)) is not None:
+                cls, first = np.unique(cls, return_index=True)       # copies of a slice count once
+                if (out := _deal([sets[i] for i in first], cls, buckets, np.uint32)) is not None:
                     yield out
     return run
 
@@ -228,42 +241,197 @@ PROFILE = "cls long, size long, shared long, tokens binary, head0 binary, head1
 
 
 def _postings(order):
-    """(cls, size, shared, token) rows of the prefixes; from the second order on, keys combine."""
+    """(cls, key) rows of the prefixes; from the second order on, keys combine."""
     def run(batches):
         for batch in batches:
-            cls, size = batch.column("cls").to_numpy(), batch.column("size").to_numpy()
-            shared = batch.column("shared").to_numpy()
             heads = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(f"head{order}")]
             n = [len(h) for h in heads]
             if not sum(n):
                 continue
-            token = np.concatenate(heads)
+            key = np.concatenate(heads)
             if order:
-                token = mix(np.repeat(batch.column("token").to_numpy().view(np.uint64), n) ^ token)
-            yield ship(token=token.view(np.int64), cls=np.repeat(cls, n), size=np.repeat(size, n),
-                       shared=np.repeat(shared, n))
+                key = mix(np.repeat(batch.column("key").to_numpy().view(np.uint64), n) ^ key)
+            yield ship(cls=np.repeat(batch.column("cls").to_numpy(), n), key=key.view(np.int64))
     return run
 
 
-def _verify(percent):
+POST = "cls long, key long"
+MEMBER = ("cls long, docs long, size long, tokens binary, marks binary, keys binary, lows binary, "
+          "low array<long>")
+
+
+def _members(batches):
+    """Per class: its tokens with a mark per order whose prefix holds them, and its keys with their units."""
+    for batch in batches:
+        out = {n: [] for n in ("tokens", "marks", "keys", "lows", "low")}
+        for i in range(batch.num_rows):
+            tokens = np.frombuffer(batch.column("tokens")[i].as_buffer(), np.uint64)
+            marks = np.zeros(len(tokens), np.uint8)
+            for o in range(1, ORDERS):
+                head = np.frombuffer(batch.column(f"head{o}")[i].as_buffer(), np.uint64)
+                marks[np.searchsorted(tokens, head)] |= 1 << o
+            keyed = batch.column("keyed")[i].values
+            keys, lows = (keyed.field(j).to_numpy() for j in (0, 1))
+            out["tokens"].append(tokens.tobytes())
+            out["marks"].append(marks.tobytes())
+            out["keys"].append(keys.tobytes())
+            out["lows"].append(lows.tobytes())
+            out["low"].append(np.unique(lows))
+        yield ship(cls=batch.column("cls"), docs=batch.column("docs"), size=batch.column("size"),
+                   low=pa.array(out.pop("low"), pa.list_(pa.int64())),
+                   **{n: binary(v) for n, v in out.items()}).select(
+                       [c.split()[0] for c in MEMBER.split(", ")])
+
+
+class _Side:
+    """The classes of one chunk: arrays of a block's rows."""
+
+    def __init__(self, rows, unit):
+        self.cls, self.docs, self.size = (rows.column(c).to_numpy() for c in ("cls", "docs", "size"))
+        self.tokens, self.marks, self.keys, lows = (
+            [np.frombuffer(x.as_buffer(), t) for x in rows.column(c)]
+            for c, t in (("tokens", np.uint64), ("marks", np.uint8), ("keys", np.int64), ("lows", np.int64)))
+        self.own = [low == unit for low in lows]
+
+
+def _flat(lists):
+    """All entries of lists in ascending order, with the number of their list."""
+    n = np.array([len(x) for x in lists], np.int64)
+    held = np.concatenate(lists) if len(lists) else np.zeros(0, np.uint64)
+    order = np.argsort(held, kind="stable")
+    return held[order], np.repeat(np.arange(len(lists)), n)[order], order
+
+
+def _proposed(a: _Side, b: _Side) -> np.ndarray:
+    """Pairs whose smallest common key belongs to the block's unit."""
+    ka, ra, oa = _flat(a.keys)
+    kb, rb, _ = _flat(b.keys)
+    own = np.concatenate(a.own)[oa]
+    both = np.intersect1d(ka, kb)
+    fa, ta = np.searchsorted(ka, both), np.searchsorted(ka, both, "right")
+    fb, tb = np.searchsorted(kb, both), np.searchsorted(kb, both, "right")
+    seen = np.zeros((len(a.cls), len(b.cls)), bool)
+    found = np.zeros_like(seen)
+    for i in range(len(both)):
+        at = np.ix_(ra[fa[i]:ta[i]], rb[fb[i]:tb[i]])
+        if own[fa[i]]:
+            found[at] |= ~seen[at]
+        seen[at] = True
+    return found
+
+
+def _common(a_lists, b_lists) -> np.ndarray:
+    """Number of common entries of every two lists, by products of incidence matrices."""
+    ta, ra, _ = _flat(a_lists)
+    tb, rb, _ = _flat(b_lists)
+    both = np.intersect1d(ta, tb)
+    out = np.zeros((len(a_lists), len(b_lists)), np.float32)
+    for s in range(0, len(both), COLUMNS):
+        some = both[s:s + COLUMNS]
+        x, y = (np.zeros((n, len(some)), np.float32) for n in out.shape)
+        for m, t, r in ((x, ta, ra), (y, tb, rb)):
+            lo, hi = np.searchsorted(t, some[0]), np.searchsorted(t, some[-1], "right")
+            at = np.searchsorted(some, t[lo:hi])
+            hit = some[at] == t[lo:hi]
+            m[r[lo:hi][hit], at[hit]] = 1
+        out += x @ y.T
+    return out
+
+
+def _linked(a: _Side, b: _Side, percent: int):
+    """(linked, similarity) matrices of a block; a pair of one chunk is looked at once."""
+    found = _proposed(a, b)
+    if a is b:
+        found &= np.triu(np.ones_like(found), 1)
+    small, large = np.minimum.outer(a.size, b.size), np.maximum.outer(a.size, b.size)
+    found &= 100 * small >= percent * large
+    rows, cols = np.flatnonzero(found.any(axis=1)), np.flatnonzero(found.any(axis=0))
+    linked, similarity = np.zeros_like(found), np.zeros(found.shape, np.float64)
+    if not len(rows):
+        return linked, similarity
+    i, j = np.nonzero(found)
+    if len(i) <= 2 * (len(rows) + len(cols)):
+        for x, y in zip(i, j):
+            p, q = a.tokens[x], b.tokens[y]
+            same, at, bt = np.intersect1d(p, q, True, return_indices=True)
+            marks = a.marks[x][at] & b.marks[y][bt]
+            union = a.size[x] + b.size[y] - len(same)
+            if 100 * len(same) >= percent * union and all((marks & (1 << o)).any() for o in range(1, ORDERS)):
+                linked[x, y], similarity[x, y] = True, len(same) / union
+        return linked, similarity
+    at = np.ix_(rows, cols)
+    good = found[at]
+    for o in range(1, ORDERS):
+        heads = [[s.tokens[r][(s.marks[r] & (1 << o)) > 0] for r in some] for s, some in ((a, rows), (b, cols))]
+        good &= _common(*heads) > 0
+    same = _common([a.tokens[r] for r in rows], [b.tokens[c] for c in cols]).astype(np.int64)
+    union = np.add.outer(a.size[rows], b.size[cols]) - same
+    linked[at] = good & (100 * same >= percent * union)
+    similarity[at] = same / union
+    return linked, similarity
+
+
+def _least_label(linked, la, lb):
+    """Smallest label connected inside the block, for the classes of both sides."""
+    most = np.iinfo(np.int64).max
+    while True:
+        na = np.minimum(la, np.where(linked, lb[None, :], most).min(axis=1, initial=most))
+        nb = np.minimum(lb, np.where(linked, na[:, None], most).min(axis=0, initial=most))
+        if (na == la).all() and (nb == lb).all():
+            return la, lb
+        la, lb = na, nb
+
+
+FOUND = "cls long, root long, links long"
+PAIR = "a long, b long, similarity double"
+
+
+def _block(rows: pa.Table, percent: int, pairs: bool):
+    unit, i, j = (rows.column(c)[0].as_py() for c in ("unit", "i", "j"))
+    chunk = rows.column("chunk").to_numpy()
+    a = _Side(rows.filter(pa.array(chunk == i)), unit)
+    b = a if i == j else _Side(rows.filter(pa.array(chunk == j)), unit)
+    if not len(a.cls) or not len(b.cls):
+        return None
+    linked, similarity = _linked(a, b, percent)
+    if not linked.any():
+        return None
+    if pairs:
+        x, y = np.nonzero(linked)
+        p, q = a.cls[x], b.cls[y]
+        return ship(a=np.minimum(p, q), b=np.maximum(p, q), similarity=similarity[x, y])
+    if a is b:
+        linked = linked | linked.T
+        root, _ = _least_label(linked, a.cls, a.cls)
+        cls, links = a.cls, linked @ a.docs
+    else:
+        ra, rb = _least_label(linked, a.cls, b.cls)
+        cls, root = np.concatenate([a.cls, b.cls]), np.concatenate([ra, rb])
+        links = np.concatenate([linked @ b.docs, a.docs @ linked])
+    hit = links > 0
+    return ship(cls=cls[hit], root=root[hit], links=links[hit].astype(np.int64))
+
+
+def _blocks(percent, pairs):
+    """Blocks of rows that come sorted by (unit, i, j); a block may span batches."""
     def run(batches):
-        for batch in batches:
-            a, b, sim = [], [], []
-            cols = {n: batch.column(n) for n in batch.schema.names}
-            for i in range(batch.num_rows):
-                def get(name):
-                    return np.frombuffer(cols[name][i].as_buffer(), np.uint64)
-                if not all(len(np.intersect1d(get(f"a_head{o}"), get(f"b_head{o}"), True))
-                           for o in range(1, ORDERS)):
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
                     continue
-                both = len(np.intersect1d(get("a_tokens"), get("b_tokens"), True))
-                union = cols["a_size"][i].as_py() + cols["b_size"][i].as_py() - both
-                if 100 * both >= percent * union:
-                    a.append(cols["a_cls"][i].as_py())
-                    b.append(cols["b_cls"][i].as_py())
-                    sim.append(both / union)
-            yield ship(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()),
-                       similarity=pa.array(sim, pa.float64()))
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables(
+                    [held, pa.Table.from_batches([batch])])
+            if held is None:
+                return
+            keys = [held.column(c).to_numpy() for c in ("unit", "i", "j")]
+            cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
+            edges = [0, *cuts.tolist()] + ([held.num_rows] if batch is None else [])
+            for a, z in zip(edges[:-1], edges[1:]):
+                if (out := _block(held.slice(a, z - a).combine_chunks(), percent, pairs)) is not None:
+                    yield out
+            held = held.slice(edges[-1]) if batch is not None else None
+            release()
     return run
 
 
@@ -273,131 +441,120 @@ def document_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         _classes(k), "doc_id long, row_key long, n_shingles long, cls long, cls2 long")
 
 
-def class_links(docs: DataFrame, rows: DataFrame, percent: int = 80, k: int = SHINGLE):
-    """Verified links (a, b, similarity) between classes, and the components (node, comp) of both.
+def class_profiles(docs: DataFrame, rows: DataFrame, percent: int = 80, k: int = SHINGLE):
+    """Tokens and prefixes of the classes that can have a partner, and their number of documents.
 
-    The links are enough to connect all partners; without any, both are None.
-
-    ``rows`` is ``document_classes(docs)``, written.  Pairs whose ends are
-    already connected are not compared again.
+    ``rows`` is ``document_classes(docs)``, written.  None if no class can.
     """
-    spark = docs.sparkSession
-    width = shuffle_width(spark)
-    buckets = 2 * width                     # a bucket fits a Python worker several times
+    width = shuffle_width(docs.sparkSession)
+    linkable = rows.filter("n_shingles > 0 and doc_id is not null")
+    # a bucket fits a Python worker several times, whatever the input
+    total = linkable.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(2 * width, -(-total * 12 // BUCKET_BYTES))
     counts = (texts(docs).mapInArrow(_gate_rows(k, buckets), DEALT).groupBy("bucket")
-              .applyInArrow(_gate_counts(width), GATED).groupBy("bucket")
+              .applyInArrow(_gate_counts(buckets), GATED).groupBy("bucket")
               .applyInArrow(_gate_sums, "cls long, shared long"))
-    reps = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(
-        F.min(F.struct("doc_id", "row_key")).alias("rep"), F.max("n_shingles").alias("n"))
+    reps = linkable.groupBy("cls").agg(
+        F.min(F.struct("doc_id", "row_key")).alias("rep"), F.max("n_shingles").alias("n"),
+        F.count("*").alias("docs"))
     kept = written(reps.join(counts, "cls").filter(f"100 * shared >= {percent} * n")
-                   .select("cls", "rep.doc_id", "rep.row_key"), "jaccard-gate")
+                   .select("cls", "rep.doc_id", "rep.row_key", "docs"), "jaccard-gate")
     if kept.isEmpty():
-        return None, None
-    profiles = (texts(docs).join(small(kept), ["doc_id", "row_key"])
-                .mapInArrow(_partner_rows(k, buckets), DEALT)
-                .groupBy("bucket").applyInArrow(_frequencies(width), FREQUENT)
-                .groupBy("bucket").applyInArrow(_profiles(percent), PROFILE))
-    return _compare(written(profiles, "jaccard-profiles"), percent)
-
-
-def _side(profiles, pairs, side):
-    """The profile of one end of every pair."""
-    names = ["cls", "size", "tokens", *(f"head{o}" for o in range(1, ORDERS))]
-    held = profiles.select(*(F.col(n).alias(f"{side}_{n}") for n in names))
-    return held.join(pairs, F.col(f"{side}_cls") == F.col(side))
-
-
-POST = "token long, cls long, size long, shared long"
-
-
-def _lists(posts: DataFrame) -> DataFrame:
-    """Posting lists with members of more than one component.
-
-    Lists with equal members propose equal pairs: one of them is kept.
-    """
-    return posts.groupBy("token").agg(
-        F.bit_xor(F.xxhash64("cls")).alias("s1"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("s2"),
-        F.min(F.xxhash64("cls")).alias("low_key"), F.min("size").alias("least"),
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")) \
-        .filter("low < high").groupBy("s1", "s2", "members").agg(
-            F.min_by(F.struct("token", "low_key", "least"), "token").alias("t")) \
-        .select("t.*", "members")
-
-
-def _compare(profiles: DataFrame, percent: int):
-    # |a & b| <= shared(a) and 100 |a & b| >= percent (|a| + |b| - |a & b|) bound a partner's size
-    reach = f"(100 + {percent}) * shared - {percent} * size >= {percent} * least"
-    fits = (f"100 * least(size, l_size) >= {percent} * greatest(size, l_size) and "
-            f"(100 + {percent}) * least(shared, l_shared) >= {percent} * (size + l_size)")
-    posts = profiles.select("cls", "size", "shared", "head0").mapInArrow(
-        _postings(0), POST).withColumn("comp", F.col("cls"))
-    links = tested = comp = None
-    order, turn, leaders = 0, 0, 1
-    while True:
-        posts = written(posts, "jaccard-posts")
-        live = written(posts.join(_lists(posts), "token").filter(reach).withColumn("lead", F.expr(
-            # one hash for all lists: overlapping lists take the same leaders
-            f"xxhash64(cls) = low_key or pmod(xxhash64(cls, {turn + 2}), 1048576) * members < "
-            f"{leaders - 1} * 1048576L")),
-            "jaccard-live")
-        if live.isEmpty():
-            return links, comp
-        lead = live.filter("lead").select("token", *(F.col(c).alias(f"l_{c}") for c in (
-            "cls", "size", "shared", "comp")))
-        pairs = live.join(lead, "token").filter(f"comp != l_comp and {fits}") \
-            .select(F.least("cls", "l_cls").alias("a"), F.greatest("cls", "l_cls").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "jaccard-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        ends = small(pairs)
-        found = None if pairs.isEmpty() else written(
-            _side(profiles, ends, "a").join(_side(profiles, ends, "b"), ["a", "b"]).drop("a", "b")
-            .mapInArrow(_verify(percent), "a long, b long, similarity double"), "jaccard-found")
-        if found is not None and not found.isEmpty():
-            links = found if links is None else links.union(found)
-            # what is connected already stands for its links: one edge a node
-            edges = found.select("a", "b") if comp is None else found.select("a", "b").union(
-                comp.filter("node != comp").select("node", "comp"))
-            comp = components(edges)
-        turn += 1
-        rest = live.filter("not lead").select("token", "cls", "size", "shared", "members")
-        if turn >= SPLIT_ROUNDS and order + 1 < ORDERS:
-            order, turn = order + 1, 0
-            long = (rest.filter(F.col("members") > LONG_LIST)
-                    .join(profiles.select("cls", f"head{order}"), "cls")
-                    .mapInArrow(_postings(order), POST))
-            rest = rest.filter(F.col("members") <= LONG_LIST).drop("members").union(
-                long.select("token", "cls", "size", "shared"))
-        leaders = min(max(16, 2 * leaders), MOST_LEADERS)
-        rest = rest.select("token", "cls", "size", "shared")
-        posts = rest.withColumn("comp", F.col("cls")) if comp is None else rest.join(
-            comp, F.col("cls") == F.col("node"), "left").select(
-                *rest.columns, F.coalesce("comp", "cls").alias("comp"))
+        return None
+    found = (texts(docs).join(small(kept.drop("docs")), ["doc_id", "row_key"])
+             .mapInArrow(_partner_rows(k, buckets), DEALT)
+             .groupBy("bucket").applyInArrow(_frequencies(buckets), FREQUENT)
+             .groupBy("bucket").applyInArrow(_profiles(percent), PROFILE))
+    return written(written(found, "jaccard-found").join(kept.select("cls", "docs"), "cls"),
+                   "jaccard-profiles")
+
+
+def keyed_members(profiles: DataFrame) -> DataFrame:
+    """The classes with their keys (``MEMBER``): keys that only one class has are left out."""
+    held, posts = None, profiles.select("cls", "head0").mapInArrow(_postings(0), POST)
+    for order in range(ORDERS):
+        posts = written(posts, "jaccard-keys")
+        lists = written(posts.groupBy("key").agg(
+            F.count("*").alias("members"), F.min(F.xxhash64("cls")).alias("low"))
+            .filter("members > 1"), "jaccard-lists")
+        long = F.col("members") > LONG_LIST if order + 1 < ORDERS else F.lit(False)
+        these = posts.join(lists.filter(~long), "key").select("cls", "key", "low")
+        held = these if held is None else held.union(these)
+        again = lists.filter(long)
+        if order + 1 == ORDERS or again.isEmpty():
+            break
+        posts = (posts.join(again, "key", "left_semi").join(profiles.select("cls", f"head{order + 1}"), "cls")
+                 .mapInArrow(_postings(order + 1), POST))
+    # a class has as many keys as prefix tokens; combined ones multiply the prefixes of its own text
+    keyed = held.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("key", "low"))).alias("keyed"))
+    return written(profiles.join(keyed, "cls").mapInArrow(_members, MEMBER), "jaccard-members")
+
+
+def _work(members: DataFrame) -> DataFrame:
+    """Members dealt to the blocks (unit, i, j) of their units, sorted by block."""
+    units = members.select("*", F.explode("low").alias("unit")).drop("low")
+    n = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(
+        F.length("tokens") + F.length("keys")) / CHUNK_BYTES)).cast("int")
+    cut = written(members.select("tokens", "keys", F.explode("low").alias("unit")).groupBy("unit").agg(
+        n.alias("chunks")).filter("chunks > 1"), "jaccard-units")
+    dealt = units.join(small(cut), "unit", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))) \
+        .withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("chunks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))) \
+        .select("unit", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
+                "chunk", "cls", "docs", "size", "tokens", "marks", "keys", "lows")
+    return dealt.repartition(shuffle_width(members.sparkSession), "unit", "i", "j") \
+        .sortWithinPartitions("unit", "i", "j")
+
+
+def class_links(members: DataFrame, percent: int = 80) -> DataFrame:
+    """(cls, root, links) per block: linked documents of other classes, and the class it is connected to."""
+    return _work(members).mapInArrow(_blocks(percent, False), FOUND)
+
+
+def link_pairs(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
+    """(a, b, similarity): every linked pair of different sets, by their smallest doc_ids."""
+    rows = written(document_classes(docs, k), "jaccard-classes")
+    profiles = class_profiles(docs, rows, percent, k)
+    if profiles is None:
+        return docs.sparkSession.createDataFrame([], PAIR)
+    found = _work(keyed_members(profiles)).mapInArrow(_blocks(percent, True), PAIR)
+    names = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"))
+    for side in ("a", "b"):
+        found = found.join(names, F.col(side) == F.col("cls")).drop("cls", side).withColumnRenamed("doc", side)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
 def similarity_groups(docs: DataFrame, percent: int = 80, k: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, row_key, n_shingles, class_id, component_id.
+    """One row per document: doc_id, row_key, n_shingles, class_id, component_id, n_links.
 
     ``class_id`` is the smallest doc_id with the same set, ``component_id`` the
-    smallest one reachable by links.
+    smallest one reachable by links, ``n_links`` the number of documents linked
+    with it, copies included.
     """
     rows = written(document_classes(docs, k), "jaccard-classes")
-    _, comp = class_links(docs, rows, percent, k)
+    profiles = class_profiles(docs, rows, percent, k)
     linkable = F.expr("n_shingles > 0 and doc_id is not null")
-    classes = rows.filter(linkable).groupBy("cls", "cls2").agg(F.min("doc_id").alias("class_id"))
-    if comp is None:
-        classes = classes.withColumn("component_id", F.col("class_id"))
+    classes = rows.filter(linkable).groupBy("cls", "cls2").agg(
+        F.min("doc_id").alias("class_id"), (F.count("*") - 1).alias("copies"))
+    none = F.lit(None).cast("long")
+    found = None if profiles is None else written(class_links(keyed_members(profiles), percent), "jaccard-links")
+    if found is None or found.isEmpty():
+        classes = classes.withColumns({"least": none, "links": none})
     else:
-        classes = classes.join(comp, F.col("cls") == F.col("node"), "left")
-        least = (classes.filter("comp is not null").groupBy("comp")
-                 .agg(F.min("class_id").alias("least")))
-        classes = classes.join(least, "comp", "left").withColumn(
-            "component_id", F.coalesce("least", "class_id"))
-    classes = classes.select(F.col("cls").alias("c1"), F.col("cls2").alias("c2"), "class_id",
-                             "component_id")
+        comp = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")).filter("a != b").distinct())
+        links = found.groupBy(F.col("cls").alias("linked")).agg(F.sum("links").alias("links"))
+        classes = classes.join(comp, F.col("cls") == F.col("node"), "left").join(
+            links, F.col("cls") == F.col("linked"), "left")
+        least = written(classes.filter("comp is not null").groupBy("comp")
+                        .agg(F.min("class_id").alias("least")), "jaccard-least")
+        classes = classes.join(small(least), "comp", "left")
+    classes = classes.select(
+        F.col("cls").alias("c1"), F.col("cls2").alias("c2"), "class_id",
+        F.coalesce("least", "class_id").alias("component_id"),
+        (F.col("copies") + F.coalesce("links", F.lit(0))).alias("n_links"))
     return (rows.join(classes, linkable & (F.col("cls") == F.col("c1"))
                       & (F.col("cls2") == F.col("c2")), "left")
             .select("doc_id", "row_key", "n_shingles",
                     F.coalesce("class_id", "doc_id").alias("class_id"),
-                    F.coalesce("component_id", "doc_id").alias("component_id")))
+                    F.coalesce("component_id", "doc_id").alias("component_id"),
+                    F.coalesce("n_links", F.lit(0)).alias("n_links")))

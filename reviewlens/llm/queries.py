@@ -38,9 +38,8 @@ def op10_substring_dedup(spark, sf_dir):
 
 @query
 def op5_ngram_jaccard_join(spark, sf_dir):
-    """Shingle set size and near-duplicate component of every document."""
-    return similarity_groups(load(spark, sf_dir, "documents")).select(
-        "doc_id", "n_shingles", "component_id", "class_id")
+    """Shingle set size, near-duplicate class and component, and number of links of every document."""
+    return similarity_groups(load(spark, sf_dir, "documents")).drop("row_key")
 
 
 @query
@@ -148,9 +147,10 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLDED}, {_WORD}) AS t
         WHERE 100 * c >= 80 * (x.n + y.n - c)),
   reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, l.b FROM reach JOIN l ON l.a = reach.r)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, component_id,
-       least(n.doc_id, coalesce(twin, n.doc_id)) AS class_id
+       least(n.doc_id, coalesce(twin, n.doc_id)) AS class_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links
 FROM n JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
-LEFT JOIN (SELECT a AS doc_id, min(b) AS twin FROM l WHERE same GROUP BY a) USING (doc_id)"""
+LEFT JOIN (SELECT a AS doc_id, min(b) AS twin FROM l WHERE same GROUP BY a) USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, count(*) AS links FROM l GROUP BY a) USING (doc_id)"""
 
 ORACLES["op6_line_dedup"] = r"""
 WITH l AS (SELECT doc_id, source, string_split(text, chr(10)) AS t FROM documents),

@@ -1,3 +1,5 @@
+import itertools
+import random
 from collections import Counter
 
 import pytest
@@ -17,7 +19,7 @@ def shingles(text, k=5):
 def expected(rows, percent=80):
     """Brute force over all pairs of rows."""
     sets = [shingles(t) for _, t, *_ in rows]
-    root = list(range(len(rows)))
+    root, links = list(range(len(rows))), [0] * len(rows)
 
     def find(x):
         while root[x] != x:
@@ -30,16 +32,18 @@ def expected(rows, percent=80):
             both = len(sets[a] & sets[b])
             if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 root[find(a)] = find(b)
+                links[a] += 1
+                links[b] += 1
     least = {}
     for i, r in enumerate(rows):
         if r[0] is not None and sets[i]:
             least[find(i)] = min(least.get(find(i), r[0]), r[0])
     return Counter((r[0], len(sets[i]), least.get(find(i), r[0]) if sets[i] and r[0] is not None
-                    else r[0]) for i, r in enumerate(rows))
+                    else r[0], links[i]) for i, r in enumerate(rows))
 
 
 def groups(docs, **options):
-    return Counter((r.doc_id, r.n_shingles, r.component_id)
+    return Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links)
                    for r in similarity_groups(docs, **options).collect())
 
 
@@ -47,12 +51,40 @@ def groups(docs, **options):
 def test_matches_brute_force(docs, rows, percent):
     got = groups(docs, percent=percent)
     assert got == expected(rows, percent)
-    assert sum(n for (i, _, c), n in got.items() if i != c) > 20
+    assert sum(n for (i, _, c, _), n in got.items() if i != c) > 20
+
+
+@pytest.mark.parametrize("long_list, chunk", [(16384, 2048), (2, 3), (3, 1)])
+def test_all_links_of_a_large_group(spark, monkeypatch, long_list, chunk):
+    """Near copies with one to three edits, copies of them, and two groups that share a passage."""
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", long_list)
+    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+    rng = random.Random(7)
+    n = 260 if chunk > 1000 else 40
+    base = [[f"{g}w{i}" for i in range(90)] for g in "ab"]
+    base[1][:60] = base[0][:60]
+    rows = []
+    for i in range(n):
+        w = list(base[i % 2])
+        for e in range(rng.randint(0, 3)):
+            w[rng.randrange(90)] = f"x{i}e{e}"
+        rows.append((i, " ".join(w), "en", "s", 0))
+    got = groups(frame(spark, rows))
+    assert got == expected(rows)
+    assert sum(links for *_, links in got.elements()) > 3 * n
+    pairs = jaccard_join.link_pairs(frame(spark, rows)).collect()
+    sets = {}
+    for i, text, *_ in rows:
+        sets.setdefault(shingles(text), i)
+    assert {(r.a, r.b): round(r.similarity, 9) for r in pairs} == {
+        (min(i, j), max(i, j)): round(len(a & b) / len(a | b), 9)
+        for (a, i), (b, j) in itertools.combinations(sets.items(), 2) if 100 * len(a & b) >= 80 * len(a | b)}
+    assert len({(r.a, r.b) for r in pairs}) == len(pairs)
 
 
 def test_chain_of_near_copies(spark, monkeypatch):
     """A links b, b links c, a does not link c: one component, through every splitting step."""
-    monkeypatch.setattr(jaccard_join, "SPLIT_ROUNDS", 1)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 2)
     monkeypatch.setattr(jaccard_join, "LONG_LIST", 2)
     base = [f"w{i}" for i in range(120)]
     rows = []
