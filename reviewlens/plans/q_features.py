@@ -178,6 +178,21 @@ def similar_topk(spark, sf):
     return _neighbours(spark, sf)
 
 
+@register("similar_topk_table", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  p AS (SELECT CAST(a.vec_id AS VARCHAR) AS seed, CAST(b.vec_id AS VARCHAR) AS neighbor,
+               round(list_dot_product(a.v, b.v)
+                     / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS similarity
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+SELECT seed, neighbor, similarity, CAST(row_number() OVER (PARTITION BY seed ORDER BY similarity DESC, neighbor)
+       AS BIGINT) AS rank FROM p QUALIFY rank <= """ + str(NEIGHBOURS_PER_SEED))
+def similar_topk_table(spark, sf):
+    """A seed table that grows with the data (every hundredth vector): blocks, nothing inlined."""
+    emb = table(spark, sf, "embeddings")
+    seeds = emb.filter("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("seed"), "embedding")
+    return S.similar_topk(emb, seeds, NEIGHBOURS_PER_SEED, word_col="vec_id", vec_col="embedding", inline=0)
+
+
 @register("expand_features", f"""
 WITH {SEEDS_SQL}
 SELECT DISTINCT feature, similarity FROM (

@@ -17,6 +17,7 @@ from ..operators import features as FT
 from ..operators import metrics as M
 from ..operators import model as MD
 from ..operators import split as SP
+from ..operators.ordering import dense_index
 from ..operators.similarity import seed_words
 from ..session import materialize
 from .registry import r6, register, sq, sql_list
@@ -205,6 +206,27 @@ def _word2vec(spark, sf):
     return E.train_word2vec(materialize(_tokens(spark, sf), "w2v_tokens"))
 
 
+@register("table_vectors", f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {WORD}, 1)) AS word FROM documents),
+  v AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS i FROM (SELECT DISTINCT word FROM t)),
+  e AS (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings),
+  x AS (SELECT v.word, e.embedding FROM v JOIN e ON v.i % e.n = e.i WHERE v.i % 3 > 0),
+  u AS (SELECT doc_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS pos FROM t JOIN x USING (word)),
+  m AS (SELECT doc_id, pos, round(avg(CAST(x AS DOUBLE)), 5) + 0.0 AS mean FROM u GROUP BY doc_id, pos)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, mean FROM documents LEFT JOIN m USING (doc_id)""")
+def table_vectors(spark, sf):
+    """Document vectors from a token-vector table: two words of three get one of the embeddings."""
+    toks = materialize(_tokens(spark, sf), "tokens")
+    vocab = FT.vocabulary(toks.select(F.explode("tokens").alias("term")))
+    emb = dense_index(table(spark, sf, "embeddings"), ["vec_id"], "i")
+    n = table(spark, sf, "embeddings").count()
+    vectors = vocab.filter("idx % 3 > 0").join(emb, F.col("idx") % max(1, n) == F.col("i")).select(
+        F.col("term").alias("word"), F.col("embedding").alias("vector"))
+    out = E.embed_documents(toks, vectors)
+    return out.select("doc_id", F.posexplode_outer("vector").alias("pos", "mean")).withColumn(
+        "mean", r6("mean", 5) + F.lit(0.0))                # no minus zero
+
+
 VOCABULARY_SQL = f"""t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {WORD}, 1)) AS word FROM documents),
   v AS (SELECT word FROM t GROUP BY word HAVING count(*) >= 5)"""
 

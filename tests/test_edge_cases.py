@@ -26,9 +26,9 @@ def test_similar_topk_with_zero_vector(spark):
     vecs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("zero", [0.0, 0.0])],
                                  "word string, vector array<double>")
     seeds = vecs.select(F.col("word").alias("seed"), "vector")
-    got = {m: sorted((r.seed, r.neighbor) for r in S.similar_topk(vecs, seeds, 5, method=m).collect())
-           for m in ("sql", "arrow")}
-    assert got["sql"] == got["arrow"] == [("a", "b"), ("b", "a")]
+    got = {m: sorted((r.seed, r.neighbor) for r in S.similar_topk(vecs, seeds, 5, inline=m).collect())
+           for m in (256, 0)}
+    assert got[256] == got[0] == [("a", "b"), ("b", "a")]
 
 
 def test_gamma_without_variance(spark):

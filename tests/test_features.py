@@ -123,7 +123,7 @@ def test_tokenize_word_matches_python_regex(spark):
     assert got == want
 
 
-def test_similar_topk_sql_and_arrow_agree_with_brute_force(spark):
+def test_similar_topk_inline_and_blocks_agree_with_brute_force(spark):
     import numpy as np
     from reviewlens.operators.similarity import similar_topk
     rnd = np.random.default_rng(4)
@@ -137,9 +137,9 @@ def test_similar_topk_sql_and_arrow_agree_with_brute_force(spark):
         sims = [(round(float(a @ v / (np.linalg.norm(a) * np.linalg.norm(v))), 6), f"w{j}")
                 for j, v in enumerate(vecs) if f"w{j}" != s]
         want[s] = [w for _, w in sorted(sims, key=lambda t: (-t[0], t[1]))[:5]]
-    for method in ("sql", "arrow"):
+    for inline in (256, 0):
         got = {}
-        for r in similar_topk(df, seeds, 5, method=method, seeds_per_pass=2).orderBy("seed", "rank").collect():
+        for r in similar_topk(df, seeds, 5, inline=inline).orderBy("seed", "rank").collect():
             got.setdefault(r["seed"], []).append(r["neighbor"])
         assert got == want, method
 
