@@ -27,6 +27,7 @@ from .operators import cooccurrence as CO
 from .operators import embed as E
 from .operators import features as FT
 from .operators import label as L
+from .operators import low_rank as LR
 from .operators import metrics as M
 from .operators import model as MD
 from .operators import similarity as S
@@ -67,7 +68,7 @@ def expansion_labelled_reviews(raw: DataFrame, stopwords: Iterable[str] = (),
 
     Tokens of the processed text are merged into phrases (mined on the same
     text; ``merge=False`` leaves that step out), neighbours of every known seed
-    word are found with ``provider`` ('word2vec' or the deterministic 'ppmi'),
+    word are found with ``provider`` ('word2vec', or the deterministic 'ppmi' and 'svd'),
     and a review is labelled when its rating is 5 and its processed text
     contains any feature.  Mined phrases match the text with a space at the
     joint.
@@ -87,9 +88,12 @@ def expansion_labelled_reviews(raw: DataFrame, stopwords: Iterable[str] = (),
         counts = CO.cooccurrence_counts(merged, "merged", W2V_WINDOW, min_count=W2V_MIN_COUNT)
         neighbours = CO.ppmi_neighbors(CO.ppmi(counts), words)
     else:
-        kwargs = {"epochs": epochs} if epochs else {}
-        model = E.train_word2vec(merged, "merged", **kwargs)
-        vecs = E.word_vectors(model)
+        if provider == "svd":
+            vecs = LR.low_rank_vectors(CO.ppmi(CO.cooccurrence_counts(
+                merged, "merged", W2V_WINDOW, min_count=W2V_MIN_COUNT)))
+        else:
+            kwargs = {"epochs": epochs} if epochs else {}
+            vecs = E.word_vectors(E.train_word2vec(merged, "merged", **kwargs))
         known = S.seeds_in_vocabulary(vecs, words)
         seeds = vecs.join(known.select(F.col("seed").alias("word")), "word").select(
             F.col("word").alias("seed"), "vector")

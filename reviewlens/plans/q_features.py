@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import NEIGHBOURS_PER_SEED, PHRASE_MIN_COUNT, PHRASE_THRESHOLD, SEED_PHRASES, W2V_WINDOW
+from ..config import NEIGHBOURS_PER_SEED, PHRASE_MIN_COUNT, PHRASE_THRESHOLD, SEED_PHRASES, W2V_MIN_COUNT, W2V_WINDOW
 from ..functions import text as T
 from ..operators import cooccurrence as CO
 from ..operators import features as FT
+from ..operators import low_rank as LR
 from ..operators import metrics as M
 from ..operators import similarity as S
 from ..operators import text_ops as X
@@ -276,6 +277,15 @@ def expand_ppmi(spark, sf):
     return _ppmi_neighbours(spark, sf)
 
 
+@register("expand_svd")
+def expand_svd(spark, sf):
+    """Seed words' nearest words by a low-rank factor of the PPMI table."""
+    toks = _docs(spark, sf).select(T.tokenize_word("text").alias("tokens"))
+    vecs = LR.low_rank_vectors(CO.ppmi(CO.cooccurrence_counts(toks, "tokens", W2V_WINDOW, W2V_MIN_COUNT)))
+    seeds = vecs.filter(F.col("word").isin(list(TEST_SEEDS))).select(F.col("word").alias("seed"), "vector")
+    return S.similar_topk(vecs, seeds, NEIGHBOURS_PER_SEED)
+
+
 @register("expansion_label", f"""
 WITH {PPMI_SQL},
   feats AS (SELECT DISTINCT feature FROM (
