@@ -85,6 +85,18 @@ REVIEW_COUNT_SUFFIX = " 則評論"
 REVIEWS_PER_BLOCK = 10
 MAX_BLOCKS = 6
 
+# Class names of a stored review page: a review's block and its fields.
+REVIEW_CLASSES = {
+    "block": "WMbnJf vY6njf",
+    "reviewer": "TSUbDb",
+    "count": "A503be",
+    "rating": "lTi8oc z3HNkc",
+    "age": "PuaHbe",
+    "picture": "DQBZx",
+    "body": "Jtu6Td",
+    "full": "review-full-text",
+}
+
 # Phrase mining: minimum count and score threshold.
 PHRASE_MIN_COUNT = 5
 PHRASE_THRESHOLD = 10.0

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import scratch_path
 from ..sources import files as FS
-from ..config import NEWEST_SUFFIX, RATING_PREFIX, RATING_SUFFIX, REVIEW_COUNT_SUFFIX
+from ..config import NEWEST_SUFFIX, RATING_PREFIX, RATING_SUFFIX, REVIEW_CLASSES, REVIEW_COUNT_SUFFIX
 from ..sources.html import html_records as extract_records
-from ..sources.html import review_records
+from ..sources.html import page_reviews, review_records
 from ..streaming.ingest import ingest_available
 from .registry import register, sq
 from .tables import table
@@ -123,6 +123,55 @@ def review_records_q(spark, sf):
                           scrape_time=F.lit("2024-03-01 10:05:00").cast("timestamp"))
 
 
+def review_pages(docs):
+    """A review page per document: a block per line that is not blank, in the site's markup."""
+    def escaped(c):
+        for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            c = F.replace(c, F.lit(char), F.lit(entity))
+        return c
+
+    def tag(cls, *inner, extra=""):
+        return F.concat(F.lit(f'<span class="{cls}"{extra}>'), *inner, F.lit("</span>"))
+
+    def block(line, i):
+        c = REVIEW_CLASSES
+        stars = F.concat(F.lit(f'<div role="img" class="x {c["rating"]}" aria-label="{RATING_PREFIX}'),
+                         (1 + i % 5).cast("string"), F.lit(f'.0{RATING_SUFFIX}"><i></i></div>'))
+        body = F.concat(
+            F.lit(f'<div class="{c["body"]}">'),
+            F.when(i % 2 == 1, tag(c["full"], escaped(line), extra=' style="display:none"')).otherwise(
+                tag("review-snippet", F.lit("<b>"), escaped(F.substring(line, 1, 30)), F.lit("</b><br>…"))),
+            F.lit("</div>"))
+        return F.concat(
+            F.lit(f'<div class="{c["block"]}">'), tag(c["reviewer"], F.lit('<a href="/u">user '), "doc_id", F.lit("-"),
+                                                     i.cast("string"), F.lit("</a>")),
+            F.when(i % 3 > 0, tag(c["count"], F.format_number(i * 1234, 0), F.lit(REVIEW_COUNT_SUFFIX)))
+            .otherwise(""), stars, tag(c["age"], i.cast("string"), F.lit(" 天前<br>最新")),
+            F.when(i % 4 == 0, tag(c["picture"], F.lit('<img src="a.png">'))).otherwise(""), body, F.lit("</div>"))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t\r]"))
+    return docs.select(F.concat(
+        F.lit("<html><head><title>"), escaped(F.coalesce("source", F.lit("no name"))),
+        F.lit('</title><script>var a = "<div>";</script></head><body><!-- list --><div id="all">'),
+        F.array_join(F.transform(lines, block), "\n"), F.lit("</div><p>end</p></body></html>")).alias("html"))
+
+
+@register("page_reviews", """
+WITH l AS (SELECT doc_id, source, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\r]')) AS t
+           FROM documents),
+  x AS (SELECT doc_id, coalesce(source, 'no name') AS place, t[i + 1] AS line, i FROM l, unnest(range(len(t))) AS u(i))
+SELECT TIMESTAMP '2024-03-01 10:05:00' AS ScrapeTime, place AS RestName,
+  CASE WHEN i % 4 = 0 THEN 'Y' ELSE 'N' END AS PicAttached, 'user ' || doc_id || '-' || i AS ReviewerName,
+  CASE WHEN i % 3 > 0 THEN CAST(i * 1234 AS VARCHAR) ELSE '' END AS TotalReviewsByUser,
+  CAST(1 + i % 5 AS DOUBLE) AS ReviewRating, i || ' 天前' AS ReviewDate,
+  CASE WHEN i % 2 = 1 THEN trim(line, ' ' || chr(9) || chr(13))
+       ELSE regexp_replace(substring(line, 1, 30), '^[ \\t\\r]+', '') || chr(10) || '…' END AS ReviewDescription
+FROM x""")
+def page_reviews_q(spark, sf):
+    """Reviews cut from stored pages: every field comes out of the HTML."""
+    return page_reviews(review_pages(table(spark, sf, "documents")),
+                        scrape_time=F.lit("2024-03-01 10:05:00").cast("timestamp"))
+
+
 @register("incremental_ingest", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def incremental_ingest(spark, sf):
     """documents arrive as two overlapping folders of files: the first is

@@ -6,10 +6,12 @@ where they are read, one row at a time, with no Python in the plan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import SCRAPE_TIME_FORMAT
+from ..config import REVIEW_CLASSES, SCRAPE_TIME_FORMAT
 from ..functions import text as T
 from ..operators.listings import prefer_full_text
 
@@ -17,6 +19,8 @@ from ..operators.listings import prefer_full_text
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
             ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&nbsp;", " "), ("&amp;", "&"))
 
+VOID_TAG = r"(?i)^<(area|base|br|col|embed|hr|img|input|link|meta|param|source|track|wbr)\b"
+
 EDGE_SPACE = r"^[ \t\n\r]+|[ \t\n\r]+$"
 
 
@@ -82,6 +86,82 @@ def html_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     return out
 
 
+def _has_class(tag: Column, names: str) -> Column:
+    """An opening tag whose class attribute holds all the names."""
+    return functools.reduce(lambda a, b: a & b, (tag.rlike(
+        rf"(?is)^<[a-z][^>]*\sclass\s*=\s*(\"[^\"]*(?<![\w-]){n}(?![\w-])|'[^']*(?<![\w-]){n}(?![\w-])|{n}[\s/>])")
+        for n in names.split()))
+
+
+def page_tokens(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(row, title, pos, token, depth): tags and texts of every page in order.
+
+    ``depth`` is the number of elements open after the token, a running sum of
+    the tag stack's pushes and pops; void and self-closed elements do not push.
+    """
+    vis = visible_html(F.col(html_col))
+    title = clean_text(F.regexp_extract(vis, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    cut = F.regexp_extract_all(vis, F.lit(r"(?s)(<[^>]*>|[^<]+)"), 1)
+    rows = (pages.select(F.monotonically_increasing_id().alias("row"), title.alias("title"), cut.alias("cut"))
+            .select("row", "title", F.posexplode("cut").alias("pos", "token")))
+    step = (F.when(F.col("token").startswith("</"), -1)
+            .when(F.col("token").rlike(VOID_TAG) | F.col("token").rlike(r"(?s)^<[^>]*/>$"), 0)
+            .when(F.col("token").rlike(r"^<[A-Za-z]"), 1).otherwise(0))
+    return rows.withColumn("depth", F.sum(step).over(Window.partitionBy("row").orderBy("pos")))
+
+
+def review_blocks(pages: DataFrame, html_col: str = "html", classes: dict = REVIEW_CLASSES) -> DataFrame:
+    """One row per review block of stored pages, with the raw strings of its fields.
+
+    Columns place (the page's title), reviewer, count, rating (the label of the
+    stars), age, snippet, full and picture (Y / N).  A field is the first
+    element of its class inside the block, from its tag to the tag that closes
+    it, inner elements included; a missing one is null.  A page is bounded, and
+    so is what is gathered for a block.
+    """
+    by_page = Window.partitionBy("row").orderBy("pos")
+    opens = _has_class(F.col("token"), classes["block"])
+    numbered = page_tokens(pages, html_col).withColumn("block", F.sum(opens.cast("int")).over(by_page))
+    held = numbered.filter("block > 0").groupBy("row", "block").agg(
+        F.min("title").alias("place"), F.sort_array(F.collect_list(F.struct("pos", "depth", "token"))).alias("all"))
+
+    def until_closed(tokens, start):
+        """The tokens after ``start`` and before its element closes."""
+        after = F.filter(tokens, lambda x: x["pos"] > start["pos"])
+        end = F.get(F.filter(after, lambda x: x["depth"] < start["depth"]), F.lit(0))["pos"]
+        return T.let(end, lambda e: F.filter(after, lambda x: F.coalesce(x["pos"] < e, F.lit(True))))
+
+    def said(tokens):
+        return clean_text(F.array_join(F.transform(tokens, lambda x: F.when(
+            x["token"].rlike(r"(?i)^<br\b"), "\n").when(x["token"].startswith("<"), "").otherwise(x["token"])), ""))
+
+    def field(name, read):
+        def found(tokens):
+            start = F.get(F.filter(tokens, lambda x: _has_class(x["token"], classes[name])), F.lit(0))
+            return T.let(start, lambda s: F.when(s.isNotNull(), read(tokens, s)))
+        return T.let(F.col("own"), found).alias(name)
+
+    def text(tokens, start):
+        return said(until_closed(tokens, start))
+
+    own = T.let(F.col("all"), lambda a: until_closed(a, F.get(a, F.lit(0))))
+    label = r"(?is)\saria-label\s*=\s*\"([^\"]*)\""
+    blocks = held.select("row", "block", "place", own.alias("own")).select(
+        "row", "block", "place", *(field(n, text) for n in ("reviewer", "count", "age", "full")),
+        field("body", text).alias("snippet"),
+        field("rating", lambda _, s: decode_entities(F.regexp_extract(s["token"], label, 1))),
+        F.coalesce(field("picture", lambda _, s: F.lit("Y")), F.lit("N")).alias("picture"))
+    return blocks.drop("row", "block")
+
+
+def page_reviews(pages: DataFrame, html_col: str = "html", scrape_time: Column | None = None,
+                 classes: dict = REVIEW_CLASSES) -> DataFrame:
+    """Stored review pages -> rows of ``schema.RAW_REVIEWS``."""
+    return review_records(review_blocks(pages, html_col, classes), place="place", reviewer="reviewer", count="count",
+                          rating="rating", age="age", snippet="snippet", full="full", picture="picture",
+                          scrape_time=scrape_time)
+
+
 def review_records(blocks: DataFrame, *, place: str, reviewer: str, count: str, rating: str, age: str,
                    snippet: str, full: str, picture: str, scrape_time: Column | None = None) -> DataFrame:
     """Text blocks of a review page -> rows of ``schema.RAW_REVIEWS``.

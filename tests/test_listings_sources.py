@@ -107,3 +107,27 @@ def test_character_references(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, v string")
     got = {r.i: r.o for r in df.select("i", clean_text(F.col("v")).alias("o")).collect()}
     assert got == {0: "'a' \U0001F600 ©· &#39; &#xZZ; &#0; &#55296; &", 1: "", 2: None, 3: "plain"}
+
+
+def test_review_blocks_from_nested_markup(spark):
+    """Nested elements, missing fields, void and self-closed tags, text after the last block."""
+    from reviewlens.sources.html import page_reviews, review_blocks
+    page = """<html><head><title>Caf&eacute; &amp; Bar</title><style>.a{}</style></head><body><header>x</header>
+      <div class="WMbnJf vY6njf"><div class="TSUbDb"><a>Ann <b>Lee</b></a></div><span class="A503be">1,234 則評論</span>
+      <g-img class='lTi8oc z3HNkc' aria-label="評等：4.0 (最高：5)，"/><span class="PuaHbe">2 週前<br>最新</span>
+      <div class="DQBZx"><img src=a><br></div><div class="Jtu6Td"><div><span class="review-snippet">short</span>
+      <span class="review-full-text">all of <div>the &lt;text&gt;</div></span></div> more</div></div>
+      <div class="vY6njf x WMbnJf"><div class="TSUbDb">Bob</div><div class="lTi8oc z3HNkc" aria-label="評等：1.0 (最高：5)，">
+      </div><div class="PuaHbe">3 天前</div><div class="Jtu6Td">only <i>this</i></div></div>
+      <div class="TSUbDb">not in a block</div></body></html>"""
+    df = spark.createDataFrame([(1, page), (1, page), (2, None), (3, ""), (4, "<p>no block</p>")], "id int, html string")
+    got = sorted(tuple(r) for r in review_blocks(df).select(
+        "place", "reviewer", "count", "rating", "age", "snippet", "full", "picture").fillna("-").collect())
+    place = "Caf&eacute; & Bar"
+    one = (place, "Ann Lee", "1,234 則評論", "評等：4.0 (最高：5)，", "2 週前\n最新",
+           "short\n      all of the <text> more", "all of the <text>", "Y")
+    two = (place, "Bob", "-", "評等：1.0 (最高：5)，", "3 天前", "only this", "-", "N")
+    assert got == sorted([one, two] * 2)
+    rows = page_reviews(df).orderBy("ReviewerName").collect()
+    assert [(r.ReviewerName, r.TotalReviewsByUser, r.ReviewRating, r.ReviewDate, r.ReviewDescription) for r in rows[1:3]] \
+        == [("Ann Lee", "1234", 4.0, "2 週前", "all of the <text>"), ("Bob", "", 1.0, "3 天前", "only this")]
