@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..config import NEIGHBOURS_PER_SEED, RF_FOLDS, SEED_PHRASES, TOP_WORDS
+from ..config import RF_FOLDS, SEED_PHRASES, TOP_WORDS
 from ..functions import text as T
 from ..operators import embed as E
 from ..operators import features as FT
@@ -20,7 +20,7 @@ from ..operators import split as SP
 from ..operators.ordering import dense_index
 from ..operators.similarity import seed_words
 from ..session import materialize
-from .registry import r6, register, sq, sql_list
+from .registry import r6, register, sq
 from .tables import TEST_SEEDS, table
 
 
@@ -227,39 +227,22 @@ def table_vectors(spark, sf):
         "mean", r6("mean", 5) + F.lit(0.0))                # no minus zero
 
 
-VOCABULARY_SQL = f"""t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), {WORD}, 1)) AS word FROM documents),
-  v AS (SELECT word FROM t GROUP BY word HAVING count(*) >= 5)"""
-
-
-@register("word2vec_vectors", f"WITH {VOCABULARY_SQL} SELECT word, 100 AS dims, true AS positive FROM v")
+@register("word2vec_vectors")
 def word2vec_vectors(spark, sf):
-    """The trained words with the size of their vectors (learned values stay out)."""
-    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
-    return E.word_vectors(_word2vec(spark, sf)).select(
-        "word", F.size("vector").alias("dims"), (norm > 0).alias("positive"))
+    """The trained words and their vectors."""
+    return E.word_vectors(_word2vec(spark, sf))
 
 
 SEEDS = sorted(set(seed_words(SEED_PHRASES)) | set(TEST_SEEDS))
 
 
-@register("expand_word2vec", f"""
-WITH {VOCABULARY_SQL}, n AS (SELECT least({NEIGHBOURS_PER_SEED}, count(*) - 1) AS k FROM v)
-SELECT word AS seed, CAST(n.k AS BIGINT) AS neighbours, true AS ordered FROM v, n
-WHERE n.k > 0 AND list_contains({sql_list(SEEDS)}, word)""")
+@register("expand_word2vec")
 def expand_word2vec(spark, sf):
-    """Every known seed word with its number of neighbours, ranked by similarity."""
-    found = E.neighbours(_word2vec(spark, sf), SEEDS)
-    w = F.array_sort(F.collect_list(F.struct("rank", "similarity")))
-    return found.groupBy("seed").agg(F.count("*").alias("neighbours"), w.alias("w")).select(
-        "seed", "neighbours", F.aggregate("w", F.struct(F.lit(True).alias("ok"), F.lit(2.0).alias("last")),
-                                          lambda a, x: F.struct((a["ok"] & (x["similarity"] <= a["last"])).alias("ok"),
-                                                                x["similarity"].alias("last")),
-                                          lambda a: a["ok"]).alias("ordered"))
-
-
-@register("doc_vectors", f"""
-SELECT doc_id, CASE WHEN len(regexp_extract_all(lower(text), {WORD}, 1)) > 0 THEN 100 END AS dims FROM documents""")
+    """Every known seed word's nearest words, ranked by similarity."""
+    return E.neighbours(_word2vec(spark, sf), SEEDS)
+
+
+@register("doc_vectors")
 def doc_vectors(spark, sf):
-    """Documents with the size of their vector; null without tokens."""
-    vec = E.document_vectors(_word2vec(spark, sf), _tokens(spark, sf))
-    return vec.select("doc_id", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dims"))
+    """Documents and their mean word vectors; null without tokens."""
+    return E.document_vectors(_word2vec(spark, sf), _tokens(spark, sf))
