@@ -203,7 +203,7 @@ WITH RECURSIVE tab AS ({_CRC_TABLE}),
                CASE WHEN -top.n >= 5 * w.n THEN -top.n END AS form_n FROM w LEFT JOIN c USING (word)),
   g AS (SELECT word, word AS root FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.root
         WHERE f.form IS NOT NULL)
-SELECT f.word, form, g.root, n, n_near, form_n FROM f JOIN g USING (word) JOIN f e ON e.word = g.root
+SELECT f.word, f.form, g.root, f.n, f.n_near, f.form_n FROM f JOIN g USING (word) JOIN f e ON e.word = g.root
 WHERE e.form IS NULL"""
 
 ORACLES["op13_hard_negatives"] = """
