@@ -203,6 +203,16 @@ def expand_features(spark, sf):
     return S.expand_features(_neighbours(spark, sf), SEED_PHRASES)
 
 
+@register("sorted_neighbours", f"""
+WITH {SEEDS_SQL}
+SELECT feature, similarity FROM (SELECT DISTINCT feature, similarity FROM (
+  SELECT unnest({sql_list(sorted(SEED_PHRASES))}) AS feature, CAST(NULL AS DOUBLE) AS similarity
+  UNION ALL SELECT neighbor AS feature, similarity FROM topk)) ORDER BY similarity DESC NULLS LAST, feature""")
+def sorted_neighbours(spark, sf):
+    """The expanded features by falling similarity."""
+    return S.sorted_neighbours(S.expand_features(_neighbours(spark, sf), SEED_PHRASES))
+
+
 @register("seed_in_vocab", f"""
 SELECT DISTINCT w AS seed FROM (SELECT unnest(regexp_extract_all(lower(text), {WORD}, 1)) AS w FROM documents)
 WHERE w IN ({", ".join(sq(s) for s in sorted(set(S.seed_words(SEED_PHRASES)) | set(TEST_SEEDS)))})""")

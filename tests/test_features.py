@@ -234,3 +234,10 @@ def test_cooccurrence_min_count_drops_rare_words_first(spark):
             want[(t[i], t[i + 1])] += 1
             want[(t[i + 1], t[i])] += 1
     assert got == dict(want)
+
+
+def test_sorted_neighbours_order(spark):
+    from reviewlens.operators.similarity import sorted_neighbours
+    df = spark.createDataFrame([("b", 0.5), ("a", 0.5), ("seed", None), ("c", 0.9), ("also", None)],
+                               "feature string, similarity double").repartition(3)
+    assert [r.feature for r in sorted_neighbours(df).collect()] == ["c", "a", "b", "also", "seed"]
