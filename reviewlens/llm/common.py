@@ -287,6 +287,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def superseded(df: DataFrame) -> None:
+    """Delete the files of a ``written`` table that no later step reads."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: a table of keys is broadcast up to this many rows (counted first), and shuffled beyond
 BROADCAST_ROWS = 1 << 19
 
