@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,18 +30,22 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence through the Hadoop file system of the path (HDFS, S3, local)."""
+    """Existence through the Hadoop file system of the path (HDFS, S3, local).
+
+    Only a path that is not there counts as absent; a denied or broken one raises.
+    """
     try:
-        jvm = spark.sparkContext._jvm
-        hpath = jvm.org.apache.hadoop.fs.Path(path)
-        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        return fs.exists(hpath)
-    except Exception:  # noqa: BLE001 - remote sessions: probe with a read
+        sc = spark.sparkContext
+    except PySparkException:     # remote sessions have no context: probe with a read
         try:
             spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
             return True
-        except Exception:  # noqa: BLE001
-            return False
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return False
+            raise
+    hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(sc._jsc.hadoopConfiguration()).exists(hpath)
 
 
 def tolerant_scan(spark: SparkSession, path: str, schema: StructType | str,

@@ -1,3 +1,4 @@
+import pytest
 """Listings, exclusions, file sources/sinks and incremental ingest."""
 
 import os
@@ -131,3 +132,10 @@ def test_review_blocks_from_nested_markup(spark):
     rows = page_reviews(df).orderBy("ReviewerName").collect()
     assert [(r.ReviewerName, r.TotalReviewsByUser, r.ReviewRating, r.ReviewDate, r.ReviewDescription) for r in rows[1:3]] \
         == [("Ann Lee", "1234", 4.0, "2 週前", "all of the <text>"), ("Bob", "", 1.0, "3 天前", "only this")]
+
+
+def test_only_a_missing_path_is_absent(spark, tmp_path):
+    from reviewlens.sources.files import tolerant_scan
+    assert tolerant_scan(spark, str(tmp_path / "none"), "a int").collect() == []
+    with pytest.raises(Exception, match="(?i)scheme|filesystem"):
+        tolerant_scan(spark, "nosuchfs://host/table", "a int")
