@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.fold import ascii_fold
 from ..operators import label as L
 from ..operators import text_ops as X
+from ..operators.lexicon import segment
 from .registry import r6, register, sq, sql_list
 from .tables import (
     TEST_CHARSET, TEST_FEATURES, TEST_MARKER, TEST_PATTERNS, TEST_STOPWORDS,
@@ -323,6 +324,22 @@ def tokenize_lexicon(spark, sf):
     return out.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), T.join_tokens("t").alias("tokens"))
 
 
+@register("tokenize_lexicon_table", r"""
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS tokens
+FROM (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '[^\p{L}]+', '', 'g'), p, 1) AS t
+      FROM documents, (SELECT '(' || string_agg(w, '|' ORDER BY length(w) DESC, w) || '|.)' AS p
+                       FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}{2,}')) AS w
+                             FROM benchmark)))""")
+def tokenize_lexicon_table(spark, sf):
+    """Run-together text segmented by the words of the benchmark texts, a table of any size."""
+    words = table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(
+        F.lower("text"), F.lit(r"(\p{L}{2,})"), 1)).alias("w"))
+    joined = table(spark, sf, "documents").select(
+        "doc_id", F.regexp_replace(F.lower("text"), r"[^\p{L}]+", "").alias("text"))
+    out = segment(joined, "text", words, "t")
+    return out.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), T.join_tokens("t").alias("tokens"))
+
+
 @register("remove_stopwords", f"""
 SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS tokens
 FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), {WORD}, 1),
