@@ -100,3 +100,55 @@ def test_quantiles():
 
 def test_empty(empty):
     assert quality_verdicts(empty).collect() == []
+
+
+def reference_mcd(x, rng, starts=300):
+    """Smallest covariance determinant over many random starts, then the reweighted estimate."""
+    from reviewlens.llm import outlier_rules as R
+    dims, n = R.DIMS, len(x)
+    h = int(np.ceil(R.SUPPORT * n))
+
+    def estimate(rows, scale):
+        cov = np.cov(rows.T, bias=True) * scale + np.diag(np.square(R.FLOOR))
+        return rows.mean(0), np.linalg.inv(cov)
+
+    def distance(mean, inverse):
+        return np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean)
+    half, wide = R.chi2_quantile(R.SUPPORT, dims), R.chi2_quantile(0.975, dims)
+    raw, best = R.SUPPORT / R.chi2_cdf(half, dims + 2), None
+    for _ in range(starts):
+        chosen = rng.choice(n, dims + 1, replace=False)
+        for _ in range(50):
+            again = np.argsort(distance(*estimate(x[chosen], raw)), kind="stable")[:h]
+            if set(again) == set(chosen):
+                break
+            chosen = again
+        inverse = estimate(x[chosen], raw)[1]
+        if best is None or np.linalg.slogdet(inverse)[1] > best[0]:
+            best = np.linalg.slogdet(inverse)[1], chosen
+    inside = distance(*estimate(x[best[1]], raw)) <= wide
+    mean, inverse = estimate(x[inside], 0.975 / R.chi2_cdf(wide, dims + 2))
+    return mean, inverse, distance(mean, inverse)
+
+
+def test_fit_agrees_with_reference_determinant_search(spark):
+    from reviewlens.llm import outlier_rules as R
+    rng = np.random.default_rng(4)
+    groups, names = {}, [f"x{i}" for i in range(R.DIMS)]
+    for g, (n, bad) in enumerate([(240, 0.0), (300, 0.1), (200, 0.2)]):
+        mix = rng.normal(size=(R.DIMS, R.DIMS)) + 2 * np.eye(R.DIMS)
+        x = rng.normal(size=(n, R.DIMS)) @ mix + rng.normal(size=R.DIMS)
+        x[:int(n * bad)] += 40 + rng.normal(size=(int(n * bad), R.DIMS))
+        groups[g] = x
+    rows = [(g, *map(float, r)) for g, x in groups.items() for r in x]
+    df = spark.createDataFrame(rows, "g long, " + ", ".join(f"{n} double" for n in names))
+    fits = {r.g: (np.array(r["mean"]), np.array(r.inverse).reshape(R.DIMS, R.DIMS)) for r in R.fit(df).collect()}
+    assert set(fits) == set(groups)
+    for g, x in groups.items():
+        mean, inverse, d2 = reference_mcd(x, rng)
+        got_mean, got_inverse = fits[g]
+        got = np.einsum("ni,ij,nj->n", x - got_mean, got_inverse, x - got_mean)
+        spread = np.sqrt(np.diag(np.linalg.inv(inverse)))
+        assert (np.abs(got_mean - mean) < 0.1 * spread).all()
+        assert 0.8 < np.linalg.det(got_inverse) / np.linalg.det(inverse) < 1.25
+        assert ((got > R.CUTOFF) == (d2 > R.CUTOFF)).all()
