@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from corpora import frame, words
 from pyspark.sql import functions as F
@@ -119,3 +120,23 @@ def test_empty_tables(tables, empty):
     assert leaks(empty, items).collect() == []
     assert leaks(docs, items.limit(0)).collect() == []
     assert clean_documents(docs, items.limit(0)).count() == len(LEAKY)
+
+
+def near_sets(rng, n, repeats):
+    """Two shingle lists of size ``n`` at the least shared part that reaches 0.8; ``repeats`` of each shingle."""
+    changed = n - -(-8 * n // 9)
+    draw = np.repeat(rng.integers(-2 ** 63, 2 ** 63, -(-n // repeats)), repeats)[:n]
+    other = draw.copy()
+    for i in rng.choice(n, changed, replace=False):     # single occurrences change
+        other[i] = rng.integers(-2 ** 63, 2 ** 63)
+    return draw.tolist(), other.tolist()
+
+
+def test_radius_keeps_pairs_at_the_threshold(spark):
+    from reviewlens.llm.decontaminate import RADIUS, simhash
+    rng = np.random.default_rng(9)
+    rows = [(n, *near_sets(rng, n, repeats)) for n in (9, 18, 27, 45, 90, 180) for repeats in (1, 2, 3)
+            for _ in range(100)]
+    far = spark.createDataFrame(rows, "n int, a array<bigint>, b array<bigint>").select(
+        "n", F.bit_count(simhash(F.col("a")).bitwiseXOR(simhash(F.col("b")))).alias("far"))
+    assert [r for r in far.collect() if r.far > RADIUS] == []
