@@ -52,7 +52,9 @@ def fold_to_ascii(c: ColumnOrName) -> Column:
     folds = _folds()
     one = {k: v for k, v in folds.items() if len(v) == 1}
     many = {k: v for k, v in folds.items() if len(v) > 1}
-    kept = F.regexp_replace(_col(c), code_point_class([(0, 127), *_ranges(folds)], negate=True), "")
+    # the class has some hundred ranges, which ASCII characters need not be held against
+    dropped = f"(?![\\x00-\\x7F]){code_point_class(_ranges(folds), negate=True)}"
+    kept = F.regexp_replace(_col(c), dropped, "")
     single = F.translate(kept, "".join(map(chr, one)), "".join(one.values()))
     several = code_point_class(_ranges(many))
     table = F.str_to_map(F.lit("\x1f".join(f"{chr(k)}\x1e{v}" for k, v in many.items())),
@@ -60,8 +62,11 @@ def fold_to_ascii(c: ColumnOrName) -> Column:
 
     def spelled(pieces):
         return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.element_at(table, p), p)), "")
-    pieces = F.regexp_extract_all(single, F.lit(f"({several}|[\\x00-\\x7F]+)"), 1)
-    return F.when(single.rlike(several), let(pieces, spelled)).otherwise(single)
+
+    def whole(text):
+        pieces = F.regexp_extract_all(text, F.lit(f"({several}|[\\x00-\\x7F]+)"), 1)
+        return F.when(text.rlike(several), let(pieces, spelled)).otherwise(text)
+    return let(single, whole)
 
 
 def ascii_fold(c: ColumnOrName) -> Column:

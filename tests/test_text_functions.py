@@ -116,3 +116,13 @@ def test_tokenizer_modes(spark):
 def test_relative_time_survives_huge_numbers(spark):
     vals = ["99999999 年前", "99999999999999999999 天前", "剛剛"]
     assert one_col(spark, vals, lambda c: T.relative_time(c)) == [None, None, "剛剛"]
+
+
+def test_ascii_fold_works_once_per_text(spark):
+    """The folded text is bound once, and ASCII is passed over before the long class of code points."""
+    from reviewlens.functions.fold import fold_to_ascii
+    texts = ["plain", "é́ﬁ½😀x", "中文 a", "", None, "Ⅷ\x7f\x80"]
+    assert one_col(spark, texts, fold_to_ascii) == ["plain", "efi12x", " a", "", None, "VIII\x7f"]
+    plan = spark.createDataFrame([("é",)], "s string").select(fold_to_ascii("s").alias("f"))._jdf.queryExecution().toString()
+    optimized = plan.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert optimized.count("regexp_replace(") == 1
