@@ -2,7 +2,11 @@
 
 At every place of a text the longest dictionary word that starts there is a
 token, else any single character that is not white space; then the scan goes
-on behind it.  In three steps, all native:
+on behind it.
+
+Words that fit a bound (counted first) become one regular expression, the tree
+of their common beginnings, so that a place costs its longest match and no
+substring leaves its row.  More words go in three steps, all native:
 
 1. the substrings of every length that the dictionary has are joined with the
    words (left semi), which leaves (row, place, length) for the places that hit;
@@ -15,6 +19,8 @@ on behind it.  In three steps, all native:
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +34,36 @@ FIRST_FLAG = 0x4E00
 ALONE, SPACE = "1", "0"
 
 
+#: words and characters of a dictionary that is walked as one regular expression
+TREE_WORDS, TREE_CHARS, TREE_DEPTH = 1 << 16, 1 << 20, 64
+
+
+def _tree(words: list[str]) -> str:
+    """A regular expression of the longest of ``words`` at a place: the tree of their characters."""
+    def branch(part: list[str], at: int) -> str:
+        ends = len(part[0]) == at
+        groups = [(c, list(g)) for c, g in groupby(part[ends:], lambda w: w[at])]
+        if not groups:
+            return ""
+        below = [_literal(c) + branch(g, at + 1) for c, g in groups]
+        return f"(?:{'|'.join(below)}){'?' if ends else ''}" if ends or len(below) > 1 else below[0]
+    return branch(sorted(set(words)), 0)
+
+
+def _literal(c: str) -> str:
+    """One character as it is, in a regular expression."""
+    return c if c.isalnum() else f"\\x{{{ord(c):x}}}"
+
+
+def _bounded(words: DataFrame) -> list[str] | None:
+    """The dictionary's words if they fit the bounds of a tree, else None."""
+    n, chars, longest = words.agg(F.count("*"), F.sum(F.char_length("piece")),
+                                  F.max(F.char_length("piece"))).first()
+    if n > TREE_WORDS or (chars or 0) > TREE_CHARS or (longest or 0) > TREE_DEPTH:
+        return None
+    return [r[0] for r in words.collect()]
+
+
 def _chars(text) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)(.)"), 1)
 
@@ -74,12 +110,17 @@ def segment(df: DataFrame, text_col: str, words: DataFrame, out_col: str = "toke
 
     Null and empty words are no words; a null text gives null, an empty one an
     empty array; an empty dictionary leaves single characters.  ``id_col`` is a
-    unique key; without one the rows are written with a key first.  The word
-    table is broadcast within a counted bound and joined by a shuffle beyond.
+    unique key; without one the rows are written with a key first if a join is
+    needed.  The word table is one regular expression within a counted bound,
+    broadcast within a larger one and joined by a shuffle beyond.
     """
     columns = [c for c in df.columns if c != out_col]
     words = materialize(words.select(F.col(words.columns[0]).cast("string").alias("piece"))
                         .filter("piece <> ''").distinct(), "lexicon")
+    listed = _bounded(words)
+    if listed is not None:
+        steps = "|".join([*([_tree(listed)] if listed else []), f"[^{PY_SPACE_CLASS}]"])
+        return df.select(*columns, F.regexp_extract_all(text_col, F.lit(f"(?s)({steps})"), 1).alias(out_col))
     sizes = sorted(r[0] for r in words.select(F.char_length("piece")).distinct().collect())
     flags = {n: chr(FIRST_FLAG + j) for j, n in enumerate(sizes)}
     df, key = _keyed(df, id_col)

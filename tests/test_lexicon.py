@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlens.functions.text import lexicon_segmenter
+from reviewlens.operators import lexicon
 from reviewlens.operators.lexicon import segment
 from reviewlens.session import counted_broadcast
 
@@ -51,3 +52,20 @@ def test_no_words_and_no_rows(spark):
     df = spark.createDataFrame([("a b",), ("",), (None,)], "text string")
     assert [r.tokens for r in segment(df, "text", none).collect()] == [["a", "b"], [], None]
     assert segment(df.limit(0), "text", spark.createDataFrame([("a",)], "w string")).collect() == []
+
+
+def test_listed_words_need_no_substrings(spark):
+    words = spark.createDataFrame([(w,) for w in WORDS], "w string")
+    df = spark.createDataFrame([("a bc abcd", )], "text string")
+    plan = segment(df, "text", words)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("bound", [1 << 18, 0])
+def test_words_beyond_the_tree(spark, monkeypatch, bound):
+    monkeypatch.setattr(lexicon, "TREE_WORDS", 0)
+    monkeypatch.setattr(counted_broadcast, "__defaults__", (bound,))
+    rows = list(enumerate(texts()))
+    got = segment(spark.createDataFrame(rows, "row long, text string"), "text",
+                  spark.createDataFrame([(w,) for w in WORDS], "w string"), id_col="row")
+    assert {r.row: r.tokens for r in got.collect()} == {i: longest_match(t, set(WORDS)) for i, t in rows}
