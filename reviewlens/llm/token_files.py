@@ -34,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binary, ship, short_batches, shuffle_width, text_buffer, texts, written
+from .common import (binary, release, ship, short_batches, shuffle_width, text_buffer, text_slices,
+                     texts, written)
 
 MAGIC, HEAD = b"FIXBITS1", "<8sIIQQQ"
 BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 19
 #: words remembered by a Python worker; later words are encoded each time
-CACHE_WORDS = 200_000
+CACHE_WORDS = 50_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -181,7 +182,7 @@ def _segments(path: str, end_id: int, bits: int):
         encode = _encoder(path).__getitem__
         tail = np.array([end_id], "<u4").tobytes()
         doc_ids, parts, ends, total = [], [], [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             data, offs = text_buffer(batch.column("text"))
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offs[:-1], offs[1:]):
                 ids = b"".join(map(encode, data[a:b].tobytes().split())) + tail
@@ -194,6 +195,8 @@ def _segments(path: str, end_id: int, bits: int):
                     doc_ids, parts, ends, total = [], [], [], 0
         if doc_ids:
             yield _segment_row(doc_ids, parts, ends, bits)
+        del doc_ids, parts, ends
+        release()
     return run
 
 
@@ -237,6 +240,8 @@ def _documents(with_ids: bool):
                                ids_crc32=pa.array([zlib.crc32(x.tobytes()) for x in each],
                                                   pa.int64()), **more)
                     base += part.n_ids
+                    del each, more
+            release()
     return run
 
 

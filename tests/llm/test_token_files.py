@@ -89,3 +89,22 @@ def test_starts_are_exact(spark, rows, tmp_path):
 def test_empty_table(spark, empty, tmp_path):
     path = write_token_files(empty, str(tmp_path / "ids"), PATH, 2)
     assert read_token_files(spark, path).collect() == []
+
+
+def test_workers_give_memory_back(monkeypatch):
+    import pyarrow as pa
+    from reviewlens.llm import token_files as TF
+    given = []
+    monkeypatch.setattr(TF, "release", lambda: given.append(1))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, None], pa.int64()), pa.array(["a b", None, "c"])],
+                                       ["doc_id", "text"])
+    (row,) = TF._segments(path, 2, 16)(iter([batch]))
+    part = TF.Segment(row.column(0)[0].as_buffer())
+    assert part.n_docs == 3 and part.document(1).tolist() == [2] and given
+    given.clear()
+    read = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([row.column(0)[0].as_py() + b"\n"])],
+                                      ["file", "content"])
+    (rows,) = TF._documents(False)(iter([read]))
+    assert rows.column("doc_id").to_pylist() == [1, 2, None] and given
+    assert TF.CACHE_WORDS <= 50_000
