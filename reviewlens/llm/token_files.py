@@ -40,8 +40,10 @@ from .common import (binary, release, ship, short_batches, shuffle_width, text_b
 MAGIC, HEAD = b"FIXBITS1", "<8sIIQQQ"
 BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 19
-#: words remembered by a Python worker; later words are encoded each time
+#: words that a Python worker remembers from one slice of texts to the next; others are encoded once a slice
 CACHE_WORDS = 50_000
+#: cores of words (letters without closing marks, lower case) and runs of marks it remembers
+CACHE_CORES = 100_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -125,7 +127,8 @@ def segments(buf):
         at = part.next
 
 
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)\Z")
+#: letters, then ASCII marks: two pieces for the pre-tokenizer, cut at the border
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)\Z").match
 
 
 def _byte_letters() -> dict[int, str]:
@@ -139,7 +142,10 @@ class WordEncoder(dict):
     """Ids of a whitespace-separated word as packed 32-bit bytes, remembered per worker.
 
     Valid for tokenizers whose pre-tokenizer drops white space and never joins
-    across it; words of letters and closing marks skip the normaliser.
+    across it; words of letters and closing marks skip the normaliser, and
+    words that differ in case or marks alone share the ids of their letters.
+    Every word is remembered until :meth:`trim`, which a caller owes after a
+    bounded run of texts.
     """
 
     def __init__(self, path: str):
@@ -148,26 +154,42 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.marks: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _core(self, core: str) -> bytes:
+        shown = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if m := _PLAIN.match(text):
-            core = m[1].lower().encode().decode("latin-1").translate(self.letters)
-            out = np.array([t.id for t in self.model.tokenize(core)], "<u4").tobytes()
-            if m[2]:
-                if m[2] not in self.marks:
-                    self.marks[m[2]] = self._whole(m[2])
-                out += self.marks[m[2]]
+        if m := _PLAIN(text):
+            core, marks = m.groups()
+            core = core.lower()
+            out = self.cores.get(core)
+            if out is None:
+                out = self.cores[core] = self._core(core)
+            if marks:
+                end = self.marks.get(marks)
+                if end is None:
+                    end = self.marks[marks] = self._whole(marks)
+                out += end
         else:
             out = self._whole(text)
-        if len(self) < CACHE_WORDS:
-            self[word] = out
+        self[word] = out
         return out
 
+    def trim(self) -> None:
+        """Forget the latest words beyond what is remembered."""
+        for held, most in ((self, CACHE_WORDS), (self.cores, CACHE_CORES), (self.marks, CACHE_CORES)):
+            for _ in range(len(held) - most):
+                held.popitem()
+
 
 def _encoder(path: str) -> WordEncoder:
     """One encoder (and word memory) per Python worker and tokenizer."""
@@ -179,7 +201,8 @@ def _encoder(path: str) -> WordEncoder:
 
 def _segments(path: str, end_id: int, bits: int):
     def run(batches):
-        encode = _encoder(path).__getitem__
+        words = _encoder(path)
+        encode = words.__getitem__
         tail = np.array([end_id], "<u4").tobytes()
         doc_ids, parts, ends, total = [], [], [], 0
         for batch in (part for whole in batches for part in text_slices(whole)):
@@ -193,6 +216,7 @@ def _segments(path: str, end_id: int, bits: int):
                 if total >= SEGMENT_IDS:
                     yield _segment_row(doc_ids, parts, ends, bits)
                     doc_ids, parts, ends, total = [], [], [], 0
+            words.trim()
         if doc_ids:
             yield _segment_row(doc_ids, parts, ends, bits)
         del doc_ids, parts, ends

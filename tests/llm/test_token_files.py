@@ -108,3 +108,39 @@ def test_workers_give_memory_back(monkeypatch):
     (rows,) = TF._documents(False)(iter([read]))
     assert rows.column("doc_id").to_pylist() == [1, 2, None] and given
     assert TF.CACHE_WORDS <= 50_000
+
+
+def test_letters_are_encoded_once_a_slice(monkeypatch):
+    """Words beyond the memory, and words that differ in case or marks, cost one call of the library."""
+    import pyarrow as pa
+    from reviewlens.llm import token_files as TF
+    from tokenizers import Tokenizer
+    monkeypatch.setattr(TF, "CACHE_WORDS", 2)
+    plain = Tokenizer.from_file(PATH)
+    encode, calls = WordEncoder(PATH), []
+    model = encode.model
+
+    class Counted:
+        def tokenize(self, core):
+            calls.append(core)
+            return model.tokenize(core)
+    encode.model = Counted()
+    monkeypatch.setattr(TF, "_encoder", lambda path: encode)
+    texts = ["Qwvbzu qwvbzu, QWVBZU! xéqrt### Xéqrt", "zzkqw xéqrt'' ZZKQW@{~ qwvbzu\"' zzkqw"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    (row,) = TF._segments(PATH, 2, 16)(iter([batch]))
+    part = Segment(row.column(0)[0].as_buffer())
+    for i, t in enumerate(texts):
+        assert part.document(i).tolist() == plain.encode(t, add_special_tokens=False).ids + [2]
+    assert len(calls) == 3 and len(encode) == 2
+
+
+def test_trim_keeps_the_first(monkeypatch):
+    from reviewlens.llm import token_files as TF
+    monkeypatch.setattr(TF, "CACHE_WORDS", 2)
+    monkeypatch.setattr(TF, "CACHE_CORES", 3)
+    encode = WordEncoder(PATH)
+    for w in b"aq! bq? cq; dq".split():
+        assert encode[w]
+    encode.trim()
+    assert list(encode) == [b"aq!", b"bq?"] and list(encode.cores) == ["aq", "bq", "cq"] and len(encode.marks) <= 3
