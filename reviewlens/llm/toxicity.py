@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (binary, crc_mod, mix, ship, text_buffer, text_slices, texts, word_hashes,
-                     word_spans)
+from .common import (binary, crc_mod, mix, ship, short_batches, text_buffer, text_slices, texts,
+                     word_hashes, word_spans)
 
 BITS = 20
 SAMPLE_ROWS = 12_000
+#: bytes of text whose features are made at a time; a feature occurrence takes some 100 bytes on the way
+SLICE_BYTES = 1 << 20
 #: with L1 = EPOCHS a slot that one document holds never gets a weight
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
 EPOCHS = 5
@@ -51,7 +53,7 @@ def features(part) -> tuple[np.ndarray, np.ndarray]:
 
 def _feature_rows(batches):
     for batch in batches:
-        for part in text_slices(batch):
+        for part in text_slices(batch, most=SLICE_BYTES):
             slot, row = features(part)
             both = np.unique((row.astype(np.uint64) << np.uint64(32)) | slot)
             cut = np.searchsorted(both, np.arange(part.num_rows + 1, dtype=np.uint64)
@@ -85,16 +87,16 @@ def _train(table: pa.Table) -> pa.Table:
     """Of the whole (bounded) sample: the non-zero weights."""
     order = np.lexsort((table.column("key").to_numpy(), ))
     labels = table.column("toxic").to_numpy()
-    col = table.column("slots").combine_chunks()
+    col = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("slots")]   # views, no copy
     model, bias = Ftrl(), np.array([1 << BITS], np.int64)
     for _ in range(EPOCHS):
         for i in order:
-            at = np.frombuffer(col[int(i)].as_buffer(), np.uint32).astype(np.int64)
-            model.learn(np.append(at, bias), labels[i])
-    w = model.weights(slice(None))
-    at = np.flatnonzero(w)
+            model.learn(np.append(col[i].astype(np.int64), bias), labels[i])
+    at = np.flatnonzero(np.abs(model.z) > L1)
+    w = model.weights(at)
+    at, w = at[w != 0], w[w != 0]
     return pa.table({"slots": binary([at.astype(np.uint32).tobytes()]),
-                     "weights": binary([w[at].tobytes()])})
+                     "weights": binary([w.tobytes()])})
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
@@ -111,8 +113,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
             .groupBy("doc_id", "key", "toxic").agg(F.min("text").alias("text"))
             .mapInArrow(_feature_rows, "key long, toxic double, slots binary")
             .withColumn("model", F.lit(0)))
-    model = (rows.groupBy("model").applyInArrow(_train, "slots binary, weights binary")
-             .collect())                                       # at most 2**BITS + 1 weights
+    with short_batches(docs.sparkSession):
+        model = (rows.groupBy("model").applyInArrow(_train, "slots binary, weights binary")
+                 .collect())                                   # at most 2**BITS + 1 weights
     if not model:
         return None
     return np.frombuffer(model[0][0], np.uint32), np.frombuffer(model[0][1], np.float64)
@@ -124,7 +127,7 @@ def _score(model):
         if model is not None:
             dense[model[0]] = model[1]
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, most=SLICE_BYTES):
                 slot, row = features(part)
                 w = dense[slot]
                 some = np.flatnonzero(w)

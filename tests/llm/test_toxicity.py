@@ -96,3 +96,36 @@ def test_no_labels_and_empty(tables, empty):
 def test_sample_bound(tables):
     docs, labels, _ = tables
     assert train(docs, labels, sample_rows=40) is not None
+
+
+def test_features_of_short_slices(monkeypatch):
+    import pyarrow as pa
+    real, sizes = toxicity.features, []
+
+    def seen(part):
+        sizes.append(part.column("text").nbytes)
+        return real(part)
+    monkeypatch.setattr(toxicity, "features", seen)
+    text = " ".join(VOCAB) * 5
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(200), pa.int64()), pa.array([0.0] * 200), pa.array([text] * 200)], ["key", "toxic", "text"])
+    out = pa.Table.from_batches(list(toxicity._feature_rows(iter([batch]))))
+    assert out.num_rows == 200 and len(set(out.column("slots").to_pylist())) == 1
+    assert max(sizes) < (1 << 20) + 2 * len(text) and len(sizes) > 3
+
+
+def test_training_reads_short_batches(spark, monkeypatch):
+    """Texts of the sample reach a worker a thousand rows at a time, not ten thousand."""
+    real = toxicity._feature_rows
+
+    def checked(batches):
+        def short():
+            for b in batches:
+                assert b.num_rows <= 1000, b.num_rows
+                yield b
+        yield from real(short())
+    monkeypatch.setattr(toxicity, "_feature_rows", checked)
+    docs = spark.range(2500).selectExpr("id AS doc_id", "concat('w', id % 7, ' x') AS text").coalesce(1)
+    labels = spark.range(2500).selectExpr("id AS doc_id", "cast(id % 7 = 0 AS int) AS toxic")
+    slots, weights = train(docs, labels)
+    assert len(slots) == len(weights) > 0 and (weights != 0).all()
