@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.sql import functions as F
 
 from reviewlens.operators import model as MD
+from reviewlens.operators import sparse_trees as ST
 from reviewlens.operators.sparse_trees import Points
 
 
@@ -59,3 +61,26 @@ def test_bad_labels_raise(spark):
             MD.learner("tree", 0).fit(data.withColumn("label", bad))
     with pytest.raises(ValueError):
         MD.learner("rf", 0).fit(data.limit(0))
+
+
+def test_whole_trees_in_a_task_are_those_grown_level_by_level(spark, monkeypatch):
+    data = vectors(spark, "tfidf", 400, 6).filter("doc_id < 300")
+    points = Points(data)
+    for depth, leaf in ((30, 1), (4, 3)):
+        learner = MD.learner("rf", 0, num_trees=9, max_depth=depth, min_instances=leaf)
+        monkeypatch.setattr(ST, "HERE", 1 << 24)
+        monkeypatch.setattr(ST, "STEP", 50)
+        with monkeypatch.context() as m:
+            m.setattr(ST, "grow", None)                  # no pass a level
+            here = learner.fit(data, points)
+        monkeypatch.setattr(ST, "HERE", 0)
+        levels = learner.fit(data, points)
+        a, b = here.nodes(), levels.nodes()
+        assert len(a) == len(b) > 9
+        for c in ("tree", "id", "left", "right", "feature"):
+            assert (a[c] == b[c]).all(), c
+        inner = a["feature"] >= 0
+        assert (a["threshold"] == b["threshold"])[inner].all()
+        assert (np.stack(list(a["stats"])) == np.stack(list(b["stats"]))).all()
+        assert list(here.featureImportances.toArray()) == list(levels.featureImportances.toArray())
+        assert scores(here, data) == scores(levels, data)
