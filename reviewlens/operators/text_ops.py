@@ -92,6 +92,10 @@ def clean_review_table(raw: DataFrame, stopwords: Iterable[str] = (), tokenizer=
     return out.select(*(["RestName"] if with_restaurant else []), *cols)
 
 
+#: bits of the hashes that stand for a table beyond the broadcast bound
+BITS = 1 << 26
+
+
 def _keyed(df: DataFrame, id_col: str | None) -> tuple[DataFrame, str]:
     """``df`` with a unique key: ``id_col``, or one that is written with the rows."""
     if id_col is not None:
@@ -100,16 +104,35 @@ def _keyed(df: DataFrame, id_col: str | None) -> tuple[DataFrame, str]:
     return materialize(df.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
+def _may_stand_in(entries: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """``entries`` without most of those that ``table`` does not hold; none that it holds is lost.
+
+    Hashes of the table's rows are bits of at most ``BITS / 64`` numbers, which are broadcast.
+    """
+    place = F.pmod(F.xxhash64(*on), F.lit(BITS))
+    at, bit = F.expr("shiftright(place, 6)"), F.expr("shiftleft(1L, cast(place % 64 AS int))").alias("bit")
+    masks = table.select(place.alias("place")).select(at.alias("at"), bit).groupBy("at").agg(
+        F.bit_or("bit").alias("mask"))
+    marked = entries.withColumn("place", place).select("*", at.alias("word_at"), bit)
+    # a semi join: the exact one after it would be pushed below an inner join
+    return marked.join(F.broadcast(masks), (F.col("word_at") == F.col("at")) & (
+        F.col("mask").bitwiseAND(F.col("bit")) != 0), "left_semi").select(entries.columns)
+
+
 def _hits(held: DataFrame, entries, table: DataFrame, on: list[str]) -> DataFrame:
     """(at, hits): positions of each ``row`` whose entry stands in ``table``, in order.
 
     The table is broadcast within a counted bound and joined by a shuffle
-    beyond it; only positions that hit travel on.
+    beyond it, which entries of other hashes do not take part in; only positions
+    that hit travel on.
     """
-    table = counted_broadcast(materialize(table.select(*on).dropna().distinct(), "table"))
-    return (held.select("row", F.posexplode(T.let(F.col("t"), entries)).alias("pos", "e"))
-            .select("row", "pos", *(F.col("e")[c].alias(c) for c in on))
-            .join(table, on, "left_semi")
+    table = materialize(table.select(*on).dropna().distinct(), "table")
+    near = counted_broadcast(table)
+    places = (held.select("row", F.posexplode(T.let(F.col("t"), entries)).alias("pos", "e"))
+              .select("row", "pos", *(F.col("e")[c].alias(c) for c in on)))
+    if near is table:
+        places = _may_stand_in(places, table, on)
+    return (places.join(near, on, "left_semi")
             .groupBy(F.col("row").alias("at")).agg(F.sort_array(F.collect_list("pos")).alias("hits")))
 
 

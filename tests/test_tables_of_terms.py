@@ -82,3 +82,19 @@ def test_fold_equals_unicodedata_on_all_code_points(spark):
     odd = [(1, None), (2, ""), (3, "ﬁné"), (4, "ﬁné ½\U0001D400\U0001F600 ok")]
     out = spark.createDataFrame(odd, "id long, s string").select("id", fold.ascii_fold("s").alias("f"))
     assert {r.id: r.f for r in out.collect()} == {1: None, 2: "", 3: "ﬁné", 4: "fine 12A ok"}
+
+
+def test_entries_of_other_hashes_stay_out_of_the_shuffled_join(spark, monkeypatch):
+    from reviewlens.operators import text_ops
+    from reviewlens.session import counted_broadcast
+    entries = spark.range(20000).selectExpr("id AS row", "0 AS pos", "concat('a', id) AS a", "'b' AS b")
+    table = spark.range(0, 20000, 100).selectExpr("concat('a', id) AS a", "'b' AS b")
+    kept = {r.row for r in text_ops._may_stand_in(entries, table, ["a", "b"]).collect()}
+    assert kept >= set(range(0, 20000, 100)) and len(kept) < 400
+    monkeypatch.setattr(text_ops, "BITS", 64)                # most entries share a bit with a phrase
+    monkeypatch.setattr(counted_broadcast, "__defaults__", (0,))
+    df = spark.createDataFrame([(1, ["a", "b", "c", "a", "b"]), (2, []), (3, None), (4, ["b", None, "a", "b"])],
+                               "doc_id long, tokens array<string>")
+    phrases = spark.createDataFrame([("a", "b"), ("a", "b"), ("x", "y"), (None, "a")], "a string, b string")
+    got = {r.doc_id: r.merged for r in text_ops.merge_phrases(df, "tokens", phrases, "doc_id").collect()}
+    assert got == {1: ["a_b", "c", "a_b"], 2: [], 3: [], 4: ["b", None, "a_b"]}
